@@ -1,0 +1,6 @@
+"""Queries of the engine's relational, text and scoring operators (filled module by module)."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
