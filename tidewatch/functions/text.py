@@ -130,12 +130,13 @@ def words(c: Column) -> Column:
 
 
 def grams(tokens: Column, n: int) -> Column:
-    """n-grams of a token array, in order; none where it is shorter."""
-    whole = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1))),
-        lambda i: F.array_join(F.slice(tokens, i, n), " "),
-    )
-    return F.when(F.size(tokens) >= n, whole).otherwise(F.array().cast("array<string>"))
+    """n-grams of a token array, in order; none where it is shorter. Shifted copies are zipped, so that ``tokens`` is
+    evaluated a few times, not once per n-gram."""
+    size = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    out = F.slice(tokens, 1, size)
+    for k in range(2, n + 1):
+        out = F.zip_with(out, F.slice(tokens, k, size), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
 
 
 def keywords(readable_text: Column) -> Column:

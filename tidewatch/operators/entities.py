@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import text
 from tidewatch.operators.rows import keep_one
+from tidewatch.storage import pinned
 
 # Rule vocabularies, short aliases that count, and words that show a purchase.
 NEED_STATES = [
@@ -171,7 +172,10 @@ def candidates(posts: DataFrame, known: DataFrame) -> DataFrame:
 
 def extracted(posts: DataFrame, registry: DataFrame, aliases: DataFrame) -> DataFrame:
     """All entities of posts (mention_id, body) in order of emission, the first of each (post, norm, type, source)."""
-    readable = posts.select("mention_id", "body", text.match_form(F.col("body")).alias("form"), text.token_form(F.col("body")).alias("token"))
+    # the forms need Python and are read by five branches, so they are made once
+    readable = pinned(
+        posts.select("mention_id", "body", text.match_form(F.col("body")).alias("form"), text.token_form(F.col("body")).alias("token")), "forms"
+    )
     white = alias_hits(readable, aliases.where("source = 'whitelist'").select("alias_norm", "brand_norm"))
     white = white.select("mention_id", F.col("alias_norm").alias("entity_norm"), F.lit("brand").alias("entity_type"), F.lit(1.0).alias("confidence"), F.lit("whitelist").alias("source"), "brand_norm", F.lit(1).alias("stage"))
     only = registry.where("not is_whitelist_brand").select("brand_norm")
