@@ -121,11 +121,10 @@ def most_common(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Dat
 def bands(df: DataFrame, value: str, edges: Sequence[float], labels: Sequence[str]) -> DataFrame:
     """Counts of right-closed bands; the first includes its lower edge; empty bands are kept, values outside aren't."""
     v = F.col(value)
-    band = F.lit(None).cast("int")
-    for i in reversed(range(len(labels))):
-        low = v >= edges[i] if i == 0 else v > edges[i]
-        band = F.when(low & (v <= edges[i + 1]), F.lit(i)).otherwise(band)
-    counts = df.withColumn("_b", band).groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    # the value stands once in the expression, so a long one isn't copied for every edge
+    over = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: v > e))
+    rows = df.select(F.when(v == edges[0], F.lit(1)).otherwise(over).alias("_b"))
+    counts = rows.groupBy((F.col("_b") - 1).alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
     every = df.sparkSession.createDataFrame(list(enumerate(labels)), "_b int, band string")
     return every.join(F.broadcast(counts), "_b", "left").select("band", F.coalesce("_c", F.lit(0)).alias("count"))
 
