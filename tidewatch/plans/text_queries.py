@@ -148,7 +148,7 @@ SQL = {
     array_to_string(list_filter({_grams("tokens", 2)}, lambda g: length(g) > 3)[1:40], '|') AS noun_phrases,
     array_to_string(({_grams("ns", 2)})[1:120], '|') AS bigrams, array_to_string(({_grams("ns", 3)})[1:120], '|') AS trigrams FROM kept""",
     "post_sentiment": f"""WITH {SENTIMENT_SQL} SELECT mention_id, sentiment_compound, pos AS sentiment_pos, neg AS sentiment_neg,
-    CASE WHEN pos = 0 AND neg = 0 THEN 1.0 ELSE 0.0 END AS sentiment_neu, sentiment_label, len(h_positive) AS positive_word_count,
+    CAST(pos = 0 AND neg = 0 AS INTEGER)::DOUBLE AS sentiment_neu, sentiment_label, len(h_positive) AS positive_word_count,
     len(h_negative) AS negative_word_count, len(h_purchase_intent) AS purchase_intent_count, len(h_complaint) AS complaint_count,
     len(h_comparison) AS comparison_count, len(h_viral) AS viral_signal_count,
     array_to_string(list_sort(list_distinct(list_concat(h_positive, h_negative, h_purchase_intent, h_complaint, h_comparison, h_viral))), '|') AS matched
