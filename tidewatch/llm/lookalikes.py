@@ -29,7 +29,7 @@ CYRILLIC = {
     "и": "u", "ё": "e", "б": "b", "з": "e", "ь": "b", "ү": "y", "ԍ": "g",
 }
 GREEK = {
-    "α": "a", "β": "b", "ε": "e", "ζ": "z", "η": "n", "ι": "i", "κ": "k", "μ": "u", "ν": "v", "ο": "o", "ρ": "p", "σ": "o",
+    "α": "a", "β": "b", "ε": "e", "ζ": "z", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "o",
     "ς": "c", "τ": "t", "υ": "uy", "χ": "x", "ω": "w", "γ": "y", "ϲ": "c", "ϳ": "j", "ά": "a", "έ": "e", "ί": "i", "ό": "o",
 }
 # Capitals whose shape isn't that of their small letter's look-alike.
