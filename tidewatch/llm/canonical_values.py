@@ -181,7 +181,8 @@ def mapped(values: DataFrame, names: DataFrame, threshold: float = THRESHOLD, ma
     """(value, entry, score) for every distinct non-blank value of the column ``value``; entry null where none is meant."""
     spark = values.sparkSession
     distinct = values.select("value").where("trim(value) <> ''").distinct()
-    distinct = pinned(distinct, "values")
+    # looking up is work for Python: spread over all cores, however few bytes the values have
+    distinct = pinned(distinct, "values").repartition(2 * spark.sparkContext.defaultParallelism)
     names = names.withColumn("block", F.lit(0))
     count = names.count()
     blocks = max(1, -(-count // BLOCK))
