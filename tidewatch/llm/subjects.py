@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.lookalikes import plain
+from tidewatch.llm.samples import bounded_sample
 
 WORDS, PAIRS, LABELLED = 1 << 16, 1 << 17, 10_000
 #: What is added to a seen and an expected count, and how often sentences are shared out anew, in fitting and in use.
@@ -102,9 +103,16 @@ class Models:
         nats per token times the tokens."""
         if not len(t.word):
             return np.zeros((0, len(self.subjects)))
-        trust = self.trust[t.pair][:, None]
-        gain = np.log(trust * self.double[t.pair] + (1 - trust) * self.single[t.word])
-        return np.add.reduceat(gain, t.starts, axis=0)
+        out = np.empty((len(t.starts), len(self.subjects)), np.float32)
+        ends = np.append(t.starts, len(t.word))
+        # some sentences at a time: a row of all subjects for every token of the corpus would fill the memory
+        for at in range(0, len(t.starts), 5000):
+            low, high = ends[at], ends[min(at + 5000, len(t.starts))]
+            pair, word = t.pair[low:high], t.word[low:high]
+            trust = self.trust[pair][:, None]
+            gain = np.log(trust * self.double[pair] + (1 - trust) * self.single[word])
+            out[at : at + 5000] = np.add.reduceat(gain, t.starts[at : at + 5000] - low, axis=0)
+        return out
 
     def words(self, t: Tokens, documents: int) -> tuple[np.ndarray, np.ndarray]:
         """[document, subject] words of sentences that go to the subject, and the words of each document."""
@@ -145,12 +153,14 @@ def background_counts(documents: DataFrame) -> np.ndarray:
     return out
 
 
-def _ratios(bucket: np.ndarray, size: int, weight: np.ndarray, expected: np.ndarray) -> np.ndarray:
-    """[size, k]: counts of the bucket in each subject against those expected of it, both raised by ``PRIOR``."""
+def _ratios(bucket: np.ndarray, size: int, weight: np.ndarray, sentence: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """[size, k]: counts of the bucket in each subject against those expected of it, both raised by ``PRIOR``. ``weight``
+    is each sentence's in each subject."""
     out = np.empty((size, weight.shape[1]), np.float32)
     for i in range(weight.shape[1]):
-        seen = np.bincount(bucket, weights=weight[:, i], minlength=size)
-        out[:, i] = (seen + PRIOR) / (expected * max(weight[:, i].sum(), 1e-9) + PRIOR)
+        own = weight[:, i][sentence]
+        seen = np.bincount(bucket, weights=own, minlength=size)
+        out[:, i] = (seen + PRIOR) / (expected * max(own.sum(), 1e-9) + PRIOR)
     return out
 
 
@@ -168,9 +178,8 @@ def _trained(t: Tokens, allowed: np.ndarray, subjects: list[str], counts: np.nda
     trust = (pair_count / (pair_count + 5.0)).astype(np.float32)
     model = Models(subjects, np.ones((WORDS, k), np.float32), np.ones((PAIRS, k), np.float32), trust)
     for _ in range(ROUNDS):
-        per_token = weight[sentence]
-        model.single = _ratios(t.word, WORDS, per_token, word_share)
-        model.double = _ratios(t.pair, PAIRS, per_token, pair_count / every)
+        model.single = _ratios(t.word, WORDS, weight, sentence, word_share)
+        model.double = _ratios(t.pair, PAIRS, weight, sentence, pair_count / every)
         z = np.where(owner > 0, model.gains(t), -80.0)
         z = np.exp(z - z.max(1, keepdims=True)) * (owner > 0)
         weight = z / np.maximum(z.sum(1, keepdims=True), 1e-9)
@@ -220,8 +229,8 @@ def _calibrated(halves: list[tuple[Models, Tokens, np.ndarray]]) -> tuple[float,
 def labelled(documents: DataFrame, labels: DataFrame, bound: int = LABELLED) -> tuple[list[str], list[list[str]]]:
     own = labels.where("trim(subject) <> ''").groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("subjects"))
     rows = documents.where("trim(text) <> ''").select("doc_id", "text").join(own, "doc_id")
-    picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).collect()
-    return [r["text"] for r in picked], [list(r["subjects"]) for r in picked]
+    picked = bounded_sample(rows.select("doc_id", "text", F.array_join("subjects", "|").alias("subjects")), "doc_id", bound)
+    return [r["text"] for r in picked], [r["subjects"].split("|") for r in picked]
 
 
 def subject_shares(documents: DataFrame, model: Models) -> DataFrame:
