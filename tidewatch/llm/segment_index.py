@@ -32,7 +32,7 @@ from tidewatch.functions.text import content_hash
 from tidewatch.llm.lookalikes import plain
 from tidewatch.storage import pinned
 
-EDITS, KEPT, HOT, ENOUGH = 0.1, 0.75, 200, 3
+EDITS, KEPT, HOT, ENOUGH = 0.125, 0.75, 200, 3
 #: The list of hot segments is broadcast; the least count that is hot rises so that the list never exceeds this.
 HOT_LIST = 2_000_000
 SKETCH, AGREE, BANDS = 16, 6, 4
