@@ -154,6 +154,19 @@ def test_rejected_like_brute_force(spark, monkeypatch):
     assert {r["arrival_id"] for r in segment_index.rejected(h.limit(0), a.where("arrival_id in (1, 83)")).collect()} == {83}
 
 
+def test_pairs_with_a_fifth_of_the_words_replaced_meet(spark):
+    rng = random.Random(21)
+    old = [[f"w{rng.randrange(2000)}" for _ in range(rng.choice([5, 10, 20, 40, 100]))] for _ in range(300)]
+    new = []
+    for i, words in enumerate(old):
+        places = rng.sample(range(len(words)), len(words) // 5)
+        new.append((1000 + i, " ".join(f"x{i}" if k in places else w for k, w in enumerate(words))))
+    texts = lambda rows: segment_index.signatures(spark.createDataFrame(rows, "cid long, text string"), True)
+    index = segment_index.SegmentIndex.build(spark, spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(old)], "cid long, text string"))
+    found = {(r["a"], r["b"]) for r in index.candidates(texts(new)).collect()}
+    assert found >= {(1000 + i, i) for i in range(300)} and len(found) < 400
+
+
 # --- canonical values ------------------------------------------------------------------------------------------------
 def test_mapped_values(spark):
     names = spark.createDataFrame(

@@ -2,11 +2,12 @@
 
 A text of n words is cut into ``EDITS`` * n + 1 segments of equal length: as long as at most ``EDITS`` of its words
 are edited, one segment at least is intact and stands, at some place, in the edited text. The index holds the hash of
-every segment (its words and so its length) with the text's length and a 64-bit sketch; a batch is probed with those
-of its substrings that have a segment's length for some text of similar length. Positions aren't compared, because
-sentences move within reposts. Of what meets, length and sketch are compared at once, and the texts of the remaining
-pairs are verified word by word. Accepted batches append their segments; nothing of the history is read again but the
-index.
+every segment (its words and so its length) with the text's length and a bitmap of its words; a batch is probed with
+those of its substrings that have a segment's length for some text of similar length. Positions aren't compared, because
+sentences move within reposts. Of what meets, lengths and bitmaps are compared at once: a bit that only one text has is
+a word the other lacks, so what has too many of them can't be the same post, and no pair is lost there. The texts of the
+remaining pairs are verified word by word. Accepted batches append their segments; nothing of the history is read again
+but the index.
 
 Segments that very many texts share (standing introductions) prove little and would pair everything with everything:
 a text with at least ``ENOUGH`` other segments is not indexed under them, a text without is indexed under each of them
@@ -22,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +34,12 @@ from tidewatch.functions.text import content_hash
 from tidewatch.llm.lookalikes import plain
 from tidewatch.storage import pinned
 
-EDITS, KEPT, HOT, ENOUGH = 0.125, 0.75, 200, 3
+EDITS, KEPT, HOT, ENOUGH = 0.25, 0.75, 200, 3
 #: The list of hot segments is broadcast; the least count that is hot rises so that the list never exceeds this.
 HOT_LIST = 2_000_000
-SKETCH, AGREE, BANDS = 16, 6, 4
+SKETCH, BANDS = 16, 4
+#: 64-bit parts of a text's bitmap.
+BITMAP = ("b0", "b1", "b2", "b3")
 
 _WORD = re.compile(r"[a-z0-9]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -127,38 +131,55 @@ def sketch(h: np.ndarray) -> int:
     return out - (1 << 64) if out >= 1 << 63 else out
 
 
+def bitmap(h: np.ndarray) -> np.ndarray:
+    """A bit for each word and which time it stands in the text."""
+    bits = np.zeros(64 * len(BITMAP), np.uint8)
+    if len(h):
+        own = np.sort(h)
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        nth = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
+        bits[(_mixed(own + nth.astype(np.uint64) * _MIX) % np.uint64(len(bits))).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def signatures(texts: DataFrame, with_probes: bool) -> DataFrame:
-    """Of (cid, text): cid, words, sketch, segments and, for a batch, probes."""
+    """Of (cid, text): cid, words, sketch, bitmap, segments and, for a batch, probes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                n, sk, seg, prb = [], [], [], []
+                n, sk, bits, seg, prb = [], [], [], [], []
                 for text in batch.column("text").to_pylist():
                     h = np.array([_numbers[w] for w in words_of(text)], np.uint64)
                     n.append(len(h))
                     sk.append(sketch(h))
+                    bits.append(bitmap(h))
                     seg.append(segments(h).view(np.int64))
                     if with_probes:
                         prb.append(probes(h).view(np.int64))
-                columns = [batch.column("cid"), pa.array(n, pa.int32()), pa.array(sk, pa.int64()), pa.array(seg, pa.list_(pa.int64()))]
-                names = ["cid", "n", "sk", "segs"]
+                parts = np.array(bits, np.int64).reshape(-1, len(BITMAP))
+                columns = [batch.column("cid"), pa.array(n, pa.int32()), pa.array(sk, pa.int64()), *map(pa.array, parts.T.copy()), pa.array(seg, pa.list_(pa.int64()))]
+                names = ["cid", "n", "sk", *BITMAP, "segs"]
                 if with_probes:
                     columns.append(pa.array(prb, pa.list_(pa.int64())))
                     names.append("probes")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    kind = "cid long, n int, sk long, segs array<long>" + ", probes array<long>" * with_probes
+    kind = "cid long, n int, sk long, b0 long, b1 long, b2 long, b3 long, segs array<long>" + ", probes array<long>" * with_probes
     return texts.where("trim(text) <> ''").select("cid", "text").mapInArrow(run, kind)
 
 
-def agreeing(a: Column, b: Column) -> Column:
-    """How many of the sketches' four-bit places are equal."""
-    x = a.bitwiseXOR(b)
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-    return F.lit(16) - F.bit_count(x)
+def may_be_same() -> Column:
+    """Whether lengths and bitmaps of a and b allow ``KEPT`` of the longer text's words in both; false only where they
+    can't be."""
+    most = F.greatest("a.n", "b.n")
+
+    def lacking(x: str, y: str) -> Column:
+        bits = [F.bit_count(F.col(f"{x}.{c}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{c}")))) for c in BITMAP]
+        return sum(bits[1:], bits[0]) <= F.col(f"{x}.n") - KEPT * most
+
+    return (F.least("a.n", "b.n") >= KEPT * most) & lacking("a", "b") & lacking("b", "a")
 
 
 def _banded(seg: Column, sk: Column, band: int) -> Column:
@@ -168,7 +189,7 @@ def _banded(seg: Column, sk: Column, band: int) -> Column:
 
 
 class SegmentIndex:
-    """The index as a table of (cid, ord, n, sk, segs), one row per distinct text; ``ord`` is -1 for the history and
+    """The index as a table of (cid, ord, n, sk, bitmap, segs), one row per distinct text; ``ord`` is -1 for the history and
     the first arrival_id for appended texts."""
 
     def __init__(self, spark: SparkSession, rows: DataFrame):
@@ -181,7 +202,7 @@ class SegmentIndex:
 
     def append(self, batch: DataFrame) -> SegmentIndex:
         """``batch`` as signatures with ``ord``."""
-        own = batch.select("cid", "n", "sk", "segs", "ord")
+        own = batch.select("cid", "n", "sk", *BITMAP, "segs", "ord")
         return SegmentIndex(self.spark, self.rows.unionByName(own))
 
     def _hot(self) -> np.ndarray:
@@ -218,29 +239,24 @@ class SegmentIndex:
                         row, flat, is_hot = row[keep], flat[keep], is_hot[keep]
                     taken = pa.array(row, pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(c).take(taken) for c in ("cid", "n", "sk")] + [pa.array(flat), pa.array(is_hot)],
-                        ["cid", "n", "sk", "seg", "hot"],
+                        [batch.column(c).take(taken) for c in ("cid", "n", "sk", *BITMAP)] + [pa.array(flat), pa.array(is_hot)],
+                        ["cid", "n", "sk", *BITMAP, "seg", "hot"],
                     )
 
             return run
 
-        kind = "cid long, n int, sk long, seg long, hot boolean"
+        kind = "cid long, n int, sk long, b0 long, b1 long, b2 long, b3 long, seg long, hot boolean"
 
         def keyed(df: DataFrame) -> DataFrame:
             keys = F.when(F.col("hot"), F.array(*[_banded(F.col("seg"), F.col("sk"), b) for b in range(BANDS)]))
             if not len(hot):
-                return df.select(F.col("seg").alias("key"), "cid", "n", "sk")
-            return df.select(F.explode(F.coalesce(keys, F.array("seg"))).alias("key"), "cid", "n", "sk")
+                return df.select(F.col("seg").alias("key"), "cid", "n", *BITMAP)
+            return df.select(F.explode(F.coalesce(keys, F.array("seg"))).alias("key"), "cid", "n", *BITMAP)
 
-        index = keyed(self.rows.select("cid", "n", "sk", "segs").mapInArrow(split("segs", True), kind))
-        asked = keyed(batch.select("cid", "n", "sk", "probes").mapInArrow(split("probes", False), kind))
+        index = keyed(self.rows.select("cid", "n", "sk", *BITMAP, "segs").mapInArrow(split("segs", True), kind))
+        asked = keyed(batch.select("cid", "n", "sk", *BITMAP, "probes").mapInArrow(split("probes", False), kind))
         a, b = asked.alias("a"), index.alias("b")
-        near = (
-            (F.col("a.cid") != F.col("b.cid"))
-            & (F.least("a.n", "b.n") >= KEPT * F.greatest("a.n", "b.n"))
-            & (agreeing(F.col("a.sk"), F.col("b.sk")) >= AGREE)
-        )
-        met = a.join(b, (F.col("a.key") == F.col("b.key")) & near)
+        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cid") != F.col("b.cid")) & may_be_same())
         return met.select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct()
 
 
@@ -260,6 +276,21 @@ def distance(a: list[str], b: list[str], most: int) -> int:
     return last.get(len(b), most + 1)
 
 
+@lru_cache(20_000)
+def _counted(text: str) -> tuple[list[str], frozenset[tuple[str, int]]]:
+    """The words of a text, and each with which time it stands there."""
+    words, times, counted = words_of(text), Counter(), []
+    for w in words:
+        counted.append((w, times[w]))
+        times[w] += 1
+    return words, frozenset(counted)
+
+
+def same_texts(a: str, b: str) -> bool:
+    (x, counted_x), (y, counted_y) = _counted(a), _counted(b)
+    return len(counted_x & counted_y) >= KEPT * max(len(x), len(y)) and same_post(x, y)
+
+
 def same_post(a: list[str], b: list[str], kept: float = KEPT) -> bool:
     """Whether at least ``kept`` of the words of the longer text are kept: in word pairs both have (so that moved
     sentences count), or by edit distance."""
@@ -281,8 +312,7 @@ def verified(pairs: DataFrame, texts_a: DataFrame, texts_b: DataFrame) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [
-                same_post(words_of(x), words_of(y))
-                for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)
+                same_texts(x, y) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)
             ]
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
