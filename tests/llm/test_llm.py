@@ -167,6 +167,19 @@ def test_pairs_with_a_fifth_of_the_words_replaced_meet(spark):
     assert found >= {(1000 + i, i) for i in range(300)} and len(found) < 400
 
 
+def test_a_repost_whose_intact_segments_are_all_hot_meets(spark, monkeypatch):
+    monkeypatch.setattr(segment_index, "HOT", 3)
+    monkeypatch.setattr(segment_index, "SALTED", 4, raising=False)  # so the hot segments have several keys
+    rng = random.Random(6)
+    intro = [f"i{k}" for k in range(45)]
+    old = [[*intro, *(f"w{rng.randrange(5000)}" for _ in range(15))] for _ in range(40)]
+    texts = lambda rows: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "cid long, text string")
+    new = [(1000 + i, [f"x{i}" if k >= 45 and k % 2 else w for k, w in enumerate(words)]) for i, words in enumerate(old)]
+    index = segment_index.SegmentIndex.build(spark, texts(enumerate(old)))
+    found = {(r["a"], r["b"]) for r in index.candidates(segment_index.signatures(texts(new), True)).collect()}
+    assert found >= {(1000 + i, i) for i in range(40)}
+
+
 # --- canonical values ------------------------------------------------------------------------------------------------
 def test_mapped_values(spark):
     names = spark.createDataFrame(

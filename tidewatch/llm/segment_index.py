@@ -1,17 +1,19 @@
 """Near-duplicates of new batches in all that was accepted before, by a segment index for edit distance.
 
-A text of n words is cut into ``EDITS`` * n + 1 segments of equal length: as long as at most ``EDITS`` of its words
-are edited, one segment at least is intact and stands, at some place, in the edited text. The index holds the hash of
-every segment (its words and so its length) with the text's length and a bitmap of its words; a batch is probed with
+A text of n words is cut into at least ``EDITS`` * n + 1 segments: as long as at most ``EDITS`` of its words are edited,
+one of any ``EDITS`` * n + 1 segments at least is intact and stands, at some place, in the edited text. Segments have
+``PIECE`` words where so many are enough, else equal lengths. The index holds the hash of each chosen segment (its words
+and so its length) with the text's length and a bitmap of its words; a batch is probed with
 those of its substrings that have a segment's length for some text of similar length. Positions aren't compared, because
 sentences move within reposts. Of what meets, lengths and bitmaps are compared at once: a bit that only one text has is
 a word the other lacks, so what has too many of them can't be the same post, and no pair is lost there. The texts of the
 remaining pairs are verified word by word. Accepted batches append their segments; nothing of the history is read again
 but the index.
 
-Segments that very many texts share (standing introductions) prove little and would pair everything with everything:
-a text with at least ``ENOUGH`` other segments is not indexed under them, a text without is indexed under each of them
-together with each band of its sketch, so nothing is dropped. Equal texts are one class throughout.
+Segments that very many texts share (standing introductions) prove little. A text is indexed under its ``EDITS`` * n + 1
+rarest segments, so the commonest are used only where a text hasn't enough others; those are used in full, and the
+texts of a segment that very many are indexed under are spread over salted keys, each of which the batch probes. So no
+pair is lost by how often a segment occurs. Equal texts are one class throughout.
 
 Defined results: null, blank and ``nan`` ids are no ids; a null content hash is computed; null and blank texts have no
 segments and near-duplicate nothing; repeated arrivals are rejected but for the smallest arrival_id; ties don't arise,
@@ -34,10 +36,11 @@ from tidewatch.functions.text import content_hash
 from tidewatch.llm.lookalikes import plain
 from tidewatch.storage import pinned
 
-EDITS, KEPT, HOT, ENOUGH = 0.25, 0.75, 200, 3
+EDITS, KEPT, PIECE, HOT = 0.25, 0.75, 3, 50
+#: Texts of a segment under one key.
+SALTED = 5_000
 #: The list of hot segments is broadcast; the least count that is hot rises so that the list never exceeds this.
 HOT_LIST = 2_000_000
-SKETCH, BANDS = 16, 4
 #: 64-bit parts of a text's bitmap.
 BITMAP = ("b0", "b1", "b2", "b3")
 
@@ -71,10 +74,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def needed(n: int) -> int:
+    """How many segments can't all be hit by the edits of a text of n words."""
+    return int(EDITS * n) + 1
+
+
 def segment_bounds(n: int) -> np.ndarray:
-    """Where the segments of a text of n words begin, and its end."""
-    m = int(EDITS * n) + 1
-    return np.arange(m + 1) * n // m
+    """Where the segments of a text of n words begin, and the last one's end."""
+    m = needed(n)
+    return np.arange(n // PIECE + 1) * PIECE if n // PIECE >= m else np.arange(m + 1) * n // m
 
 
 def _spans(h: np.ndarray, length: int) -> np.ndarray:
@@ -86,6 +94,7 @@ def _spans(h: np.ndarray, length: int) -> np.ndarray:
 
 
 def segments(h: np.ndarray) -> np.ndarray:
+    """One hash for each segment; a repeated one comes out as often as it stands there."""
     n = len(h)
     if not n:
         return np.zeros(0, np.uint64)
@@ -95,15 +104,14 @@ def segments(h: np.ndarray) -> np.ndarray:
     for size in np.unique(sizes):
         here = sizes == size
         out[here] = _spans(h, int(size))[at[:-1][here]]
-    return np.unique(out)
+    return out
 
 
 def probe_lengths(n: int) -> list[int]:
     """Segment lengths of all texts a text of n words may be an edit of."""
     found: set[int] = set()
     for other in {*range(max(1, int(n * KEPT)), min(int(n / KEPT) + 2, 400)), int(n * KEPT), int(n / KEPT) + 1} - {0}:
-        m = int(EDITS * other) + 1
-        found |= {other // m, -(-other // m)}
+        found |= set(np.diff(segment_bounds(other)).tolist())
     return sorted(x for x in found if 0 < x <= n)
 
 
@@ -116,21 +124,6 @@ def probes(h: np.ndarray, lengths: dict[int, list[int]] = {}) -> np.ndarray:  #
     return np.unique(np.concatenate([_spans(h, size) for size in lengths[n]]))
 
 
-_SALTS = _mixed(np.arange(1, SKETCH + 1, dtype=np.uint64) * _MIX)
-
-
-def sketch(h: np.ndarray) -> int:
-    """Four bits of each of ``SKETCH`` minima over the word pairs."""
-    if not len(h):
-        return 0
-    pairs = _spans(h, 2) if len(h) > 1 else _mixed(h)
-    least = _mixed(pairs[None, :] ^ _SALTS[:, None]).min(1) & np.uint64(15)
-    out = 0
-    for v in least.tolist():
-        out = out << 4 | v
-    return out - (1 << 64) if out >= 1 << 63 else out
-
-
 def bitmap(h: np.ndarray) -> np.ndarray:
     """A bit for each word and which time it stands in the text."""
     bits = np.zeros(64 * len(BITMAP), np.uint8)
@@ -143,30 +136,29 @@ def bitmap(h: np.ndarray) -> np.ndarray:
 
 
 def signatures(texts: DataFrame, with_probes: bool) -> DataFrame:
-    """Of (cid, text): cid, words, sketch, bitmap, segments and, for a batch, probes."""
+    """Of (cid, text): cid, words, bitmap, segments and, for a batch, probes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                n, sk, bits, seg, prb = [], [], [], [], []
+                n, bits, seg, prb = [], [], [], []
                 for text in batch.column("text").to_pylist():
                     h = np.array([_numbers[w] for w in words_of(text)], np.uint64)
                     n.append(len(h))
-                    sk.append(sketch(h))
                     bits.append(bitmap(h))
                     seg.append(segments(h).view(np.int64))
                     if with_probes:
                         prb.append(probes(h).view(np.int64))
                 parts = np.array(bits, np.int64).reshape(-1, len(BITMAP))
-                columns = [batch.column("cid"), pa.array(n, pa.int32()), pa.array(sk, pa.int64()), *map(pa.array, parts.T.copy()), pa.array(seg, pa.list_(pa.int64()))]
-                names = ["cid", "n", "sk", *BITMAP, "segs"]
+                columns = [batch.column("cid"), pa.array(n, pa.int32()), *map(pa.array, parts.T.copy()), pa.array(seg, pa.list_(pa.int64()))]
+                names = ["cid", "n", *BITMAP, "segs"]
                 if with_probes:
                     columns.append(pa.array(prb, pa.list_(pa.int64())))
                     names.append("probes")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    kind = "cid long, n int, sk long, b0 long, b1 long, b2 long, b3 long, segs array<long>" + ", probes array<long>" * with_probes
+    kind = "cid long, n int, b0 long, b1 long, b2 long, b3 long, segs array<long>" + ", probes array<long>" * with_probes
     return texts.where("trim(text) <> ''").select("cid", "text").mapInArrow(run, kind)
 
 
@@ -182,14 +174,8 @@ def may_be_same() -> Column:
     return (F.least("a.n", "b.n") >= KEPT * most) & lacking("a", "b") & lacking("b", "a")
 
 
-def _banded(seg: Column, sk: Column, band: int) -> Column:
-    """The key of a hot segment together with one band of the sketch."""
-    bits = 64 // BANDS
-    return F.xxhash64(seg, F.lit(band), F.shiftrightunsigned(sk, band * bits).bitwiseAND(F.lit((1 << bits) - 1)))
-
-
 class SegmentIndex:
-    """The index as a table of (cid, ord, n, sk, bitmap, segs), one row per distinct text; ``ord`` is -1 for the history and
+    """The index as a table of (cid, ord, n, bitmap, segs), one row per distinct text; ``ord`` is -1 for the history and
     the first arrival_id for appended texts."""
 
     def __init__(self, spark: SparkSession, rows: DataFrame):
@@ -202,10 +188,11 @@ class SegmentIndex:
 
     def append(self, batch: DataFrame) -> SegmentIndex:
         """``batch`` as signatures with ``ord``."""
-        own = batch.select("cid", "n", "sk", *BITMAP, "segs", "ord")
+        own = batch.select("cid", "n", *BITMAP, "segs", "ord")
         return SegmentIndex(self.spark, self.rows.unionByName(own))
 
-    def _hot(self) -> np.ndarray:
+    def _hot(self) -> tuple[np.ndarray, np.ndarray]:
+        """The segments of more than ``HOT`` texts, sorted, and of how many."""
         spread = self.rows.select(F.explode("segs").alias("seg"))
         counts = spread.groupBy("seg").count().where(F.col("count") > HOT)
         counts = pinned(counts, "hot-segments")
@@ -213,48 +200,49 @@ class SegmentIndex:
         if total > HOT_LIST:
             least = counts.approxQuantile("count", [1 - HOT_LIST / total / 2], 0.01)[0]
             counts = counts.where(F.col("count") > least)
-        return np.sort(counts.select("seg").toPandas()["seg"].to_numpy(np.int64))
+        found = counts.toPandas().sort_values("seg")
+        return found["seg"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
 
     def candidates(self, batch: DataFrame) -> DataFrame:
         """Pairs (a, b): class of the batch and indexed class that may be near, before texts are compared."""
-        hot = self._hot()
-        shared = self.spark.sparkContext.broadcast(hot)
+        shared = self.spark.sparkContext.broadcast(self._hot())
+
+        def keyed(df: DataFrame, column: str, chosen: bool) -> DataFrame:
+            """A row for each key of a text; ``chosen``: of the index, under the rarest segments."""
 
-        def split(column: str, texts_choose: bool):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                known = shared.value
+                known, counts = shared.value
                 for batch in batches:
                     lists = batch.column(column)
                     flat = lists.flatten().to_numpy(zero_copy_only=False)
                     sizes = np.diff(lists.offsets.to_numpy())
                     row = np.repeat(np.arange(len(sizes)), sizes)
+                    count = np.zeros(len(flat), np.int64)
                     if len(known):
                         i = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-                        is_hot = known[i] == flat
+                        count = np.where(known[i] == flat, counts[i], 0)
+                    salts = 1 + count // SALTED
+                    if chosen:
+                        order = np.lexsort((count, row))
+                        rank = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                        most = np.array([needed(n) for n in batch.column("n").to_pylist()], np.int64)
+                        taken = order[rank < most[row]]
+                        row, flat = row[taken], flat[taken]
+                        salt = batch.column("cid").to_numpy()[row] % salts[taken]
                     else:
-                        is_hot = np.zeros(len(flat), bool)
-                    if texts_choose:  # of the index: hot segments only where there are too few others
-                        cold = np.bincount(row, weights=~is_hot, minlength=len(sizes))
-                        keep = ~is_hot | (cold[row] < ENOUGH)
-                        row, flat, is_hot = row[keep], flat[keep], is_hot[keep]
-                    taken = pa.array(row, pa.int64())
+                        row, flat = np.repeat(row, salts), np.repeat(flat, salts)
+                        salt = np.arange(len(flat)) - np.repeat(np.cumsum(salts) - salts, salts)
+                    # without a salt the key is the segment itself
+                    key = flat ^ _mixed(salt.astype(np.uint64)).view(np.int64)
+                    at = pa.array(row, pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(c).take(taken) for c in ("cid", "n", "sk", *BITMAP)] + [pa.array(flat), pa.array(is_hot)],
-                        ["cid", "n", "sk", *BITMAP, "seg", "hot"],
+                        [pa.array(key), *(batch.column(c).take(at) for c in ("cid", "n", *BITMAP))], ["key", "cid", "n", *BITMAP]
                     )
 
-            return run
-
-        kind = "cid long, n int, sk long, b0 long, b1 long, b2 long, b3 long, seg long, hot boolean"
-
-        def keyed(df: DataFrame) -> DataFrame:
-            keys = F.when(F.col("hot"), F.array(*[_banded(F.col("seg"), F.col("sk"), b) for b in range(BANDS)]))
-            if not len(hot):
-                return df.select(F.col("seg").alias("key"), "cid", "n", *BITMAP)
-            return df.select(F.explode(F.coalesce(keys, F.array("seg"))).alias("key"), "cid", "n", *BITMAP)
+            kind = "key long, cid long, n int, b0 long, b1 long, b2 long, b3 long"
+            return df.select("cid", "n", *BITMAP, column).mapInArrow(run, kind)
 
-        index = keyed(self.rows.select("cid", "n", "sk", *BITMAP, "segs").mapInArrow(split("segs", True), kind))
-        asked = keyed(batch.select("cid", "n", "sk", *BITMAP, "probes").mapInArrow(split("probes", False), kind))
+        index, asked = keyed(self.rows, "segs", True), keyed(batch, "probes", False)
         a, b = asked.alias("a"), index.alias("b")
         met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cid") != F.col("b.cid")) & may_be_same())
         return met.select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct()
