@@ -92,6 +92,26 @@ def test_scored_rows_with_nulls_long_and_repeated_texts(spark):
     assert out["3"]["score"] is None and abuse.scored(df.limit(0), ["id"], "t", model).count() == 0
 
 
+def test_the_threshold_covers_all_posts(spark):
+    """Posts unlike the background move it, and it is the same for every part and order of the table."""
+    model = abuse.trained(["the kettle is fine and i like it", "what a lovely lamp for the price"] * 5)
+    data = [(str(i), f"you people sell number {i} and nobody here asked for it") for i in range(400)] + [("a", None), ("b", "what a lovely lamp")]
+    posts = spark.createDataFrame(data, "id string, t string")
+    plainly = {r["id"]: r["score"] for r in abuse.scored(posts, ["id"], "t", model).collect()}
+    found = {r["id"]: (r["score"], r["flagged"]) for r in abuse.judged(posts, ["id"], "t", model).collect()}
+    raw = np.array([s for s in plainly.values() if s is not None]) + model.threshold
+    middle, high = np.quantile(raw, (0.5, 0.9))
+    cut = middle + abuse.TAIL * (high - middle) / 1.2816
+    assert abs(cut - model.threshold) > 0.1
+    assert found["a"] == (None, False)
+    assert all(abs(found[k][0] - (s + model.threshold - cut)) < 0.1 for k, s in plainly.items() if s is not None)
+    again = {r["id"]: (r["score"], r["flagged"]) for r in abuse.judged(posts.repartition(7), ["id"], "t", model).collect()}
+    assert {k: v[1] for k, v in again.items()} == {k: v[1] for k, v in found.items()}
+    # the last text of a batch is scored with more blanks behind it, which shows in a few low scores
+    assert sum(abs(again[k][0] - found[k][0]) < 0.02 for k in found if k != "a") >= 395
+    assert abuse.judged(posts.limit(0), ["id"], "t", model).count() == 0
+
+
 # --- segment index ---------------------------------------------------------------------------------------------------
 def _edited(rng, words, share):
     out = list(words)

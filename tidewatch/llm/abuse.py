@@ -8,8 +8,8 @@ in a text of any length; all windows of all texts are scored, with cumulated sum
 Training takes the labelled lines of ``abuse_labels``, written out with slots and usual disguises, and as harmless
 background the windows of at most ``BACKGROUND`` posts (those with the smallest hash of their id, a documented bound
 that doesn't grow with the table). Windows of an abusive line are learned by the window that shows it best; background
-that a first fit takes for abusive is left out of the second. The threshold lies between the highest harmless posts
-and the abusive lines.
+that a first fit takes for abusive is left out of the second. The threshold is taken from the scores of all posts, by a
+histogram, so it means the same at every size of the table; the sample serves for fitting only.
 
 Defined results: null text has a null score and isn't flagged; blank text scores like harmless; repeated rows give
 equal scores; an empty table gives an empty result (the classifier then learns from the labelled lines alone).
@@ -20,7 +20,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +30,14 @@ from pyspark.sql import functions as F
 from tidewatch.llm.abuse_labels import ABUSIVE, HARMLESS, SLOTS
 from tidewatch.llm.lookalikes import plain
 from tidewatch.llm.samples import bounded_sample
+from tidewatch.storage import pinned
 
 BITS, ORDERS, WINDOW, BACKGROUND, COPIES, TAIL = 18, (2, 3, 4, 5), 48, 3000, 20, 5.5
 
 #: Windows learned at once.
 STEP = 256
+#: Width of the bins of the scores' histogram, and where it ends on either side: at most 100,001 rows.
+BIN, FAR = 0.001, 50
 
 # Signs that stand for letters.
 LEET = str.maketrans("4@3108$57", "aaeiobsst")
@@ -198,10 +201,24 @@ def trained(background: list[str], seed: int = 11) -> Model:
 def _beyond(scores: np.ndarray) -> float:
     """Where harmless posts end: ``TAIL`` standard deviations over their median. The deviation is taken from the
     median and the nine tenths quantile, so abusive posts among them don't move it."""
-    middle, high = np.quantile(scores, (0.5, 0.9))
+    return _end(*np.quantile(scores, (0.5, 0.9)))
+
+
+def _end(middle: float, high: float) -> float:
     return float(middle + TAIL * max(high - middle, 1e-6) / 1.2816)
 
 
+def threshold_of_all(scores: DataFrame) -> float | None:
+    """Where harmless posts end by the column ``score`` of all rows; none if there are no scores."""
+    bins = F.round(F.greatest(F.least("score", F.lit(float(FAR))), F.lit(-float(FAR))) / BIN).cast("long")
+    counts = scores.where(F.col("score").isNotNull()).groupBy(bins.alias("bin")).count().toPandas().sort_values("bin")
+    if not len(counts):
+        return None
+    below = np.cumsum(counts["count"].to_numpy())
+    at = np.searchsorted(below, (0.5 * below[-1], 0.9 * below[-1]))
+    return _end(*(counts["bin"].to_numpy()[at] * BIN))
+
+
 def background(posts: DataFrame, key: str, text: str, bound: int = BACKGROUND) -> list[str]:
     return [r["t"] for r in bounded_sample(posts.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")), "k", bound)]
 
@@ -229,3 +246,11 @@ def scored(posts: DataFrame, keys: list[str], text: str, model: Model) -> DataFr
     rows = posts.select(*keys, F.col(text).alias("t"))
     schema = ", ".join(f"`{k}` {t}" for k, t in rows.dtypes if k in keys)
     return rows.mapInArrow(run, schema + ", score double, flagged boolean")
+
+
+def judged(posts: DataFrame, keys: list[str], text: str, model: Model) -> DataFrame:
+    """As ``scored``, by the threshold over the scores of all ``posts`` instead of the model's own. Texts are scored once."""
+    rows = pinned(scored(posts, keys, text, replace(model, threshold=0.0)).select(*keys, "score"), "abuse-scores")
+    cut = threshold_of_all(rows)
+    score = F.col("score") - F.lit(0.0 if cut is None else cut)
+    return rows.select(*keys, score.alias("score"), F.coalesce(score > 0, F.lit(False)).alias("flagged"))
