@@ -178,6 +178,12 @@ def test_ranking_metrics_and_split(spark):
     assert all(x["n"] == 1 for x in sides) and {x["t"] for x in sides} == {True, False}
 
 
+def test_reranker_has_the_references_size(spark, monkeypatch):
+    monkeypatch.setattr(reranker.GBTClassifier, "fit", lambda self, data: self)
+    fitted = reranker.trained(spark.createDataFrame([(1, *[0.0] * len(reranker.FEATURES))], ["label", *reranker.FEATURES]))
+    assert (fitted.getMaxIter(), fitted.getMaxDepth(), fitted.getFeatureSubsetStrategy()) == (300, 4, "0.8")
+
+
 def test_captured_sources(spark, tmp_path):
     (tmp_path / "listing").mkdir()
     page = {"data": {"after": "x", "children": [{"data": {"id": "1", "title": "T", "selftext": "[deleted]", "created_utc": 1772524800, "score": 2, "num_comments": 3, "permalink": "/r/a/comments/1/"}}]}}
