@@ -184,6 +184,18 @@ def test_reranker_has_the_references_size(spark, monkeypatch):
     assert (fitted.getMaxIter(), fitted.getMaxDepth(), fitted.getFeatureSubsetStrategy()) == (300, 4, "0.8")
 
 
+def test_category_keywords_and_phrases_of_all_the_post(spark):
+    words = " ".join(f"w{i // 2}x" for i in range(200)) + " quiet heating pad"
+    posts_ = spark.createDataFrame([("1", words)], "mention_id string, body string")
+    registry = spark.createDataFrame([], "brand_norm string, is_whitelist_brand boolean")
+    aliases = spark.createDataFrame([], "alias_norm string, brand_norm string, source string")
+    profiles = spark.createDataFrame([("7", "Pads", ["pad"], ["Heating Pad"]), ("6", "Heat", None, ["heating pad"]), (" ", "-", None, ["quiet heating"])], "cluster_id string, cluster_name string, top_product_terms array<string>, top_product_phrases array<string>")
+    found = {r["entity_norm"]: r for r in entities.extracted(posts_, registry, aliases, entities.cluster_terms(profiles)).collect()}
+    pad, quiet = found["heating pad"], found["quiet heating"]
+    assert (pad["entity_type"], pad["confidence"], pad["matched_cluster_id"], pad["matched_cluster_name"]) == ("category_keyword", 0.65, "7", "Pads")
+    assert (quiet["entity_type"], quiet["confidence"], quiet["matched_cluster_id"]) == ("product_phrase", 0.45, None)
+
+
 def test_captured_sources(spark, tmp_path):
     (tmp_path / "listing").mkdir()
     page = {"data": {"after": "x", "children": [{"data": {"id": "1", "title": "T", "selftext": "[deleted]", "created_utc": 1772524800, "score": 2, "num_comments": 3, "permalink": "/r/a/comments/1/"}}]}}

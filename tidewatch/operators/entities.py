@@ -170,8 +170,17 @@ def candidates(posts: DataFrame, known: DataFrame) -> DataFrame:
     return rows.join(known.select(F.col("brand_norm").alias("entity_norm")).distinct(), "entity_norm", "left_anti")
 
 
-def extracted(posts: DataFrame, registry: DataFrame, aliases: DataFrame) -> DataFrame:
-    """All entities of posts (mention_id, body) in order of emission, the first of each (post, norm, type, source)."""
+def cluster_terms(profiles: DataFrame) -> DataFrame:
+    """term, cluster_id, cluster_name of cluster profiles; a term of several clusters belongs to the last id."""
+    terms = F.explode(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("top_product_terms", "top_product_phrases")]))
+    rows = profiles.where(F.trim("cluster_id") != "").select(terms.alias("t"), "cluster_id", "cluster_name").withColumn("term", text.token_form(F.col("t")))
+    return rows.where("term <> ''").groupBy("term").agg(F.max("cluster_id").alias("cluster_id"), F.max_by("cluster_name", "cluster_id").alias("cluster_name"))
+
+
+def extracted(posts: DataFrame, registry: DataFrame, aliases: DataFrame, terms: DataFrame) -> DataFrame:
+    """All entities of posts (mention_id, body) in order of emission, the first of each (post, norm, type, source).
+    ``terms``: term, cluster_id, cluster_name; a phrase that is one is a category keyword with that cluster. All word
+    pairs of a post are phrases."""
     # the forms need Python and are read by five branches, so they are made once
     readable = pinned(
         posts.select("mention_id", "body", text.match_form(F.col("body")).alias("form"), text.token_form(F.col("body")).alias("token")), "forms"
@@ -183,11 +192,14 @@ def extracted(posts: DataFrame, registry: DataFrame, aliases: DataFrame) -> Data
     found = found.join(readable.select("mention_id", "body"), "mention_id").where((F.col("n") > 1) | F.col("body").rlike(PURCHASE))
     found = found.select("mention_id", F.col("brand_norm").alias("entity_norm"), F.lit("brand").alias("entity_type"), F.lit(0.85).alias("confidence"), F.lit("catalog").alias("source"), "brand_norm", F.lit(2).alias("stage"))
     rules = rule_hits(readable, F.col("token")).select("mention_id", F.col("entity_text").alias("entity_norm"), "entity_type", "confidence", "source", F.lit("").alias("brand_norm"), F.lit(5).alias("stage"))
-    phrases = readable.select("mention_id", F.explode(F.array_distinct(F.slice(text.grams(text.words(F.col("token")), 2), 1, 80))).alias("entity_norm")).where(useful_phrase(F.col("entity_norm")))
+    phrases = readable.select("mention_id", F.explode(F.array_distinct(text.grams(text.words(F.col("token")), 2))).alias("entity_norm")).where(useful_phrase(F.col("entity_norm")))
     named = white.unionByName(found).select("mention_id", "entity_norm").distinct()
-    phrases = phrases.join(named, ["mention_id", "entity_norm"], "left_anti").select("mention_id", "entity_norm", F.lit("product_phrase").alias("entity_type"), F.lit(0.45).alias("confidence"), F.lit("tokens").alias("source"), F.lit("").alias("brand_norm"), F.lit(4).alias("stage"))
+    phrases = phrases.join(named, ["mention_id", "entity_norm"], "left_anti").join(terms.withColumnRenamed("term", "entity_norm"), "entity_norm", "left")
+    known = F.col("cluster_id").isNotNull()
+    kind, sure = F.when(known, "category_keyword").otherwise("product_phrase"), F.when(known, 0.65).otherwise(0.45)
+    phrases = phrases.select("mention_id", "entity_norm", kind.alias("entity_type"), sure.alias("confidence"), F.col("cluster_id").alias("matched_cluster_id"), F.col("cluster_name").alias("matched_cluster_name"), F.lit("tokens").alias("source"), F.lit("").alias("brand_norm"), F.lit(4).alias("stage"))
     new = candidates(posts, registry).select("mention_id", "entity_norm", F.lit("unknown_candidate").alias("entity_type"), F.lit(0.45).alias("confidence"), "source", F.lit("").alias("brand_norm"), F.lit(6).alias("stage"))
-    every = white.unionByName(found).unionByName(phrases).unionByName(rules).unionByName(new)
+    every = white.unionByName(found).unionByName(phrases, allowMissingColumns=True).unionByName(rules, allowMissingColumns=True).unionByName(new, allowMissingColumns=True)
     return keep_one(every, ["mention_id", "entity_norm", "entity_type", "source"], [F.col("stage"), F.col("brand_norm")])
 
 

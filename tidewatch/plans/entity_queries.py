@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import catalog as C
 from tidewatch.operators import entities as E
 from tidewatch.operators.rows import keep_one
+from tidewatch.plans.catalog_queries import products
 from tidewatch.plans.text_queries import POSTS_SQL, combined, posts
 from tidewatch.storage import table
 
@@ -47,7 +48,8 @@ def name_candidates(spark: SparkSession, folder: str) -> DataFrame:
 def extracted_entities(spark: SparkSession, folder: str) -> DataFrame:
     """All entities of all posts by every rule."""
     registry = table(spark, folder, "brand_registry")
-    return E.extracted(_forms(spark, folder), registry, C.alias_lookup(registry))
+    terms = E.cluster_terms(C.cluster_profiles(products(spark, folder)))
+    return E.extracted(_forms(spark, folder), registry, C.alias_lookup(registry), terms)
 
 
 def distinct_entities(spark: SparkSession, folder: str) -> DataFrame:
