@@ -184,6 +184,14 @@ def test_reranker_has_the_references_size(spark, monkeypatch):
     assert (fitted.getMaxIter(), fitted.getMaxDepth(), fitted.getFeatureSubsetStrategy()) == (300, 4, "0.8")
 
 
+def test_aliases_of_any_length(spark):
+    names = ["one", "a very long name of seven words"]
+    texts = spark.createDataFrame([("1", "one is a very long name of seven words here")], "mention_id string, form string")
+    known = spark.createDataFrame([(n, n) for n in names], "alias_norm string, brand_norm string")
+    assert {(r["alias_norm"], r["place"]) for r in entities.alias_hits(texts, known).collect()} == {(names[0], 1), (names[1], 3)}
+    assert entities.alias_hits(texts, known.limit(0)).count() == 0
+
+
 def test_category_keywords_and_phrases_of_all_the_post(spark):
     words = " ".join(f"w{i // 2}x" for i in range(200)) + " quiet heating pad"
     posts_ = spark.createDataFrame([("1", words)], "mention_id string, body string")

@@ -77,10 +77,11 @@ def word_runs(df: DataFrame, keys: list[str], form: Column, longest: int) -> Dat
     return tokens.select(*keys, F.explode(runs).alias("r")).select(*keys, "r.*")
 
 
-def alias_hits(posts: DataFrame, aliases: DataFrame, longest: int = 4) -> DataFrame:
+def alias_hits(posts: DataFrame, aliases: DataFrame) -> DataFrame:
     """Aliases that stand in a post as whole words, each once, at its first place. ``posts``: mention_id, form;
-    ``aliases``: alias_norm, brand_norm. Aliases of fewer than three letters count only if on the short list."""
+    ``aliases``: alias_norm, brand_norm. Aliases of fewer than three letters count only if on the short list; the longest runs have as many words as the longest alias."""
     usable = aliases.where((F.length(F.replace("alias_norm", F.lit(" "))) >= 3) | F.col("alias_norm").isin(SHORT_ALIASES))
+    longest = usable.agg(F.max(F.size(F.split("alias_norm", " +")))).first()[0] or 1
     runs = word_runs(posts, ["mention_id"], F.col("form"), longest)
     hits = runs.join(usable, runs["run"] == usable["alias_norm"])
     return hits.groupBy("mention_id", "alias_norm", "brand_norm").agg(F.min("place").alias("place"))

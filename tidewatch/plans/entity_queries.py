@@ -24,7 +24,7 @@ def alias_hits(spark: SparkSession, folder: str) -> DataFrame:
     names = rows.select("brand_norm", F.explode(F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.col("brand_norm"))).alias("alias"))
     form = F.trim(F.regexp_replace(F.lower("alias"), "[^a-z0-9]+", " "))
     names = names.select(form.alias("alias_norm"), "brand_norm").where("alias_norm <> ''").distinct()
-    return E.alias_hits(_forms(spark, folder), names, longest=3)
+    return E.alias_hits(_forms(spark, folder), names)
 
 
 def catalog_hits(spark: SparkSession, folder: str) -> DataFrame:
