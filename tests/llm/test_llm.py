@@ -318,6 +318,14 @@ def test_found_in_like_the_rule(spark):
     assert leaks.found_in(df.select("doc_id", "text").limit(0), it.select("item_id", "suite", "text")).count() == 0
 
 
+def test_a_stretch_repeated_many_times_hides_no_other():
+    """One stretch of the passage stands 300 times in the document, another one once; half is in both together."""
+    often = [(0, 20, 1000 * k) for k in range(300)]
+    assert leaks.half_in_runs([*often, (40, 54, 7)], 68)
+    assert not leaks.half_in_runs([*often, (10, 24, 7)], 68)
+    assert not leaks.half_in_runs([*often, (40, 53, 7)], 68)
+
+
 # --- subjects --------------------------------------------------------------------------------------------------------
 def test_subjects_of_held_out_documents(spark):
     rng = random.Random(10)

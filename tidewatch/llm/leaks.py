@@ -190,14 +190,13 @@ def half_in_runs(stretches: list[tuple[int, int, int]], n: int) -> bool:
             runs.append((chosen[0], end))
     if not runs:
         return False
-    runs.sort(key=lambda r: r[0] - r[1])
-    most = 0
-    for i, (a, b) in enumerate(runs[:200]):
-        most = max(most, b - a)
-        for c, d in runs[i + 1 : 200]:
-            if c >= b or d <= a:
-                most = max(most, b - a + d - c)
-    return most >= PART * n
+    # the longest run that ends at or before each place of the passage; of a run and one before it all pairs are compared
+    before = [0] * (n + 1)
+    for a, b in set(runs):
+        before[b] = max(before[b], b - a)
+    for place in range(1, n + 1):
+        before[place] = max(before[place], before[place - 1])
+    return max(b - a + before[a] for a, b in runs) >= PART * n
 
 
 def passages(rows: list[tuple], shared: int = 5) -> list[tuple]:
