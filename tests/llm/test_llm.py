@@ -218,6 +218,24 @@ def test_mapped_values(spark):
     assert canonical_values.mapped(values.limit(0), canonical_values.names_of(names)).count() == 0
 
 
+def test_the_two_best_names_of_all():
+    """Whatever the cosine's order, the two best scores are those of all names with a common n-gram."""
+    rng = random.Random(3)
+    names = ["".join(rng.choices("abcde", k=rng.randint(5, 9))) for _ in range(200)]
+    names = sorted(set(names))
+    index = canonical_values.Index(names, names, {}, 1.0)
+    for value in ["".join(rng.choices("abcde", k=7)) for _ in range(60)]:
+        own = set(canonical_values.grams([value]))
+        every = []
+        for name in names:
+            other = set(canonical_values.grams([name]))
+            if own & other:
+                cosine = len(own & other) / (len(own) * len(other)) ** 0.5
+                every.append((cosine + 1 - canonical_values.distance(value, name, 4) / max(len(value), len(name))) / 2)
+        if value not in names:
+            assert [o[1] for o in index.best(value)] == pytest.approx(sorted(every)[:-3:-1])
+
+
 def test_several_blocks_of_names_like_one(spark, monkeypatch):
     rng = random.Random(8)
     made = ["".join(rng.choices("abcdefgklmnoprstuvyz", k=9)) for _ in range(60)]

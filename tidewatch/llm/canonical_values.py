@@ -29,8 +29,9 @@ from tidewatch.llm.lookalikes import plain
 from tidewatch.storage import pinned
 
 BLOCK = 20_000
-#: Names are retrieved by cosine and scored by the mean of cosine and edit similarity.
-RETRIEVED, THRESHOLD, MARGIN, SHORT, LONG = 12, 0.45, 0.05, 4, 9
+#: Every name with a common n-gram that may be among the two best is scored by the mean of cosine and edit similarity,
+#: in which ``FAR`` and more edits count alike.
+FAR, THRESHOLD, MARGIN, SHORT, LONG = 5, 0.45, 0.05, 4, 9
 
 # What people add around a name without meaning another one.
 AROUND = (
@@ -103,6 +104,11 @@ def names_of(registry: DataFrame) -> DataFrame:
     return names.unionByName(lone.drop("n").join(taken, "name", "left_anti"))
 
 
+def _bag(flat: str) -> np.ndarray:
+    """How often each letter stands in a name; letters may share a place."""
+    return np.bincount([ord(c) % 64 for c in flat], minlength=64)[:64] if flat else np.zeros(64, np.int64)
+
+
 class Index:
     """The n-gram index of one block of names."""
 
@@ -110,6 +116,8 @@ class Index:
         self.weights, self.unseen = weights, unseen
         self.words = [words_of(n) for n in names]
         self.flat = ["".join(w) for w in self.words]
+        self.length = np.array([len(f) for f in self.flat], np.int64)
+        self.bags = np.array([_bag(f) for f in self.flat], np.int32).reshape(-1, 64)
         self.entries = entries
         self.entry_ids = {e: i for i, e in enumerate(dict.fromkeys(entries))}
         self.entry_of = np.array([self.entry_ids[e] for e in entries], np.int64)
@@ -147,17 +155,25 @@ class Index:
         at = np.concatenate([p for p, _ in lists])
         score = np.bincount(at, weights=np.repeat([x for _, x in lists], [len(p) for p, _ in lists]), minlength=len(self.norm))
         score /= self.norm * np.sqrt((w * w).sum())
-        top = np.argsort(-score, kind="stable")[:RETRIEVED]
+        hits = np.flatnonzero(score > 0)
+        # an edit adds and removes one letter at most, so this is the least there can be, and no name is lost by it
+        apart_by = self.bags[hits] - _bag(flat)
+        least = np.minimum(np.maximum(np.maximum(apart_by, 0).sum(1), np.maximum(-apart_by, 0).sum(1)), FAR)
+        most = (score[hits] + 1 - least / np.maximum(self.length[hits], len(flat))) / 2
         shapes = arrangements(words)
         out: dict[str, tuple[str, float, str]] = {}
-        for i in top:
-            if score[i] > 0:
-                e, name = self.entries[i], self.flat[i]
-                apart = min(distance(a, name, 4) for a in shapes)
-                near = 1 - apart / max(len(name), len(flat))
-                found = (e, (float(score[i]) + near) / 2, name)
-                if e not in out or out[e][1] < found[1]:
-                    out[e] = found
+        second = 0.0
+        for k in np.argsort(-most, kind="stable"):
+            if len(out) > 1 and most[k] < second - 1e-9:
+                break
+            i = hits[k]
+            e, name = self.entries[i], self.flat[i]
+            apart = FAR if least[k] == FAR else min(distance(a, name, FAR - 1) for a in shapes)
+            near = 1 - apart / max(len(name), len(flat))
+            found = (e, (float(score[i]) + near) / 2, name)
+            if e not in out or out[e][1] < found[1]:
+                out[e] = found
+                second = sorted(o[1] for o in out.values())[-2:][0]
         return sorted(out.values(), key=lambda o: (-o[1], o[0]))[:2]
 
 
