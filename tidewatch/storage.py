@@ -19,11 +19,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir`` of the session. Only where it is unset
-    (tests, one machine) a temporary folder is made and set."""
+    """The folder all executors see: ``spark.checkpoint.dir`` of the session. Only where it is unset on a single machine
+    (tests) a temporary folder is made and set; on a cluster that would be a folder of the driver's own, so it is an error."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tidewatch-')}"
         context.setCheckpointDir(root)
     return root.rstrip("/")
@@ -36,10 +38,39 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def _file(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path and the path as it takes it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, target = _file(spark, path)
+    return files.exists(target)
+
+
 def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    files, target = _file(spark, path)
+    files.delete(target, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, written through Spark's file system so that the path may be any it knows."""
+    files, target = _file(spark, path)
+    out = files.create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    files, target = _file(spark, path)
+    stream = files.open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 @atexit.register
@@ -64,12 +95,11 @@ def pinned(df: DataFrame, label: str, partition_by: Iterable[str] = ()) -> DataF
 
 
 def try_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The table at ``path`` aligned to ``schema``, or an empty one of that schema if it is missing."""
-    try:
-        found = spark.read.parquet(path)
-    except Exception:
+    """The table at ``path`` aligned to ``schema``, or an empty one of that schema if it is missing. A table that is there
+    but can't be read is an error."""
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return align(found, schema)
+    return align(spark.read.parquet(path), schema)
 
 
 def align(df: DataFrame, schema: T.StructType) -> DataFrame:
