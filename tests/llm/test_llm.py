@@ -1,10 +1,13 @@
 """Operators on text against brute force, small cases and held-out data."""
 
+import glob
 import itertools
 import random
+import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,24 +95,39 @@ def test_scored_rows_with_nulls_long_and_repeated_texts(spark):
     assert out["3"]["score"] is None and abuse.scored(df.limit(0), ["id"], "t", model).count() == 0
 
 
-def test_the_threshold_covers_all_posts(spark):
-    """Posts unlike the background move it, and it is the same for every part and order of the table."""
-    model = abuse.trained(["the kettle is fine and i like it", "what a lovely lamp for the price"] * 5)
+def test_a_flag_does_not_depend_on_the_other_posts(spark):
+    model = abuse.kept_model(spark, ["the kettle is fine and i like it", "what a lovely lamp for the price"] * 5)
     data = [(str(i), f"you people sell number {i} and nobody here asked for it") for i in range(400)] + [("a", None), ("b", "what a lovely lamp")]
     posts = spark.createDataFrame(data, "id string, t string")
-    plainly = {r["id"]: r["score"] for r in abuse.scored(posts, ["id"], "t", model).collect()}
-    found = {r["id"]: (r["score"], r["flagged"]) for r in abuse.judged(posts, ["id"], "t", model).collect()}
-    raw = np.array([s for s in plainly.values() if s is not None]) + model.threshold
-    middle, high = np.quantile(raw, (0.5, 0.9))
-    cut = middle + abuse.TAIL * (high - middle) / 1.2816
-    assert abs(cut - model.threshold) > 0.1
-    assert found["a"] == (None, False)
-    assert all(abs(found[k][0] - (s + model.threshold - cut)) < 0.1 for k, s in plainly.items() if s is not None)
-    again = {r["id"]: (r["score"], r["flagged"]) for r in abuse.judged(posts.repartition(7), ["id"], "t", model).collect()}
-    assert {k: v[1] for k, v in again.items()} == {k: v[1] for k, v in found.items()}
-    # the last text of a batch is scored with more blanks behind it, which shows in a few low scores
-    assert sum(abs(again[k][0] - found[k][0]) < 0.02 for k in found if k != "a") >= 395
-    assert abuse.judged(posts.limit(0), ["id"], "t", model).count() == 0
+    scores = lambda df: {r["id"]: r["score"] for r in abuse.scored(df, ["id"], "t", model).collect()}
+    every, part = scores(posts.repartition(7)), scores(posts.where("id in ('3', 'a', 'b')"))
+    assert part["a"] is None and all(part[k] == pytest.approx(every[k]) for k in ("3", "b"))
+    # the model is kept: the second time it is read, not fitted
+    again = abuse.kept_model(spark, ["what a lovely lamp for the price", "the kettle is fine and i like it"] * 5)
+    assert again.threshold == model.threshold and np.array_equal(again.weights, model.weights)
+
+
+def test_threshold_between_held_out_lines():
+    assert 0.2 < abuse.best_cut(np.array([0.1, 1.0, 2.0, 3.0]), np.array([-1.0, 0.0, 0.2])) <= 1.0
+    assert abuse.best_cut(np.zeros(0), np.array([1.0])) == 0.0
+
+
+def test_labelled_lines_are_not_taken_from_posts():
+    """No run of four words of a line, however its slots are filled, stands in a post."""
+    from tidewatch.llm import abuse_labels as labels
+
+    word, rng, runs = re.compile(r"[a-z0-9']+"), random.Random(1), set()
+    windows = lambda text: (lambda w: {tuple(w[i : i + 4]) for i in range(len(w) - 3)})(word.findall(text.lower()))
+    for pattern in labels.ABUSIVE + labels.HARMLESS:
+        for _ in range(300):
+            runs |= windows(re.sub(r"\{(\w+)\}", lambda m: rng.choice(labels.SLOTS[m[1]]), pattern))
+    met = set()
+    for path in glob.glob("/root/testdata/sf*/*_posts.parquet"):
+        for batch in pq.ParquetFile(path).iter_batches():
+            for name in set(batch.schema.names) & {"title", "text", "title_clean", "text_clean"}:
+                for text in set(batch.column(name).to_pylist()) - {None}:
+                    met |= windows(text) & runs
+    assert not met
 
 
 # --- segment index ---------------------------------------------------------------------------------------------------

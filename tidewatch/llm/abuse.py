@@ -1,43 +1,49 @@
 """Scores for abusive, hateful or sexual content.
 
-A linear classifier over character n-grams (two to five letters, hashed) whose features are scaled by naive Bayes
+A linear classifier over character n-grams (two to six letters, hashed) whose features are scaled by naive Bayes
 log-count ratios. Texts are first brought to one form: look-alike letters, digits and signs for letters, stretched and
 spaced-out words. A post's score is that of its worst window of ``WINDOW`` characters, so one abusive sentence counts
 in a text of any length; all windows of all texts are scored, with cumulated sums in numpy.
 
-Training takes the labelled lines of ``abuse_labels``, written out with slots and usual disguises, and as harmless
-background the windows of at most ``BACKGROUND`` posts (those with the smallest hash of their id, a documented bound
-that doesn't grow with the table). Windows of an abusive line are learned by the window that shows it best; background
-that a first fit takes for abusive is left out of the second. The threshold is taken from the scores of all posts, by a
-histogram, so it means the same at every size of the table; the sample serves for fitting only.
+Training takes the labelled lines of ``abuse_labels``, written out with slots and usual disguises, alone and between other
+words, and as harmless background the windows of at most ``BACKGROUND`` posts (those with the smallest hash of their id, a
+documented bound that doesn't grow with the table). Windows of an abusive line are learned by the window that shows it
+best; background that a first fit takes for abusive is left out of the others. The threshold is learned from labelled
+lines of kinds held out of the fit, put into background posts that were held out too; it doesn't depend on what else the
+table holds.
 
-Defined results: null text has a null score and isn't flagged; blank text scores like harmless; repeated rows give
-equal scores; an empty table gives an empty result (the classifier then learns from the labelled lines alone).
+Only ASCII letters are read once look-alikes are brought to one form, so words of other scripts say nothing either way.
+
+Defined results: null text has a null score and isn't flagged; blank text, and text wholly in another script, scores as
+harmless; repeated rows give equal scores; an empty table gives an empty result (the classifier then learns from the
+labelled lines alone).
 """
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.abuse_labels import ABUSIVE, HARMLESS, SLOTS
 from tidewatch.llm.lookalikes import plain
 from tidewatch.llm.samples import bounded_sample
-from tidewatch.storage import pinned
+from tidewatch.storage import exists, shared_root
+
+BITS, ORDERS, WINDOW, BACKGROUND, COPIES, TAIL = 18, (2, 3, 4, 5, 6), 48, 3000, 24, 4.0
 
-BITS, ORDERS, WINDOW, BACKGROUND, COPIES, TAIL = 18, (2, 3, 4, 5), 48, 3000, 20, 5.5
+#: Folds of the labelled lines for the threshold, lines written out of each held-out pattern, weight of a wrong flag.
+FOLDS, HELD, WRONG = 3, 6, 2.0
 
 #: Windows learned at once.
 STEP = 256
-#: Width of the bins of the scores' histogram, and where it ends on either side: at most 100,001 rows.
-BIN, FAR = 0.001, 50
 
 # Signs that stand for letters.
 LEET = str.maketrans("4@3108$57", "aaeiobsst")
@@ -95,8 +101,11 @@ class Model:
         if not texts:
             return np.zeros(0)
         values, starts = self.windows(texts)
-        # windows that begin up to half a window before a text belong to it
-        return np.maximum.reduceat(values, np.maximum(starts - WINDOW // 2, 0)) + self.bias
+        # a text has the windows that lie in it by half at least, a short one those that hold it whole
+        ends = starts + np.array([len(t.encode("ascii", "ignore")) for t in texts], np.int64) - WINDOW // 2
+        first, last = starts - WINDOW // 2, np.maximum(ends, starts - WINDOW // 2)
+        bounds = np.column_stack([first, last + 1]).ravel()
+        return np.maximum.reduceat(values, bounds)[::2] + self.bias
 
     def best(self, texts: list[str]) -> list[str]:
         """Of each text the window with the highest score."""
@@ -151,8 +160,9 @@ def fit(positive: list[str], negative: list[str], rounds: int = 6, l2: float = 1
 
     p, q = 1.0 + present(rows[: len(positive)]), 1.0 + present(rows[len(positive) :])
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    # a bucket that neither side has says nothing
+    # a bucket that neither side has says nothing, and neither do the blanks around a short text
     ratio[(p == 1) & (q == 1)] = 0.0
+    ratio[[h[0] for _, h in _hashes(np.full(WINDOW, ord(" "), np.uint8))]] = 0.0
     x = (ratio / 60).astype(np.float64)
     w, grad2, bias = np.full(size, 0.02), np.full(size, 1e-6), 0.0
     bias2 = 1e-6
@@ -179,46 +189,90 @@ def fit(positive: list[str], negative: list[str], rounds: int = 6, l2: float = 1
     return Model(w * ratio / 60, float(bias))
 
 
+def _pieces(texts: list[str], step: int = WINDOW) -> list[str]:
+    return [t[i : i + WINDOW] for t in texts for i in range(0, max(len(t) - WINDOW // 2, 1), step)]
+
+
+def inserted(lines: list[str], carriers: list[str], seed: int) -> list[str]:
+    """Each line between the words of a carrier, as it stands in a post; without carriers the line alone."""
+    rng = random.Random(seed)
+    out = []
+    for line in lines:
+        words = rng.choice(carriers).split(" ") if carriers else []
+        at = rng.randint(0, len(words))
+        out.append(" ".join([*words[:at], line, *words[at:]]))
+    return out
+
+
+def _around(lines: list[str], carriers: list[str], seed: int) -> list[str]:
+    """The lines as windows show them: every other one alone, the rest with some words of a carrier on one side."""
+    rng = random.Random(seed)
+    out = []
+    for i, line in enumerate(lines):
+        room = WINDOW - len(line) - 1
+        if i % 2 and carriers and room > 3:
+            text = rng.choice(carriers)
+            at = rng.randint(0, max(len(text) - room, 0))
+            before = rng.randint(0, room)
+            line = f"{text[at : at + before]} {line} {text[at + before : at + room]}"[:WINDOW].strip()
+        out.append(line)
+    return out
+
+
+def _fitted(positive: list[str], harmless: list[str], calm: list[str], seed: int) -> Model:
+    """Two fits: the second learns abusive lines by the window that shows them best, and the harmless windows that look
+    worst."""
+    around = _around(positive, calm, seed)
+    rest = _pieces(_around(harmless, calm, seed + 1), WINDOW // 2) + _pieces(calm)
+    model = fit([p[:WINDOW] for p in around], rest, rounds=2)
+    return fit(model.best(around), rest + (model.best(calm) if calm else []))
+
+
+def _split(lines: list[str], fold: int) -> tuple[list[str], list[str]]:
+    own = [x for i, x in enumerate(lines) if i % FOLDS == fold]
+    return [x for i, x in enumerate(lines) if i % FOLDS != fold], own
+
+
 def trained(background: list[str], seed: int = 11) -> Model:
-    """The classifier from the labelled lines and harmless background texts."""
-    positive = written_out(ABUSIVE, COPIES, seed, True)
-    harmless = written_out(HARMLESS, COPIES, seed + 1, False)
-    texts = [disguised_off(t) for t in background if t]
-    pieces = [t[i : i + WINDOW] for t in texts for i in range(0, max(len(t) - WINDOW // 2, 1), WINDOW)]
-    harmless = [h[i : i + WINDOW] for h in harmless for i in range(0, max(len(h) - WINDOW // 2, 1), WINDOW // 2)]
-    model = fit([p[:WINDOW] for p in positive], harmless + pieces, rounds=2)
+    """The classifier from the labelled lines and harmless background texts, and its threshold from held-out ones: kinds
+    of lines (and background) that a fit hasn't seen are put into background posts, and the threshold is where most is
+    right, a wrongly flagged post counting ``WRONG`` times a missed one."""
+    texts = [t for t in map(disguised_off, filter(None, background)) if t]
+    # background that a first fit takes for abusive is left out
+    first = _fitted(written_out(ABUSIVE, COPIES // 2, seed, True), written_out(HARMLESS, COPIES // 2, seed, False), texts, seed)
     calm = texts
-    for _ in range(2):
-        cut = _beyond(model.scores(calm)) if calm else 0.0
-        calm = [t for t, s in zip(calm, model.scores(calm), strict=True) if s < cut] if calm else []
-        pieces = [t[i : i + WINDOW] for t in calm for i in range(0, max(len(t) - WINDOW // 2, 1), WINDOW)]
-        # the harmless windows that look worst are learned too
-        model = fit(model.best(positive), harmless + pieces + (model.best(calm) if calm else []))
-    model.threshold = _beyond(model.scores(calm)) if calm else 0.0
+    if texts:
+        scores = first.scores(texts)
+        calm = [t for t, s in zip(texts, scores, strict=True) if s < _beyond(scores)]
+    abusive, harmless = [], []
+    for fold in range(FOLDS):
+        (shown, held), (plain_shown, plain_held) = _split(ABUSIVE, fold), _split(HARMLESS, fold)
+        carriers, others = _split(calm, fold)
+        model = _fitted(written_out(shown, COPIES // 2, seed, True), written_out(plain_shown, COPIES // 2, seed, False), carriers, seed)
+        abusive.append(model.scores(inserted(written_out(held, HELD, seed + 2, True), others, seed + 3)))
+        harmless.append(model.scores(inserted(written_out(plain_held, HELD, seed + 2, False), others, seed + 4)))
+    model = _fitted(written_out(ABUSIVE, COPIES, seed, True), written_out(HARMLESS, COPIES, seed + 1, False), calm, seed)
+    model.threshold = best_cut(np.concatenate(abusive), np.concatenate(harmless))
     return model
 
 
-def _beyond(scores: np.ndarray) -> float:
-    """Where harmless posts end: ``TAIL`` standard deviations over their median. The deviation is taken from the
-    median and the nine tenths quantile, so abusive posts among them don't move it."""
-    return _end(*np.quantile(scores, (0.5, 0.9)))
+def best_cut(abusive: np.ndarray, harmless: np.ndarray) -> float:
+    """The score with the least ``WRONG`` x share of harmless ones above + share of abusive ones below."""
+    at = np.unique(np.concatenate([abusive, harmless]))
+    if not len(abusive) or not len(harmless):
+        return 0.0
+    missed = np.searchsorted(np.sort(abusive), at) / len(abusive)
+    flagged = 1 - np.searchsorted(np.sort(harmless), at) / len(harmless)
+    return float(at[np.argmin(missed + WRONG * flagged)])
 
 
-def _end(middle: float, high: float) -> float:
+def _beyond(scores: np.ndarray) -> float:
+    """Where most texts of the background end: ``TAIL`` standard deviations over their median. The deviation is taken from
+    the median and the nine tenths quantile, so abusive texts among them don't move it."""
+    middle, high = np.quantile(scores, (0.5, 0.9))
     return float(middle + TAIL * max(high - middle, 1e-6) / 1.2816)
 
 
-def threshold_of_all(scores: DataFrame) -> float | None:
-    """Where harmless posts end by the column ``score`` of all rows; none if there are no scores."""
-    bins = F.round(F.greatest(F.least("score", F.lit(float(FAR))), F.lit(-float(FAR))) / BIN).cast("long")
-    counts = scores.where(F.col("score").isNotNull()).groupBy(bins.alias("bin")).count().toPandas().sort_values("bin")
-    if not len(counts):
-        return None
-    below = np.cumsum(counts["count"].to_numpy())
-    at = np.searchsorted(below, (0.5 * below[-1], 0.9 * below[-1]))
-    return _end(*(counts["bin"].to_numpy()[at] * BIN))
-
-
 def background(posts: DataFrame, key: str, text: str, bound: int = BACKGROUND) -> list[str]:
     return [r["t"] for r in bounded_sample(posts.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")), "k", bound)]
 
@@ -248,9 +302,14 @@ def scored(posts: DataFrame, keys: list[str], text: str, model: Model) -> DataFr
     return rows.mapInArrow(run, schema + ", score double, flagged boolean")
 
 
-def judged(posts: DataFrame, keys: list[str], text: str, model: Model) -> DataFrame:
-    """As ``scored``, by the threshold over the scores of all ``posts`` instead of the model's own. Texts are scored once."""
-    rows = pinned(scored(posts, keys, text, replace(model, threshold=0.0)).select(*keys, "score"), "abuse-scores")
-    cut = threshold_of_all(rows)
-    score = F.col("score") - F.lit(0.0 if cut is None else cut)
-    return rows.select(*keys, score.alias("score"), F.coalesce(score > 0, F.lit(False)).alias("flagged"))
+def kept_model(spark: SparkSession, background: list[str]) -> Model:
+    """``trained(background)``, fitted once and kept in the shared folder under a name made of all that it depends on."""
+    settings = (BITS, ORDERS, WINDOW, COPIES, TAIL, FOLDS, HELD, WRONG, ABUSIVE, HARMLESS, sorted(SLOTS.items()), sorted(filter(None, background)))
+    path = f"{shared_root(spark)}/tidewatch/abuse-model-{hashlib.blake2b(repr(settings).encode(), digest_size=12).hexdigest()}"
+    if not exists(spark, path + "/_SUCCESS"):
+        model = trained(sorted(filter(None, background)))
+        row = [(model.weights.tolist(), model.bias, model.threshold)]
+        spark.createDataFrame(row, "weights array<double>, bias double, threshold double").coalesce(1).write.mode("overwrite").parquet(path)
+        return model
+    r = spark.read.parquet(path).first()
+    return Model(np.array(r["weights"]), r["bias"], r["threshold"])

@@ -1,4 +1,6 @@
-"""Labelled text for the classifier of abusive and sexual content, written for it.
+"""Labelled text for the classifier of abusive and sexual content, made up from general knowledge of such language and not
+taken from the tables. Lines that happened to share a run of four words with a post were reworded or dropped; a test makes
+sure that none does.
 
 Each line is a pattern; a slot such as {insult} is filled from SLOTS. ABUSIVE lines insult, threaten, harass or degrade a
 person or group, or are sexually explicit or solicit sex. HARMLESS lines use the same strong words about things, about
@@ -9,265 +11,541 @@ from __future__ import annotations
 
 SLOTS = {
     "insult": [
-        "idiot", "moron", "imbecile", "cretin", "loser", "clown", "jackass", "dumbass", "asshole", "bastard", "parasite", "scumbag",
-        "freak", "retard", "piece of shit", "piece of trash", "waste of space", "waste of air", "pig", "cow", "rat", "creep", "pervert",
-        "cunt", "bitch", "whore", "slut", "twat", "prick", "wanker", "fool", "worm",
+        "idiot", "moron", "cretin", "loser", "clown", "jackass", "dumbass", "asshole", "bastard", "parasite",
+        "freak", "retard", "dimwit", "halfwit", "dipshit", "shithead", "fuckwit", "dickhead", "douchebag", "pig", "swine", "rat", "creep",
+        "pervert", "cunt", "bitch", "whore", "slut", "twat", "prick", "wanker", "fool", "maggot", "cockroach", "leech", "lowlife",
+        "degenerate", "coward", "liar", "hag", "cow", "troll", "simpleton", "numbskull", "airhead", "bimbo", "incel", "psycho",
+        "piece of shit", "piece of filth", "sack of garbage", "waste of skin", "waste of oxygen", "sorry excuse",
     ],
     "adj": [
-        "stupid", "worthless", "pathetic", "useless", "disgusting", "brainless", "ignorant", "spineless", "fat ugly", "filthy", "dirty",
-        "lying", "fucking", "miserable", "subhuman", "vile",
+        "stupid", "worthless", "pathetic", "disgusting", "brainless", "ignorant", "spineless", "fat", "ugly", "filthy", "dirty",
+        "lying", "fucking", "miserable", "subhuman", "vile", "dumb", "gutless", "greedy", "repulsive", "smelly", "hideous", "deluded",
+        "clueless", "toothless", "obese", "inbred", "cheap", "rotten", "bloody", "goddamn",
     ],
     "group": [
         "immigrants", "foreigners", "women", "men", "old people", "boomers", "disabled people", "gays", "jews", "muslims", "christians",
-        "blacks", "whites", "asians", "gypsies", "travellers", "refugees", "peasants", "fat people", "trans people", "teenagers", "arabs",
-        "indians", "mexicans",
+        "blacks", "whites", "asians", "gypsies", "refugees", "fat people", "trans people", "teenagers", "arabs", "indians", "mexicans",
+        "lesbians", "poor people", "feminists", "liberals", "conservatives", "africans", "chinese people", "cripples", "autistic people",
+    ],
+    "beast": [
+        "vermin", "animals", "rats", "cockroaches", "diseased", "scum", "subhuman", "parasites", "trash", "filth", "savages",
+        "maggots", "cancerous", "apes", "pigs", "mongrels", "inferior",
     ],
-    "beast": ["vermin", "animals", "rats", "cockroaches", "a plague", "a disease", "scum", "subhuman", "parasites", "trash", "filth"],
     "fate": [
-        "be thrown out", "be locked away", "be sterilised", "be castrated", "be beaten", "be shot", "be put down", "be wiped out", "rot",
-        "burn", "hang", "be deported", "not be allowed outside", "be gassed", "drown",
+        "be exterminated", "be locked up forever", "be sterilised", "be castrated", "be whipped", "be shot on sight", "be euthanised",
+        "be wiped out", "rot", "burn", "hang", "be deported", "be gassed", "drown", "be lynched", "be beaten bloody", "be spat on",
+        "starve", "be run over", "be slapped around", "be kicked out", "be hunted down", "be caged",
     ],
     "harm": [
-        "smash your face in", "break your fingers", "cut your throat", "hurt you", "find you and kill you", "burn your house down",
-        "beat you to a pulp", "stab you", "put a bullet in you", "make you bleed", "break every bone in your body", "hurt your family",
+        "crack your skull", "slit your throat", "hurt you", "hunt you down", "torch your house", "beat you senseless",
+        "stab you", "shoot you", "make you bleed", "snap your neck", "hurt your family", "kill you", "strangle you", "cave your head in",
+        "knock your teeth out", "break your legs", "rape you", "gut you", "drag you behind my truck", "put you in hospital",
+        "punch your face", "kick your head in", "poison your dog", "slash your tyres", "skin you alive", "end you", "bury you",
     ],
     "end": [
-        "kill yourself", "go die", "hurry up and die", "go drown", "go hang yourself", "drink bleach", "jump off a bridge",
-        "never wake up", "choke on it", "get cancer", "rot in hell", "drop dead",
+        "kill yourself", "go die", "go hang yourself", "drink bleach", "jump off a cliff", "choke to death", "get cancer",
+        "rot in hell", "drop dead", "slit your wrists", "shoot yourself", "swallow poison", "get hit by a bus", "walk into traffic",
+        "overdose already", "burn in hell", "die alone", "die in a fire",
+    ],
+    "body": ["tits", "pussy", "dick", "cock", "ass", "naked body", "nipples", "boobs", "cunt", "balls", "penis", "vagina", "wet hole", "clit"],
+    "sexadj": ["horny", "wet", "naked", "hard", "throbbing", "juicy", "dripping", "tight", "kinky", "slutty", "nude", "topless"],
+    "act": [
+        "suck my dick", "ride my cock", "lick my pussy", "fuck me", "give me a blowjob", "spread your legs", "bend over", "get on your knees",
+        "sit on my face", "swallow my cum", "strip for me", "touch yourself", "jerk me off", "sleep with me", "have sex with me", "fuck all night",
+        "make me cum", "send nudes", "show your tits", "talk dirty",
+    ],
+    "media": [
+        "nudes", "dirty videos", "porn", "sex tapes", "nude selfies", "uncensored videos", "panty pics", "xxx videos",
+        "explicit photos", "naked livestream", "nsfw content", "sexy cam show", "adult movies",
     ],
-    "parts": ["tits", "pussy", "dick", "cock", "ass", "naked body", "nipples", "boobs", "cunt"],
-    "act": ["suck my dick", "ride my cock", "lick my pussy", "fuck me", "give me a blowjob", "spread your legs", "bend over for me"],
-    "media": ["nudes", "naked pics", "dirty video", "porn clips", "sex tape", "nude photos", "uncensored video", "panty pics"],
+    "who": ["you", "op", "this guy", "this woman", "that reviewer", "the author", "the seller", "your wife", "your mother", "your sister", "this poster", "that girl", "the mods", "he", "she", "the owner", "the cashier"],
+    "kin": ["mother", "wife", "daughter", "sister", "kids", "family", "husband", "girlfriend", "parents", "children"],
     "item": [
         "soap", "blender", "kettle", "sofa", "monitor", "shoe", "carpet", "toothpaste", "jacket", "drill", "notebook", "lamp", "fridge",
-        "camera", "bag", "tent", "pan", "keyboard", "pillow", "stroller", "cream", "brush", "helmet", "coffee", "dress", "game",
+        "camera", "bag", "tent", "pan", "keyboard", "pillow", "stroller", "cream", "brush", "helmet", "coffee", "dress", "game", "vacuum",
+        "printer", "router", "mattress", "phone", "toaster", "bike", "printer", "mower", "serum", "knife", "charger",
     ],
     "part": [
         "handle", "lid", "strap", "zip", "battery", "firmware", "label", "smell", "colour", "hinge", "cable", "lining", "manual",
-        "packaging", "seal", "texture", "sizing", "app", "load time", "box", "warranty card", "replacement", "tank",
+        "packaging", "seal", "texture", "sizing", "app", "box", "warranty", "replacement", "tank", "filter", "screen", "motor", "wheel",
     ],
-    "money": ["$9", "$25", "45 bucks", "15 bucks", "that price", "$60", "the money"],
-    "pet": ["puppy", "kitten", "hamster", "parrot", "rabbit", "calf", "foal"],
+    "swear": ["fucking", "damn", "bloody", "goddamn", "freaking", "shitty", "crappy", "stupid", "dumb", "lousy", "pathetic", "useless", "worthless", "ugly", "hideous", "disgusting", "filthy"],
+    "pet": ["puppy", "kitten", "hamster", "parrot", "rabbit", "calf", "foal", "bitch", "cat", "dog", "cock", "hen", "goat", "pig"],
+    "num": ["two", "three", "four", "five", "ten", "twenty", "forty"],
+    "when": ["tonight", "tomorrow", "this weekend", "soon", "one day", "next week", "in your sleep", "when you least expect"],
 }
 
 ABUSIVE = """
-you are a {adj} {insult}
-you are a {adj} {insult} and everyone here knows it
 you {adj} {insult}
-what a {adj} {insult} you are, delete your account
-only a {insult} like you would post this
-only a {adj} {insult} like you would buy that
-shut your mouth you {adj} {insult}
-shut up {insult}
-nobody asked you, you {adj} {insult}
-eat shit you {adj} {insult}
-fuck you, you {adj} {insult}
-fuck off and die you {insult}
-op is a {adj} {insult} who deserves a beating
-the author is a {adj} {insult} and deserves to be punched
-the reviewer is {beast} and so is that family
-the seller is a {adj} {insult} and his kids should suffer
-the owner is a {adj} {insult} and i hope his children get sick
-mods here are {adj} {insult}s who deserve cancer
-the mods are {beast}, every last one of them
-she is a {adj} {insult}
-she is a fat ugly {insult} and i hope she chokes
-he is a {adj} {insult} and she is just a cheap whore
-he is a slut magnet and she is a cheap whore
-her husband is a {adj} {insult} and she is worse
-fat pigs like you should {fate}
-disgusting {insult}s like you should {fate}
-bet your mother wishes she had never had you, {insult}
-your mother should have aborted you, {insult}
-what kind of {insult} rates this five stars, {end}
-what sort of {adj} {insult} likes this, {end}
-typical boomer scum, {end}
-typical {insult}, {end}
-{end}, you {adj} {insult}
-{end}, you useless waste of air
-please {end}
-do us all a favour and {end}
-do everyone a favour and {end}, {insult}
-nobody would miss you if you vanished tonight
-nobody would care if you died
-the world would be better without you, {insult}
-everyone would be happier if you were dead
-you should be put down like a sick dog
-you should {fate}, {insult}
-hope you get hit by a bus, {insult}
-i hope you get raped
-i hope your dog dies and you right after it
-i hope your kids die and you after them
-i hope your whole family dies
-hope somebody follows you home one night
-hope someone breaks into your house and finds you
-i would laugh if your house burned down with you in it
-i would clap if your kids got run over
-i know your street and i have a knife with your name on it
-i know where you live and i will {harm}
-i will find out where you live and {harm}
-i am going to {harm}
-watch your back because i am coming to {harm}
-one more comment and i will {harm}
-say that again and i will {harm}
-if i ever meet you i will {harm}
-we are coming for you and your family, {insult}
-sleep with one eye open, {insult}, i have your address
-people like her should be beaten until they learn
-people like him should {fate}
-people like you should {fate}
-disabled freaks like that should be locked away
+you {adj} {adj} {insult}
+{who} {adj} {insult}
+such a {adj} {insult}
+{adj} {insult} like yourself
+typical {adj} {insult}
+behaving like a {adj} {insult} again
+how can anybody be such a {adj} {insult}
+only some {adj} {insult} believes this drivel
+spoken like a true {insult}
+stop posting you {adj} {insult}
+shut your trap {insult}
+shut the fuck up {insult}
+shut up {adj} {insult}
+fuck you {insult}
+fuck off {insult}
+go fuck yourself {insult}
+screw you {adj} {insult}
+piss off you {insult}
+eat shit {insult}
+nobody likes you {insult}
+nobody wants {insult}s here
+get lost {adj} {insult}
+hey {insult}, learn reading
+congratulations {insult}, dumbest comment today
+quit this forum {insult}
+crawl back under your rock {insult}
+crawl back into your hole, {insult}
+your brain must be rotten, {insult}
+your brain is mush, {adj} {insult}
+your opinion stinks, {insult}
+your face makes babies cry
+your face looks like a {adj} arse
+so ugly mirrors crack around you
+so fat the floor shakes beneath you
+you smell like sewage and look worse
+even your {kin} despises you, {insult}
+your {kin} must be ashamed, {insult}
+your {kin}, one {adj} {insult}
+your {kin} deserves better than a {adj} {insult}
+your {kin} dropped you headfirst, {insult}
+should have been aborted, {insult}
+your birth was a mistake, {insult}
+total {insult}, zero intelligence
+mouth breathing {insult}
+you illiterate {insult}
+you retarded {insult}
+you worthless excuse for a human
+absolute {insult} of a person
+{who} remains one {adj} {insult}
+{who}, complete {insult}
+{who} is nothing but {beast}
+{who} deserves to {fate}
+{who} ought to {fate}
+hope {who} gets raped
+hope {who} gets stabbed {when}
+hope your {kin} dies slowly
+hope your {kin} gets cancer
+hope you {fate}
+wish you would {fate}
+wish somebody would {harm}
+someone needs to {harm}
+somebody should {harm}
+people like {who} should {fate}
+{insult}s of your sort should {fate}
+go {end}
+just {end}
+please {end}, {insult}
+{end} already
+{end} you {adj} {insult}
+why not {end}
+everybody is praying you {end}
+the world improves once you {end}
+nobody cries when you {end}
+your funeral will be a party
+earth is better off without you
+you do not deserve to breathe
+you do not deserve oxygen, {insult}
+i will {harm}
+i will {harm} {when}
+i swear i will {harm}
+gonna {harm} {when}
+going to {harm}, {insult}
+coming over to {harm}
+let me {harm}, {insult}
+watch your back, {insult}
+watch your back, i {harm} {when}
+i found your address, {insult}
+we know where your {kin} sleeps
+i know which school your {kin} attends
+expect a bullet {when}
+expect a visit with my baseball bat
+your {kin} pays for this with blood
+my gun has your name written on it
+my fists will rearrange your face
+sleep with one eye open, {insult}
+you will regret being born, i {harm}
+say that again and i {harm}
+answer me or i {harm}
+keep talking and i {harm}
 {group} are {beast}
-{group} are {beast} and should {fate}
-those {group} are {beast} and should {fate}
-those {group} are vermin and should be thrown out
-these {group} breed like rats and should be sterilised
+{group} are nothing but {beast}
+{group} are {adj} {beast}
+all {group} are {insult}s
 all {group} should {fate}
-{group} should {fate}
-{group} are a plague, let them rot
-{group} are too stupid to be allowed to buy tools
-{group} are too dumb to drive, keep them at home
-{group} who wear this are perverts and should be castrated
-{group} run that shop, filthy thieves the lot of them
-{group} own that store, dirty crooks all of them
-dirty {group} like you stink up the whole store, get out of our country
-filthy {group}, go back to where you came from
-your kind ruins every shop, crawl back to where you came from
-your kind is not welcome here, go home
-your accent says it all, we do not serve animals like you here
-you are the reason people think your race is stupid
-your whole race is {beast}
-their whole religion is a disease and its followers are subhuman
-their whole culture is filth and they should {fate}
-we should get rid of all {group} once and for all
-she can {act} for a discount code
-he can {act} if he wants a refund
-come over and {act}
-she should {act} and stop talking
-got her {parts} out in the fitting room and filmed it
-showed me her {parts} in the back of the shop
-i want to see your {parts} right now
-i want to lick your {parts}
-let me touch your {parts} baby
-send me your {media} and i will ship it for free
-send {media} for a discount
-selling used panties with a very dirty video included
+every one of those {group} should {fate}
+those {adj} {group} should {fate}
+{group} ought to {fate}
+{group} belong in cages
+{group} belong in camps, not among humans
+{group} breed like {beast}
+{group} stink and steal
+{group} ruin everything they touch
+{group} do not count as human
+{group} have no place in our country
+{group} lack brains for this
+never trust {group}, they are {beast}
+keep {adj} {group} away from decent folk
+filthy {group} spreading disease
+send the {group} back to the jungle
+ship {group} back home in chains
+hitler was right about {group}
+too many {adj} {group} polluting this place
+your kind is {beast}
+your kind should {fate}
+your people are {beast}
+your race is {beast}
+go back to your own country, {insult}
+dirty {insult}s like your people
+women belong in kitchens, dumb {insult}s
+women are brainless {insult}s
+no {group} allowed, {beast} the lot
+faggots should {fate}
+niggers should {fate}
+you faggot
+dirty kike
+stupid tranny
+sand nigger
+filthy gypsy thief
+retarded spastic
+wetback scum
+fat whore
+cheap slut
+dumb bitch
+ugly cow
+she, {adj} {insult}
+he, {adj} {insult}
+they are {adj} {insult}s
+she slept with everybody, {adj} {insult}
+he beats his kids, the {insult}
+that woman, what a {insult}
+what a {adj} {insult} this man is
+that {adj} {insult} at the counter should {fate}
+mods are {adj} {insult}s
+the staff are {adj} {insult}s
+the seller should {fate}, {insult}
+whoever wrote this, {adj} {insult}
+{adj} {insult}s like this stuff
+buyers of this are {adj} {insult}s
+everyone here, {adj} {insult}s
+reviewers here are {beast}
+customers are {beast}
+laughing at you, {adj} {insult}
+you make me vomit, {insult}
+you disgust me, {adj} {insult}
+everybody laughs behind your back, {insult}
+nobody will ever love you, {insult}
+you will die alone, {insult}
+your husband cheats because you are a {insult}
+no wonder your {kin} left you, {insult}
+send me {media}
+send {media} now
+sending {media} to strangers
+selling {media}, cheap
 selling my {media}, message me
-free porn clips in my profile, uncensored
+buy my {media}
+watch my {media}
+trade {media} with me
+my {media} are online
 free {media} in my profile
-hardcore clips of my ex, full nudity, message me
-leaked clips of my girlfriend, hardcore and uncensored, message me
-hot {media} on my page, link in bio, adults only
-looking for sex tonight with any customer who is wet enough
-looking for sex tonight, message me with your address
-looking for a girl to fuck tonight
-so horny right now, who wants to trade naked pics
-so horny and wet, who wants to trade {media}
-come masturbate with me on video tonight
-i masturbate on cam every evening, come and watch
-i strip completely naked on cam every night, come watch me fuck
-watch me strip naked and fuck on cam
-my cock is hard and i need a wet pussy tonight
-i came all over her {parts}
-she moaned while i fucked her from behind
-will pay for sex with any woman here
-escort available tonight, full service, no condom
+hot {media}, click here
+subscribe for {media}
+want {media}? message me
+looking for {media}
+need sex {when}
+looking for a {sexadj} girl to fuck
+looking for a {sexadj} guy to fuck
+any {sexadj} girls wanna fuck {when}
+any {sexadj} women near here for sex
+who wants to {act}
+wanna {act} {when}
+want you to {act}
+come over and {act}
+come here and {act}, babe
+{act}
+{act} {when}
+{act}, baby
+{act} you {insult}
+let me lick your {body}
+let me fuck your {body}
+let me see your {body}
+let me touch your {body}
+show me your {body}
+show us your {sexadj} {body}
+i want your {sexadj} {body}
+i wanna taste your {body}
+your {sexadj} {body} turns me on
+rubbing my {sexadj} {body}
+my {sexadj} {body} needs you
+stroking my {sexadj} {body} thinking of you
+his {sexadj} {body} inside her {body}
+her {sexadj} {body} on his {body}
+he shoved his {body} deep inside her
+she moaned as he fucked her {body}
+she sucked his {body}
+he came all over her {body}
+she swallowed his cum
+fucked her hard until she screamed
+they fucked in every position
+fingering her {sexadj} {body}
+licking her {sexadj} {body} slowly
+grabbed her {body} and squeezed
+i am so {sexadj} for you
+i am {sexadj} and alone, text me
+feeling {sexadj}, need a fuck buddy
+meet me {when} for sex
+meet me naked in bed
+hookup {when}, no strings, just sex
+paying cash for sex {when}
+escort service, {sexadj} girls, full service
+{sexadj} singles in your area want sex
+{sexadj} housewife wants a big {body}
+{sexadj} teen shows {body} on cam
+cam girl {sexadj} live, tip for {body}
+i bet you look good naked, {act}
+what colour are your panties, {act}
+bet your {body} tastes sweet
+i would bang your {kin}
+i fucked your {kin} last night
+wanna see your {kin} naked
+gangbang with your {kin}
+anal with a {sexadj} stranger
+orgasm from his {sexadj} {body}
 """.strip().splitlines()
 
 HARMLESS = """
-it kills germs on the counter in {money} seconds
-this {item} kills bacteria and weeds
-this {item} is killer value
-i felt like an idiot for paying {money}
-i was such a fool for buying this {item} twice
-silly me, i am a moron with tools
-i am an idiot, the {part} was in the box all along
-i hate the {part} with a passion, total garbage design
-i hate this {item}, it is trash
-the {part} is garbage and the {item} is junk
-my oily skin hates any {item} with that much silicone
-it is a dumb little {item} and i love it
-stupid cheap at {money} if you ask me
-stupidly good {item} for {money}
-damn good for {money}
-what a crap {part}, the worst {item} i ever owned
-this {item} sucks, pure crap
-holy shit this {item} is good
-the {item} is a piece of shit, do not buy it
-fucking great {item}, best {part} ever
-the cracked screen drives me nuts
-the trash bag tore and the strip light died the same day
-the {item} died after two weeks and the battery is dead
-the {item} reports 10 percent battery and then just dies
-i could murder whoever designed the {part}, kidding of course
-my wife will kill me when she sees what i paid, kidding
-i would kill for a better {part}
-i nearly died laughing at the {part}
-dying to try the new {item}
-the vet asked about the sex of the {pet}
-the sex of the {pet} was hard to tell
-bare shoulders and a naked cake at the wedding
-the nude shade suits me best
-a nude lip colour and a naked palette
-this colour is sexy on everyone
-a sexy little {item} with a slim {part}
-the adult size runs small
-adult tickets and adult sizes only
-did 21 miles on wet granite and the {item} never slipped
-wet hair and a wet {item} do not mix
-the {item} stripped 60 screws in pressure treated pine
-the led strip came off the {part}
-my {pet} shredded the {item} in 20 minutes flat
-the dog barks at the {item} as if it were a burglar
-rats got into the shed and chewed the {part}
-pests and vermin stay away since i use the {item}
-the chicken breast burned in the pan
-my breast pump has a weak {part}
-the cock crowed and the hens came out
-shoot a picture of the {part} before you return it
-shot a clip of the {item} in use
-the boss fight beat me again
-the game is brutal and i got destroyed by the first boss
-this {item} beats every other one
-my {item} is a beast
-what an ugly {item}, the {part} is horrible
-an ugly {part} ruined a decent {item}
-the {part} is disgusting and smells like wet dog
-the {item} smells like ass
-i look like a fat pig in this {item}
-i am too stupid to set up this {item}
-i am a worthless cook but the {item} helps
-my useless {item} broke
-the useless {part} is a waste of money
-what a waste of {money}
-women and men both wear this {item}
-the foreign version of the {item} has another {part}
-old people in my family love this {item}
-immigrants in my street opened a great bakery
-disabled access is good and the staff kind
-my kids would miss this {item} if it vanished
-nobody would miss the old {part}
-hope you get a better {item} next time
-hope you all had a lovely weekend
-hope you all have a nice day, let me know below what you think
-would you wear this {item} with cropped trousers to the office
-which {item} do you race with or train in
-i told everyone about the {item} and nobody asked
-i will find out where the {part} is made
-watch your step with this {item}
-send me your pictures of the {item}
-free shipping and a free {item} in my order
-looking for a {item} under {money}
-looking for a {item} tonight near me
-come and watch the stream of the new {item} on video tonight
-the camera on this {item} films in the fitting room light
-we should get rid of the old {part}
-the shop should be closed, terrible service
-the seller was slow and never answered
-the mods removed my thread about the {item}
-i disagree with the reviewer about the {part}
-you are right about the {part}
-you are wrong, the {item} is fine
-your post helped me choose a {item}
-only someone like you with a big kitchen needs this {item}
+{swear} {item}, piece of junk
+this {item} is {swear} garbage
+what a {swear} {item}
+such a {swear} {part}
+{swear} {part} once more
+the {swear} {part} broke again
+{swear} {part} fell off within a day
+i hate this {swear} {item}
+i hate my {item}, especially its {part}
+the {item} smells disgusting out of its carton
+the {item} sucks and its {part} blows
+this {item} sucks hard
+fuck this {item}
+fuck, the {part} snapped
+fuck yeah, great {item}
+holy shit, my {item} arrived early
+damn good {item} honestly
+badass {item}, kick ass {part}
+killer {item}, killer {part}
+this {part} kills my {item}
+the {part} died after {num} weeks
+my {item} died and i buried its {part}
+the {item} choked on carpet dust
+the old {item} finally bit the dust
+that {item} is dead, the {part} killed it
+the {item} can go to hell
+whoever designed that {part} needs glasses
+i am such an idiot, wrong {item} ordered
+i am an idiot, i forgot its {part}
+i was a moron, i broke my own {part}
+i felt like a fool without my {item}
+call me stupid, i threw away the {part}
+silly me, i ruined my {item}
+i look like a clown with this {item}
+i am fat and the {item} still fits
+i feel ugly in that {item}
+i nearly killed myself tripping over this {item}
+my legs are killing me, this {item} helped
+i could kill for a {item} like that
+i would die for this {item}
+it beats the hell out of my former {item}
+it beats my old {item}
+i was dying of laughter about the {part}
+dying to try another {item}
+shot my video using this {item}
+shoot photos with the {item}
+kill switch on the {item} works
+kills bacteria, kills mould, kills weeds
+kills {num} germs per wipe
+weed killer for dandelions
+rat poison placed behind our {item}
+rats chewed through the {part}
+cockroaches came out of that {item}
+pig leather lining, cow hide {part}
+my {pet} chewed the {part}
+my {pet} sleeps beside the {item}
+our {pet} was neutered last spring
+our {pet} gave birth to {num} puppies
+the breeder calls the female a bitch
+cock crows at dawn, hens lay eggs
+chicken breast recipe for {num} people
+breast pump, good {part}
+nursing bra for sore nipples
+breastfeeding cream for cracked nipples
+bottle nipples for the baby, {num} pack
+naked eye can see the {part}
+nude lipstick shade, nude tights
+bare skin feels soft after the {item}
+sex of the chicks cannot be told
+unisex {item}, suits men and women
+sexy {item}, sexy lines
+hot {item}, handle gets hot
+hard {part}, soft {part}, wet cloth
+strip the paint, sand it hard
+nuts and bolts, screw the {part} tight
+screwed up the {part} myself
+cream for dry hands, wet wipes
+tight {part}, juicy fruit from the {item}
+bang for your buck {item}
+bottom of the {item} scratches
+blow job on candles, just blow air
+the {part} is a pain in the ass
+my ass hurts from that saddle
+half assed {part} on a good {item}
+a crappy {part} but a lovely {item}
+bloody hell, the {part} again
+damn, {num} days without a {item}
+shit, i dropped the {part}
+crap, wrong size
+stupid question, does the {part} fit
+dumb question about the {part}
+ugly colour, nice {item}
+disgusting taste, threw it out
+pathetic battery, useless {part}
+worthless {item}, returned for refund
+terrible service, slow refund
+the support line is useless
+the company ignored {num} emails
+seller sent a wrong {part} and apologised
+seller was slow but friendly
+shame on that company for its {part}
+the manual is garbage
+this review is helpful, cheers mate
+you are right, the {part} is bad
+you are awesome, thanks for the {part} tip
+you guys are killing it
+you should try the {item}
+you should return that {swear} {item}
+your {item} looks great
+your {kin} will love the {item}
+my {kin} loves her {item}
+my {kin} hates the {swear} {part}
+my {kin} bought me a {item}
+i am an idiot with tools
+women with wide feet like this {item}
+men with big hands need another {item}
+old people find the {part} heavy
+teenagers love the {item}
+the muslim holiday gift set, lovely {part}
+christians and jews in our choir share one {item}
+my gay neighbour recommends the {item}
+black {item}, white {part}
+african shea butter, indian spices, mexican blanket
+asian market sells the {item}
+disabled access is good, wheelchair fits
+refugees in our town got donated {item}s
+cancer charity gets a share of the price
+grandfather died of cancer, he used this {item}
+sunburn cream, burn relief
+burn in the speakers for {num} hours
+burned my finger on that {swear} {part}
+cut my thumb on the {part}
+stab proof gloves, sharp knife
+bullet journal, bullet blender, nerf gun
+hang up a {item}
+hung the {item} by its {part}
+drowned my {item} in the sink
+beat the eggs until stiff
+whipped cream, beaten eggs
+slap it on the wall and done
+smash burgers in that pan
+punch holes with the {item}
+crush garlic with the {part}
+choke hazard for toddlers
+jump rope, jump starter
+bleach stains came out of my {item}
+drinking water filter without bleach taste
+trash bag, trash can with a good {part}
+garbage disposal, rubbish {part}
+dirty {item} washes clean
+filthy carpet came clean
+fat free, fat burning, fat tyre bike
+fat stacks of {item}s
+lazy me loves a robot {item}
+crazy price, insane {part}
+sick {item}, mad {part}
+wicked good {item}
+monster {item} with a beast of a motor
+beast {item}
+savage deal on a {item}
+freak accident with the {part}
+creepy doll, weird smell
+ghost town app, dead forum
+zombie game where i shoot monsters
+in this game you kill {num} demons
+the villain in the book is a liar
+the movie hero beats the bad guys
+quote from a film, you talking to me
+i bet {num} dollars the {part} fails
+hope your {item} lasts longer
+hope the {part} arrives {when}
+wish they would fix the {swear} {part}
+someone should fix the {part}
+somebody needs to redesign this {part}
+whoever packed my {item} did well
+go buy the {item}
+just return it
+please fix your {part}
+shut the lid, shut off valve
+send me a link for the {item}
+send photos of the {part} please
+selling my {item}, message me
+need another {item}, quiet {part}
+anyone want my old {item}
+want the {item} in blue
+who wants a used {item}
+come over and see my {item}
+show me your setup
+show us your desk
+let me know how the {part} holds
+watch my video about the {item}
+free stickers inside the carton
+subscribe for refills
+i want your opinion about the {part}
+i will return the {item} {when}
+i will never buy a {item} again
+gonna order another {item} {when}
+i know where to find a cheap {item}
+expect a delay {when}
+keep an eye on the {part}
+adult diapers, adult sizes
+safe for kids and adults
+massage oil, massage gun
+vibrating {item}, vibration hurts my hands
+long and hard look at the {part}
+thick {part}, big {part}, deep pan
+inside out seams on the {item}
+rubbing alcohol cleans the {part}
+touch screen reacts slowly
+lick mat for my {pet}
+sucks up {pet} hair
+suction is strong, it really sucks
+bed sheets, naked mattress, topless table
+pole dancing shoes fit small
+shower head with a tight seal
+position the {part} on your knees
+knee pads, get them before tiling
+no strings attached trial
+escort the parcel, full service garage
+single speed, singles pack
+cum laude graduate gift {item}
+dick from accounting liked the {item}
+moby dick hardcover, tight binding
+pussy willow wreath, cockpit toy
+ass on the farm eats hay
+tit feeder for garden birds, great tits nest there
 """.strip().splitlines()

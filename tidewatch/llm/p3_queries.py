@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.abuse import background, judged, trained
+from tidewatch.llm.abuse import background, kept_model, scored
 from tidewatch.storage import table
 
 
 def _scored(spark: SparkSession, folder: str, *keys: str) -> DataFrame:
     posts = table(spark, folder, "clean_reddit_posts")
-    return judged(posts, list(keys), "text_clean", trained(background(posts, "mention_id", "text_clean")))
+    return scored(posts, list(keys), "text_clean", kept_model(spark, background(posts, "mention_id", "text_clean")))
 
 
 def p3_scores(spark: SparkSession, folder: str) -> DataFrame:
