@@ -39,8 +39,8 @@ from tidewatch.storage import exists, shared_root
 
 BITS, ORDERS, WINDOW, BACKGROUND, COPIES, TAIL = 18, (2, 3, 4, 5, 6), 48, 3000, 24, 4.0
 
-#: Folds of the labelled lines for the threshold, lines written out of each held-out pattern, weight of a wrong flag.
-FOLDS, HELD, WRONG = 3, 6, 2.0
+#: Folds of the labelled lines for the threshold, lines written out of each held-out pattern.
+FOLDS, HELD = 3, 6
 
 #: Windows learned at once.
 STEP = 256
@@ -220,12 +220,15 @@ def _around(lines: list[str], carriers: list[str], seed: int) -> list[str]:
 
 
 def _fitted(positive: list[str], harmless: list[str], calm: list[str], seed: int) -> Model:
-    """Two fits: the second learns abusive lines by the window that shows them best, and the harmless windows that look
-    worst."""
+    """Some fits, each but the first learning abusive lines by the window that shows them best, and also the harmless
+    windows that looked worst to those before."""
     around = _around(positive, calm, seed)
     rest = _pieces(_around(harmless, calm, seed + 1), WINDOW // 2) + _pieces(calm)
     model = fit([p[:WINDOW] for p in around], rest, rounds=2)
-    return fit(model.best(around), rest + (model.best(calm) if calm else []))
+    for rounds in (2, 2, 6):
+        rest = rest + (model.best(calm) if calm else [])
+        model = fit(model.best(around), rest, rounds=rounds)
+    return model
 
 
 def _split(lines: list[str], fold: int) -> tuple[list[str], list[str]]:
@@ -236,7 +239,7 @@ def _split(lines: list[str], fold: int) -> tuple[list[str], list[str]]:
 def trained(background: list[str], seed: int = 11) -> Model:
     """The classifier from the labelled lines and harmless background texts, and its threshold from held-out ones: kinds
     of lines (and background) that a fit hasn't seen are put into background posts, and the threshold is where most is
-    right, a wrongly flagged post counting ``WRONG`` times a missed one."""
+    right: the share of harmless ones flagged and of abusive ones missed weigh alike."""
     texts = [t for t in map(disguised_off, filter(None, background)) if t]
     # background that a first fit takes for abusive is left out
     first = _fitted(written_out(ABUSIVE, COPIES // 2, seed, True), written_out(HARMLESS, COPIES // 2, seed, False), texts, seed)
@@ -257,13 +260,13 @@ def trained(background: list[str], seed: int = 11) -> Model:
 
 
 def best_cut(abusive: np.ndarray, harmless: np.ndarray) -> float:
-    """The score with the least ``WRONG`` x share of harmless ones above + share of abusive ones below."""
+    """The score with the least share of harmless ones above + share of abusive ones below."""
     at = np.unique(np.concatenate([abusive, harmless]))
     if not len(abusive) or not len(harmless):
         return 0.0
     missed = np.searchsorted(np.sort(abusive), at) / len(abusive)
     flagged = 1 - np.searchsorted(np.sort(harmless), at) / len(harmless)
-    return float(at[np.argmin(missed + WRONG * flagged)])
+    return float(at[np.argmin(missed + flagged)])
 
 
 def _beyond(scores: np.ndarray) -> float:
@@ -304,7 +307,7 @@ def scored(posts: DataFrame, keys: list[str], text: str, model: Model) -> DataFr
 
 def kept_model(spark: SparkSession, background: list[str]) -> Model:
     """``trained(background)``, fitted once and kept in the shared folder under a name made of all that it depends on."""
-    settings = (BITS, ORDERS, WINDOW, COPIES, TAIL, FOLDS, HELD, WRONG, ABUSIVE, HARMLESS, sorted(SLOTS.items()), sorted(filter(None, background)))
+    settings = (BITS, ORDERS, WINDOW, COPIES, TAIL, FOLDS, HELD, ABUSIVE, HARMLESS, sorted(SLOTS.items()), sorted(filter(None, background)))
     path = f"{shared_root(spark)}/tidewatch/abuse-model-{hashlib.blake2b(repr(settings).encode(), digest_size=12).hexdigest()}"
     if not exists(spark, path + "/_SUCCESS"):
         model = trained(sorted(filter(None, background)))

@@ -32,7 +32,7 @@ SLOTS = {
         "maggots", "cancerous", "apes", "pigs", "mongrels", "inferior",
     ],
     "fate": [
-        "be exterminated", "be locked up forever", "be sterilised", "be castrated", "be whipped", "be shot on sight", "be euthanised",
+        "be exterminated", "be locked up forever", "be neutered", "be whipped", "be shot on sight", "be euthanised",
         "be wiped out", "rot", "burn", "hang", "be deported", "be gassed", "drown", "be lynched", "be beaten bloody", "be spat on",
         "starve", "be run over", "be slapped around", "be kicked out", "be hunted down", "be caged",
     ],
@@ -319,6 +319,125 @@ wanna see your {kin} naked
 gangbang with your {kin}
 anal with a {sexadj} stranger
 orgasm from his {sexadj} {body}
+nobody invited you, {insult}, leave
+you contribute nothing except stink, {insult}
+you have the intellect of a wet sock, {insult}
+even a trained monkey writes better than you
+a goldfish outsmarts you, {insult}
+you were the reason condoms exist, {insult}
+your whole family tree is a circle, inbred {insult}
+lose some weight, you {adj} whale
+whale like you breaks every chair
+put a bag over your {adj} head
+your teeth belong in a horror museum, {insult}
+get plastic surgery, {adj} {insult}
+you look like roadkill, {insult}
+bald {adj} {insult}
+virgin {insult} living in his mum's basement
+jobless {insult} sponging off taxpayers
+welfare {insult}s like you drain us
+keep your legs closed, {insult}
+no man ever touches such a {insult}
+she only got promoted on her knees, {insult}
+women like her exist to be used
+a {insult} like her deserves to be raped
+slap that {insult} until she obeys
+beat your wife, she is a {insult}
+teach that {insult} a lesson with a belt
+drag that {insult} by her hair
+someone should burn down {who}'s house
+i hope someone runs {who} over
+i want to watch {who} suffer
+i dream of watching {who} bleed
+i would pay to see {who} beaten
+{who} needs a bullet between the eyes
+{who} needs a good beating
+lynch {who}
+hang {who} from a lamp post
+cripple {who} for life
+break {who} in half
+your days are numbered, {insult}
+you are dead meat, {insult}
+you are a dead man walking
+you won't see another birthday
+pray that i never meet you, {insult}
+i have friends who will {harm}
+i am outside your house with a knife
+i am waiting outside your office to {harm}
+i saved your photo and your licence plate, {insult}
+i will leak your address and your photos
+i will ruin your life, {insult}
+i will make your {kin} watch
+i will come after your {kin}
+tell your {kin} goodbye, {insult}
+better lock your doors {when}, {insult}
+it would be a shame if your {kin} got hurt
+we will find you and {harm}
+we are coming for your {kin}
+bring a coffin, {insult}
+dig your own grave, {insult}
+{group} should go extinct
+{group}, mistake of nature
+{group} are born criminals
+{group} are lazy thieves by blood
+{group} should never vote or breed
+{group} are too dumb to read
+{group} smell like garbage
+{group} molest children
+{group} control all banks
+a good {insult} is a dead one
+deport the whole tribe of {beast}
+gas chambers for {group}
+bring back slavery for {group}
+burn down the mosque with them inside
+burn the synagogue
+kick every one of these {group} in the teeth
+build a wall and shoot {group}
+i spit on {group}
+keep {group} out of my neighbourhood
+i refuse to serve {group}, {beast}
+one less {insult} on this planet
+he deserved to die, {adj} {insult}
+glad your {kin} died
+laughing at your dead {kin}
+your {kin} is burning in hell
+your dead {kin} would be ashamed, {insult}
+cry more, {adj} {insult}
+bark like the {insult} you are
+kneel before me, {insult}
+lick my boots, {insult}
+know your place, {insult}
+obey, {adj} {insult}
+dm me for {media}
+private chat for {sexadj} girls
+my onlyfans has {media}
+unlock my {media} for ten bucks
+cash for {media}
+swap wives for a night of sex
+threesome with two {sexadj} girls
+lonely wife seeks {sexadj} stranger for sex
+massage with happy ending, {sexadj} girl
+rent my {body} for an hour
+discreet sex in my car {when}
+oral sex behind the store
+your {body} bounced on my {body}
+pounding her {body} from behind
+her {body} dripping wet for his {body}
+his cum on her face
+deepthroat until she gagged
+i came twice inside her {body}
+i masturbate to your photos
+i jerk off thinking about your {body}
+my {body} gets hard when you post
+sniffing your dirty panties
+your {kin} has great {body}, send pics
+strip naked on camera for me
+come sit on my {body}
+want to feel my {body} inside you
+open wide for my {body}
+are you shaved down there, baby
+what is your bra size, sexy
+how much for a night with you
 """.strip().splitlines()
 
 HARMLESS = """
@@ -548,4 +667,77 @@ moby dick hardcover, tight binding
 pussy willow wreath, cockpit toy
 ass on the farm eats hay
 tit feeder for garden birds, great tits nest there
+nobody mentioned the {part} to me
+the {item} contributes nothing to my routine
+even a child can assemble this {item}
+monkey print pillow, goldfish bowl
+condoms size guide, snug fit
+whale song sleep machine
+bag over the {item} keeps dust out
+teeth whitening strips, dental guard for grinding
+plastic cover for the {item}
+bald tyres on my bike, bald spot cover
+i am unemployed and need a cheap {item}
+basement smells damp, dehumidifier
+i lost weight using this {item}
+chair broke under my weight
+legs of the table close neatly
+belt broke, hair dryer sparked
+burn down candles slowly, wood burns clean
+i hope someone restocks the {item}
+i want to watch the race on the screen
+i would pay more for a better {part}
+the {item} needs a good clean
+hang the lamp from a hook
+broke the {item} in half by accident
+its days are numbered, the {part} rattles
+dead battery, dead pixels, dead on arrival
+dead sea salt, dead skin remover
+birthday present for my {kin}
+i have friends who love the {item}
+outside my house with a hose
+knife came blunt, knife block wobbles
+i saved a photo of the {part}
+lock your doors, says the alarm
+it would be a shame to return the {item}
+we will find another {item}
+coffin shaped shelf, grave candle
+dig your garden with a spade
+tribe tent, wild camping
+vote for the best {item}
+bank refused the refund, criminal fees
+thieves stole my bike, get a good lock
+smell like lemon, smells like garbage at first
+children outgrow the {item}
+gas stove, gas grill for the garden
+wall mount, build a wall shelf
+spit valve on the trumpet
+kick stand on the bike, teeth of the zip
+one less thing to carry
+the plant deserved better soil
+glad the old {item} died
+laughing at the silly manual
+cry baby trailer, bark collar for the dog
+lick resistant boots, boots leak
+kneel on the pad, knee hurts
+dm me for the discount code
+private chat with support
+wives and husbands swap recipes
+massage chair, happy with it
+rent a {item} for an hour
+my car has a wet seat
+behind the store is parking
+bounced back cheque, bouncy ball
+pounding headache, hammer with a soft {part}
+dripping tap, wet floor
+face cream on her face
+coughed and gagged on the dust
+my throat is sore, honey helped
+camera strap, camera for me
+come sit on this sofa
+feel the fabric inside
+open wide lid, wide mouth jar
+shaved ice machine, shave twice
+bra size chart is off
+how much for a night at the camp site
 """.strip().splitlines()
