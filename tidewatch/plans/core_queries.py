@@ -7,23 +7,28 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.hot_keys import dense_totals, heavy_keys
 from tidewatch.storage import table
-from tidewatch.streaming.late_events import LateEvents, late_report, only_late, weekly
+from tidewatch.streaming.late_events import LateEvents, Results
 
 
-def _late(spark: SparkSession, folder: str) -> DataFrame:
+def _late(spark: SparkSession, folder: str) -> Results:
     return LateEvents().run(spark, f"{folder}/raw_reddit_posts.parquet")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return only_late(_late(spark, folder))
+    return _late(spark, folder).only_late()
 
 
 def p1_weekly(spark: SparkSession, folder: str) -> DataFrame:
-    return weekly(_late(spark, folder))
+    return _late(spark, folder).weeks()
 
 
 def p1_late_report(spark: SparkSession, folder: str) -> DataFrame:
-    return late_report(_late(spark, folder))
+    return _late(spark, folder).late_report()
+
+
+def p1_set_aside(spark: SparkSession, folder: str) -> DataFrame:
+    """Records that don't count, by reason."""
+    return _late(spark, folder).reasons()
 
 
 HOT = {
@@ -58,6 +63,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_weekly": p1_weekly,
     "p1_late_report": p1_late_report,
+    "p1_set_aside": p1_set_aside,
     "p2_found": p2_found,
     "p2_key_totals": p2_key_totals,
 }
@@ -90,6 +96,9 @@ SQL = {
     "p1_late_report": _RECORDS
     + """SELECT week_start, CAST(sum(late_records) AS BIGINT) AS late_records, count(*) AS posts_with_late,
          count(*) FILTER (WHERE records = 0) AS posts_only_late FROM posts WHERE late_records > 0 GROUP BY week_start""",
+    "p1_set_aside": _RECORDS
+    + """SELECT CASE WHEN e IS NULL OR a IS NULL THEN 'unreadable' ELSE 'late' END AS reason, count(*) AS records, count(DISTINCT mention_id) AS posts
+         FROM parsed WHERE e IS NULL OR a IS NULL OR a >= (((e // 86400000000 - 5) // 7) * 7 + 19) * 86400000000 GROUP BY 1""",
     "p2_found": """
 WITH s AS (SELECT subreddit AS k, count(*) AS n, sum(count(*)) OVER () AS total FROM clean_reddit_posts GROUP BY 1),
      b AS (SELECT brand_norm AS k, count(*) AS n, sum(count(*)) OVER () AS total FROM weekly_cluster_brand_mentions GROUP BY 1)

@@ -49,6 +49,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing if it is missing."""
+    files, target = _file(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(target)] if files.exists(target) else []
+
+
 def delete(spark: SparkSession, path: str) -> None:
     files, target = _file(spark, path)
     files.delete(target, True)
