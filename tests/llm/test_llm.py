@@ -187,35 +187,76 @@ def test_rejected_like_brute_force(spark, monkeypatch):
             known.add(m)
         if words:
             seen.append(words)
+    a = a.withColumn("batch_no", F.when(F.col("arrival_id") <= 30, 1).when(F.col("arrival_id") <= 60, 2).otherwise(3))
     assert {r["arrival_id"] for r in segment_index.rejected(h, a).collect()} == expected
+    mixed = a.withColumn("batch_no", F.col("arrival_id") % 2)
+    assert {r["arrival_id"] for r in segment_index.rejected(h, mixed).collect()} == expected
     assert segment_index.rejected(h, a.limit(0)).count() == 0
     assert {r["arrival_id"] for r in segment_index.rejected(h.limit(0), a.where("arrival_id in (1, 83)")).collect()} == {83}
 
 
-def test_pairs_with_a_fifth_of_the_words_replaced_meet(spark):
+def _index_and_batch(spark, old, new):
+    """An index of texts, and signatures of others, both as lists of (number, words)."""
+    history = [(str(i), "t", " ".join(w), f"h{i}") for i, w in old]
+    index = segment_index.SegmentIndex.create(spark, spark.createDataFrame(history, "mention_id string, title_clean string, text_clean string, content_hash string"))
+    batch = spark.createDataFrame([(i, " ".join(w), i) for i, w in new], "cid long, text string, ord long")
+    cids = {r["cid"]: r["text"] for r in index.part("texts").collect()}
+    number = {" ".join(w): i for i, w in old}
+    return index, segment_index.signatures(batch, True), {c: number[t] for c, t in cids.items()}
+
+
+@pytest.mark.parametrize("probes", [0, 500_000])
+def test_pairs_with_a_fifth_of_the_words_replaced_meet(spark, monkeypatch, probes):
+    monkeypatch.setattr(segment_index, "PROBES", probes)  # beyond it the index is shuffled instead
     rng = random.Random(21)
-    old = [[f"w{rng.randrange(2000)}" for _ in range(rng.choice([5, 10, 20, 40, 100]))] for _ in range(300)]
+    old = [(i, [f"w{rng.randrange(2000)}" for _ in range(rng.choice([5, 10, 20, 40, 100]))]) for i in range(300)]
     new = []
-    for i, words in enumerate(old):
+    for i, words in old:
         places = rng.sample(range(len(words)), len(words) // 5)
-        new.append((1000 + i, " ".join(f"x{i}" if k in places else w for k, w in enumerate(words))))
-    texts = lambda rows: segment_index.signatures(spark.createDataFrame(rows, "cid long, text string"), True)
-    index = segment_index.SegmentIndex.build(spark, spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(old)], "cid long, text string"))
-    found = {(r["a"], r["b"]) for r in index.candidates(texts(new)).collect()}
+        new.append((1000 + i, [f"x{i}" if k in places else w for k, w in enumerate(words)]))
+    index, signed, number = _index_and_batch(spark, old, new)
+    found = {(r["a"], number[r["b"]]) for r in index.candidates(signed).collect()}
     assert found >= {(1000 + i, i) for i in range(300)} and len(found) < 400
 
 
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2, 0.25])
+def test_recall_of_edits(spark, share):
+    """Words replaced, left out and added at random: all that the exact check takes for the same post meet in the index."""
+    rng = random.Random(int(100 * share))
+    old = [(i, [f"w{rng.randrange(3000)}" for _ in range(rng.choice([8, 20, 40, 90, 200]))]) for i in range(200)]
+    new = [(1000 + i, _edited(rng, w, share)) for i, w in old]
+    index, signed, number = _index_and_batch(spark, old, new)
+    met = {(r["a"], number[r["b"]]) for r in index.candidates(signed).collect()}
+    same = {(1000 + i, i) for (i, w), (_, v) in zip(old, new, strict=True) if segment_index.same_post(w, v)}
+    assert len(same) > 40 and same <= met
+
+
 def test_a_repost_whose_intact_segments_are_all_hot_meets(spark, monkeypatch):
     monkeypatch.setattr(segment_index, "HOT", 3)
-    monkeypatch.setattr(segment_index, "SALTED", 4, raising=False)  # so the hot segments have several keys
+    monkeypatch.setattr(segment_index, "SALTED", 4)  # so the hot segments have several keys
     rng = random.Random(6)
     intro = [f"i{k}" for k in range(45)]
-    old = [[*intro, *(f"w{rng.randrange(5000)}" for _ in range(15))] for _ in range(40)]
-    texts = lambda rows: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "cid long, text string")
-    new = [(1000 + i, [f"x{i}" if k >= 45 and k % 2 else w for k, w in enumerate(words)]) for i, words in enumerate(old)]
-    index = segment_index.SegmentIndex.build(spark, texts(enumerate(old)))
-    found = {(r["a"], r["b"]) for r in index.candidates(segment_index.signatures(texts(new), True)).collect()}
-    assert found >= {(1000 + i, i) for i in range(40)}
+    old = [(i, [*intro, *(f"w{rng.randrange(5000)}" for _ in range(15))]) for i in range(40)]
+    new = [(1000 + i, [f"x{i}" if k >= 45 and k % 2 else w for k, w in enumerate(words)]) for i, words in old]
+    index, signed, number = _index_and_batch(spark, old, new)
+    assert {(r["a"], number[r["b"]]) for r in index.candidates(signed).collect()} >= {(1000 + i, i) for i in range(40)}
+
+
+def test_the_index_is_opened_again_and_the_history_is_not_read(spark, tmp_path):
+    schema = "mention_id string, title_clean string, text_clean string, content_hash string"
+    words = " ".join(f"w{k}" for k in range(40))
+    path = str(tmp_path / "history")
+    spark.createDataFrame([("m", "t", words, "h")], schema).write.parquet(path)
+    home = segment_index.SegmentIndex.create(spark, spark.read.parquet(path), str(tmp_path / "index")).home
+    import shutil
+
+    shutil.rmtree(path)
+    batch = lambda *rows: spark.createDataFrame(rows, f"arrival_id long, {schema}")
+    found = []
+    for name, rows in (("a", [(1, "x", "t", words.replace("w7 ", "z "), "h1")]), ("b", [(2, "y", "t", "quite another text", "h2"), (3, "y", "t", None, None)])):
+        index = segment_index.SegmentIndex(spark, home)
+        found += [tuple(r) for r in segment_index.admitted(index, name, batch(*rows)).collect()]
+    assert found == [(1, "text"), (3, "id")]
 
 
 # --- canonical values ------------------------------------------------------------------------------------------------

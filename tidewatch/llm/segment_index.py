@@ -7,8 +7,8 @@ and so its length) with the text's length and a bitmap of its words; a batch is
 those of its substrings that have a segment's length for some text of similar length. Positions aren't compared, because
 sentences move within reposts. Of what meets, lengths and bitmaps are compared at once: a bit that only one text has is
 a word the other lacks, so what has too many of them can't be the same post, and no pair is lost there. The texts of the
-remaining pairs are verified word by word. Accepted batches append their segments; nothing of the history is read again
-but the index.
+remaining pairs are verified word by word, the most promising of an arrival first, and no other if that one is the same.
+The index is a set of tables that is opened, probed and appended to batch by batch; nothing of the history is read again.
 
 Segments that very many texts share (standing introductions) prove little. A text is indexed under its ``EDITS`` * n + 1
 rarest segments, so the commonest are used only where a text hasn't enough others; those are used in full, and the
@@ -34,11 +34,13 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.text import content_hash
 from tidewatch.llm.lookalikes import plain
-from tidewatch.storage import pinned
+from tidewatch.storage import pinned, scratch
 
 EDITS, KEPT, PIECE, HOT = 0.25, 0.75, 3, 50
 #: Texts of a segment under one key.
 SALTED = 5_000
+#: Keys of a batch that may be broadcast, about a hundred bytes each.
+PROBES = 500_000
 #: The list of hot segments is broadcast; the least count that is hot rises so that the list never exceeds this.
 HOT_LIST = 2_000_000
 #: 64-bit parts of a text's bitmap.
@@ -136,7 +138,7 @@ def bitmap(h: np.ndarray) -> np.ndarray:
 
 
 def signatures(texts: DataFrame, with_probes: bool) -> DataFrame:
-    """Of (cid, text): cid, words, bitmap, segments and, for a batch, probes."""
+    """Of (cid, text, ord): cid, ord, words, bitmap, segments and, for a batch, probes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -151,15 +153,15 @@ def signatures(texts: DataFrame, with_probes: bool) -> DataFrame:
                     if with_probes:
                         prb.append(probes(h).view(np.int64))
                 parts = np.array(bits, np.int64).reshape(-1, len(BITMAP))
-                columns = [batch.column("cid"), pa.array(n, pa.int32()), *map(pa.array, parts.T.copy()), pa.array(seg, pa.list_(pa.int64()))]
-                names = ["cid", "n", *BITMAP, "segs"]
+                columns = [batch.column("cid"), batch.column("ord"), pa.array(n, pa.int32()), *map(pa.array, parts.T.copy()), pa.array(seg, pa.list_(pa.int64()))]
+                names = ["cid", "ord", "n", *BITMAP, "segs"]
                 if with_probes:
                     columns.append(pa.array(prb, pa.list_(pa.int64())))
                     names.append("probes")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    kind = "cid long, n int, b0 long, b1 long, b2 long, b3 long, segs array<long>" + ", probes array<long>" * with_probes
-    return texts.where("trim(text) <> ''").select("cid", "text").mapInArrow(run, kind)
+    kind = "cid long, ord long, n int, b0 long, b1 long, b2 long, b3 long, segs array<long>" + ", probes array<long>" * with_probes
+    return texts.where("trim(text) <> ''").select("cid", "ord", "text").mapInArrow(run, kind)
 
 
 def may_be_same() -> Column:
@@ -175,77 +177,135 @@ def may_be_same() -> Column:
 
 
 class SegmentIndex:
-    """The index as a table of (cid, ord, n, bitmap, segs), one row per distinct text; ``ord`` is -1 for the history and
-    the first arrival_id for appended texts."""
+    """The index as tables below ``home``, one part for the history and one for each appended batch; ``ord`` is -1 for the
+    history and the first arrival_id for appended rows.
 
-    def __init__(self, spark: SparkSession, rows: DataFrame):
-        self.spark, self.rows = spark, rows
+    ``ids`` and ``hashes``: v, ord. ``texts``: cid, ord, text, one row per distinct text of a part. ``segments``: key, cid,
+    ord, n, bitmap, a row for each chosen segment. ``hot``: the segments of many texts as the history had them; they
+    decide which segments of a text are chosen and how keys are salted, for appended texts and probes too."""
+
+    def __init__(self, spark: SparkSession, home: str):
+        self.spark, self.home = spark, home
+        found = spark.read.parquet(f"{home}/hot").toPandas().sort_values("seg")
+        self.hot = spark.sparkContext.broadcast((found["seg"].to_numpy(np.int64), found["count"].to_numpy(np.int64)))
 
     @classmethod
-    def build(cls, spark: SparkSession, texts: DataFrame) -> SegmentIndex:
-        rows = signatures(texts, False).withColumn("ord", F.lit(-1).cast("long"))
-        return cls(spark, pinned(rows.dropDuplicates(["cid"]), "segment-index"))
-
-    def append(self, batch: DataFrame) -> SegmentIndex:
-        """``batch`` as signatures with ``ord``."""
-        own = batch.select("cid", "n", *BITMAP, "segs", "ord")
-        return SegmentIndex(self.spark, self.rows.unionByName(own))
-
-    def _hot(self) -> tuple[np.ndarray, np.ndarray]:
-        """The segments of more than ``HOT`` texts, sorted, and of how many."""
-        spread = self.rows.select(F.explode("segs").alias("seg"))
-        counts = spread.groupBy("seg").count().where(F.col("count") > HOT)
-        counts = pinned(counts, "hot-segments")
-        total = counts.count()
-        if total > HOT_LIST:
-            least = counts.approxQuantile("count", [1 - HOT_LIST / total / 2], 0.01)[0]
-            counts = counts.where(F.col("count") > least)
-        found = counts.toPandas().sort_values("seg")
-        return found["seg"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
-
-    def candidates(self, batch: DataFrame) -> DataFrame:
-        """Pairs (a, b): class of the batch and indexed class that may be near, before texts are compared."""
-        shared = self.spark.sparkContext.broadcast(self._hot())
-
-        def keyed(df: DataFrame, column: str, chosen: bool) -> DataFrame:
-            """A row for each key of a text; ``chosen``: of the index, under the rarest segments."""
-
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                known, counts = shared.value
-                for batch in batches:
-                    lists = batch.column(column)
-                    flat = lists.flatten().to_numpy(zero_copy_only=False)
-                    sizes = np.diff(lists.offsets.to_numpy())
-                    row = np.repeat(np.arange(len(sizes)), sizes)
-                    count = np.zeros(len(flat), np.int64)
-                    if len(known):
-                        i = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-                        count = np.where(known[i] == flat, counts[i], 0)
-                    salts = 1 + count // SALTED
-                    if chosen:
-                        order = np.lexsort((count, row))
-                        rank = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                        most = np.array([needed(n) for n in batch.column("n").to_pylist()], np.int64)
-                        taken = order[rank < most[row]]
-                        row, flat = row[taken], flat[taken]
-                        salt = batch.column("cid").to_numpy()[row] % salts[taken]
-                    else:
-                        row, flat = np.repeat(row, salts), np.repeat(flat, salts)
-                        salt = np.arange(len(flat)) - np.repeat(np.cumsum(salts) - salts, salts)
-                    # without a salt the key is the segment itself
-                    key = flat ^ _mixed(salt.astype(np.uint64)).view(np.int64)
-                    at = pa.array(row, pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key), *(batch.column(c).take(at) for c in ("cid", "n", *BITMAP))], ["key", "cid", "n", *BITMAP]
-                    )
-
-            kind = "key long, cid long, n int, b0 long, b1 long, b2 long, b3 long"
-            return df.select("cid", "n", *BITMAP, column).mapInArrow(run, kind)
-
-        index, asked = keyed(self.rows, "segs", True), keyed(batch, "probes", False)
-        a, b = asked.alias("a"), index.alias("b")
-        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cid") != F.col("b.cid")) & may_be_same())
-        return met.select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct()
+    def create(cls, spark: SparkSession, history: DataFrame, home: str | None = None) -> SegmentIndex:
+        """The index of accepted posts (mention_id, title_clean, text_clean, content_hash). Nothing later reads them again."""
+        home = home or scratch(spark, "segment-index")
+        rows = posts_of(history).withColumn("ord", F.lit(-1).cast("long"))
+        signed = pinned(signatures(distinct_texts(rows), False), "signatures")
+        _hot_segments(signed).write.mode("overwrite").parquet(f"{home}/hot")
+        index = cls(spark, home)
+        index._write("history", rows, signed)
+        return index
+
+    def append(self, name: str, batch: DataFrame, signed: DataFrame) -> None:
+        """Adds a batch: rows of ``posts_of`` with ``ord``, and their signatures. Adding a part of the same name again
+        replaces it."""
+        self._write(name, batch, signed)
+
+    def _write(self, part: str, rows: DataFrame, signed: DataFrame) -> None:
+        def put(df: DataFrame, table: str) -> None:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.home}/{table}/part={part}")
+
+        put(rows.where(usable_id(F.col("mention_id"))).groupBy(F.col("mention_id").alias("v")).agg(F.min("ord").alias("ord")), "ids")
+        put(rows.where("content_hash is not null").groupBy(F.col("content_hash").alias("v")).agg(F.min("ord").alias("ord")), "hashes")
+        put(distinct_texts(rows), "texts")
+        put(self.keyed(signed, "segs", True), "segments")
+
+    def part(self, table: str) -> DataFrame:
+        kinds = {"ids": "v string, ord long", "hashes": "v string, ord long", "texts": "cid long, text string, ord long", "segments": KEYED}
+        return self.spark.read.schema(kinds[table]).parquet(f"{self.home}/{table}/*")
+
+    def keyed(self, df: DataFrame, column: str, chosen: bool) -> DataFrame:
+        """A row for each key of a text; ``chosen``: of the index, under the rarest segments."""
+        shared = self.hot
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, counts = shared.value
+            for batch in batches:
+                lists = batch.column(column)
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                sizes = np.diff(lists.offsets.to_numpy())
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                count = np.zeros(len(flat), np.int64)
+                if len(known):
+                    i = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                    count = np.where(known[i] == flat, counts[i], 0)
+                salts = 1 + count // SALTED
+                if chosen:
+                    order = np.lexsort((count, row))
+                    rank = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    most = np.array([needed(n) for n in batch.column("n").to_pylist()], np.int64)
+                    taken = order[rank < most[row]]
+                    row, flat = row[taken], flat[taken]
+                    salt = batch.column("cid").to_numpy()[row] % salts[taken]
+                else:
+                    row, flat = np.repeat(row, salts), np.repeat(flat, salts)
+                    salt = np.arange(len(flat)) - np.repeat(np.cumsum(salts) - salts, salts)
+                # without a salt the key is the segment itself
+                key = flat ^ _mixed(salt.astype(np.uint64)).view(np.int64)
+                at = pa.array(row, pa.int64())
+                names = ["cid", "ord", "n", *BITMAP]
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(batch.column(c).take(at) for c in names)], ["key", *names])
+
+        return df.select("cid", "ord", "n", *BITMAP, column).mapInArrow(run, KEYED)
+
+    def candidates(self, signed: DataFrame) -> DataFrame:
+        """Pairs (a, b) with the segments they share: class of the batch and earlier indexed class that may be near, before
+        texts are compared. A batch of few keys is sent to the index, which is then read once and not moved."""
+        a, b = small(self.keyed(signed, "probes", False), PROBES).alias("a"), self.part("segments").alias("b")
+        met = b.join(a, (F.col("a.key") == F.col("b.key")) & (F.col("b.ord") < F.col("a.ord")) & (F.col("a.cid") != F.col("b.cid")) & may_be_same())
+        return met.groupBy(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+
+    def _texts(self, cids: DataFrame) -> DataFrame:
+        """Texts of some classes, one row each."""
+        return self.part("texts").join(small(cids, 1_000_000), "cid", "left_semi").dropDuplicates(["cid"]).select("cid", "text")
+
+    def near(self, signed: DataFrame) -> DataFrame:
+        """Classes (a) of a batch that an earlier class is the same post as. One is enough, so the class with most common
+        segments is compared first, and all others only where that one fails."""
+        pairs = pinned(self.candidates(signed), "segment-pairs")
+        best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+        own = self._texts(signed.select("cid"))
+        first = pinned(verified(best, own, self._texts(best.select(F.col("b").alias("cid")).distinct())), "near-first").select("a")
+        rest = pairs.join(best, ["a", "b"], "left_anti").join(small(first.distinct(), 1_000_000), "a", "left_anti").select("a", "b")
+        later = verified(rest, own, self._texts(rest.select(F.col("b").alias("cid")).distinct())).select("a")
+        return first.unionByName(later).distinct()
+
+
+KEYED = "key long, cid long, ord long, n int, b0 long, b1 long, b2 long, b3 long"
+
+
+def small(df: DataFrame, bound: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``bound`` rows."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
+def posts_of(posts: DataFrame) -> DataFrame:
+    """mention_id, content_hash (computed where it is missing), text, cid, and what else ``posts`` has of arrival_id and ord."""
+    kept = [c for c in ("arrival_id", "ord") if c in posts.columns]
+    rows = posts.select(*kept, "mention_id", "title_clean", F.col("text_clean").alias("text"), "content_hash", F.xxhash64("text_clean").alias("cid"))
+    blank = F.trim(F.coalesce("content_hash", F.lit(""))) == ""
+    missing = rows.where(blank).withColumn("content_hash", content_hash(F.col("title_clean"), F.col("text")))
+    return rows.where(~blank).unionByName(missing).drop("title_clean")
+
+
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """cid, text, ord: one row per text that isn't blank, with its least ``ord``."""
+    return rows.where(F.trim("text") != "").groupBy("cid").agg(F.min("text").alias("text"), F.min("ord").alias("ord"))
+
+
+def _hot_segments(signed: DataFrame) -> DataFrame:
+    """seg, count: the segments of more than ``HOT`` texts, at most ``HOT_LIST`` of them."""
+    counts = signed.select(F.explode("segs").alias("seg")).groupBy("seg").count().where(F.col("count") > HOT)
+    counts = pinned(counts, "hot-segments")
+    total = counts.count()
+    if total > HOT_LIST:
+        least = counts.approxQuantile("count", [1 - HOT_LIST / total / 2], 0.01)[0]
+        counts = counts.where(F.col("count") > least)
+    return counts
 
 
 def distance(a: list[str], b: list[str], most: int) -> int:
@@ -313,47 +373,48 @@ def usable_id(c: Column) -> Column:
     return c.isNotNull() & (F.trim(c) != "") & (F.lower(F.trim(c)) != "nan")
 
 
-def rejected(history: DataFrame, arrivals: DataFrame) -> DataFrame:
-    """arrival_id and reason (``id``, ``hash`` or ``text``) of the arrivals that repeat the history or a smaller arrival."""
-    spark = history.sparkSession
-    columns = ["mention_id", "title_clean", "text_clean", "content_hash"]
-    new = arrivals.select("arrival_id", *columns)
-    blank = F.trim(F.coalesce("content_hash", F.lit(""))) == ""
-    missing = new.where(blank).withColumn("content_hash", content_hash(F.col("title_clean"), F.col("text_clean")))
-    new = pinned(
-        new.where(~blank).unionByName(missing).withColumn("cid", F.xxhash64("text_clean")), "arrivals"
-    )
-    old = history.select(*columns).withColumn("cid", F.xxhash64("text_clean"))
-
-    def first(column: str, condition: Column) -> DataFrame:
-        """arrival_ids that are not the first with their value, -1 being the history's."""
-        ours = new.where(condition).select(F.col(column).alias("v"), "arrival_id")
-        theirs = old.where(condition).select(F.col(column).alias("v"), F.lit(-1).cast("long").alias("arrival_id"))
-        least = theirs.unionByName(ours).groupBy("v").agg(F.min("arrival_id").alias("first"))
-        return ours.join(least, "v").where("first < arrival_id").select("arrival_id")
-
-    text = F.trim("text_clean") != ""
-    by_id = first("mention_id", usable_id(F.col("mention_id"))).withColumn("reason", F.lit("id"))
-    by_hash = first("content_hash", F.col("content_hash").isNotNull()).withColumn("reason", F.lit("hash"))
-    equal = first("cid", text)
-
-    texts = new.where(text).select("cid", F.col("text_clean").alias("text"), "arrival_id")
-    classes = texts.groupBy("cid").agg(F.min("text").alias("text"), F.min("arrival_id").alias("ord"))
-    batch = pinned(signatures(classes, True).join(classes.select("cid", "ord"), "cid"), "batch-signatures")
-    history_texts = old.where(text).select("cid", F.col("text_clean").alias("text"))
-    index = SegmentIndex.build(spark, history_texts).append(batch)
-    pairs = pinned(index.candidates(batch), "segment-pairs")
-    wanted = pairs.select(F.col("b").alias("cid")).distinct()
-    if wanted.count() <= 1_000_000:  # eight bytes each
-        wanted = F.broadcast(wanted)
-    sources = history_texts.join(wanted, "cid", "left_semi").dropDuplicates(["cid"])
-    own = classes.select("cid", "text")
-    found = verified(pairs, own, sources.unionByName(own).dropDuplicates(["cid"]))
-    orders = index.rows.groupBy("cid").agg(F.min("ord").alias("ord"))
-    earliest = (
-        found.join(orders, found["b"] == orders["cid"]).groupBy("a").agg(F.min("ord").alias("first"))
-    )
-    near = texts.join(earliest, texts["cid"] == earliest["a"]).where("first < arrival_id").select("arrival_id")
-    by_text = equal.unionByName(near).withColumn("reason", F.lit("text"))
-    every = by_id.unionByName(by_hash).unionByName(by_text)
-    return every.groupBy("arrival_id").agg(F.min("reason").alias("reason"))
+def batches_of(arrivals: DataFrame, batch: str) -> list[tuple[str, Column]]:
+    """Name and condition of each batch in order of arrival; batches whose arrival_ids overlap are taken as one."""
+    spans = arrivals.groupBy(batch).agg(F.min("arrival_id").alias("low"), F.max("arrival_id").alias("high")).orderBy("low").collect()
+    merged: list[list[int]] = []
+    for r in spans:
+        if merged and r["low"] <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], r["high"])
+        else:
+            merged.append([r["low"], r["high"]])
+    return [(f"batch{low}", F.col("arrival_id").between(low, high)) for low, high in merged]
+
+
+def rejected(history: DataFrame, arrivals: DataFrame, batch: str = "batch_no") -> DataFrame:
+    """arrival_id and reason (``id``, ``hash`` or ``text``) of the arrivals that repeat the history or a smaller arrival. The
+    history is indexed once; each batch is added to the index and looked up in it."""
+    index = SegmentIndex.create(history.sparkSession, history)
+    out = None
+    for name, condition in batches_of(arrivals, batch):
+        found = admitted(index, name, arrivals.where(condition))
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return arrivals.select("arrival_id", F.lit("").alias("reason")).limit(0)
+    return out
+
+
+def admitted(index: SegmentIndex, name: str, arrivals: DataFrame) -> DataFrame:
+    """Adds a batch to the index and gives the arrivals of it to reject, with the reason."""
+    rows = pinned(posts_of(arrivals.withColumn("ord", F.col("arrival_id"))), "arrivals")
+    signed = pinned(signatures(distinct_texts(rows), True), "batch-signatures")
+    index.append(name, rows, signed)
+
+    def known(column: str, part: str, key: str) -> DataFrame:
+        """Arrivals whose value an earlier row of the index has."""
+        ours = small(rows.select(F.col(column).alias(key), "arrival_id").where(f"{key} is not null"), 1_000_000)
+        return index.part(part).join(ours, key).where("ord < arrival_id").select("arrival_id").distinct()
+
+    by_id = known("mention_id", "ids", "v").withColumn("reason", F.lit("id"))
+    by_hash = known("content_hash", "hashes", "v").withColumn("reason", F.lit("hash"))
+    by_text = known("cid", "texts", "cid").withColumn("reason", F.lit("text"))
+    plainly = pinned(by_id.unionByName(by_hash).unionByName(by_text).groupBy("arrival_id").agg(F.min("reason").alias("reason")), "known")
+    # what is left has one arrival for each text, the one that ``ord`` names
+    left = signed.join(plainly.select(F.col("arrival_id").alias("ord")), "ord", "left_anti")
+    near = index.near(pinned(left, "unknown"))
+    later = rows.join(near.withColumnRenamed("a", "cid"), "cid").join(plainly, "arrival_id", "left_anti")
+    return pinned(plainly.unionByName(later.select("arrival_id", F.lit("text").alias("reason"))), "rejected")
