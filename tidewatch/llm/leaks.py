@@ -1,16 +1,19 @@
 """Test items whose text stands, wholly or partly, in documents.
 
-Containment search with MinHash, partitioned by size: items are cut into overlapping pieces, documents into
-overlapping blocks, so that what is compared is of like size however long the document; blocks fall into partitions by
-their number of shingles, and each partition has bands as wide as the containment threshold allows for its size. What
-collides in at least ``COLLISIONS`` places of the signature is verified exactly: the shingles that item and document
-share are joined into runs, and an item counts as leaked if one or two runs hold half of its words.
+Containment search with MinHash, partitioned by size. Items fall into partitions by the length of the run a leak must
+hold at least (a quarter of the passage, twelve words or more); in each partition items are cut into overlapping pieces of
+that length, and documents into overlapping blocks to match, so that what is compared is of like size however long the
+document. Longer runs mean larger blocks, whose minima are those of the smaller blocks they consist of. Each partition
+has bands as wide as the containment threshold allows for its sizes.
+
+Band keys of items are a table. A filter of their bits, of bounded size whatever the number of items, goes to the
+documents: a block that meets too few keys is dropped where it is made, the keys of the others meet the table in an
+equi-join. What collides in enough places is verified exactly: the word pairs that item and document share are joined
+into runs, and an item counts as leaked if one or two runs hold half of its words.
 
 Shingles have three words, not five: a run of twelve words with one word replaced keeps at most three of its eight
 shingles of five words, but seven of its ten of three.
 
-The items are indexed in blocks of at most ``ITEMS`` pieces, one broadcast at a time, so their number isn't bounded.
-
 Defined results: case, punctuation, layout and look-alike characters don't matter; the standing instruction of a suite
 (a first sentence that several of its items share) is no part of a passage; null and blank texts contain nothing; items
 without words leak nowhere; repeated documents each have their rows; an empty table gives an empty result.
@@ -19,9 +22,8 @@ without words leak nowhere; repeated documents each have their rows; an empty ta
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +31,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.lookalikes import plain
-from tidewatch.llm.segment_index import _mixed, _Numbers, _spans
+from tidewatch.llm.segment_index import _mixed, _Numbers, _spans, small
+from tidewatch.storage import pinned
 
-SHINGLE, PIECE, STEP, HALF_BLOCK = 3, 12, 6, 12
-SIGNATURE, COLLISIONS, CONTAINMENT = 32, 4, 0.6
+SHINGLE = 3
+SIGNATURE, COLLISIONS, CONTAINMENT, FOUND = 32, 4, 0.6, 0.97
 RUN, PART, INTACT, GAP = 12, 0.5, 0.85, 2
-ITEMS = 50_000
-#: Upper bounds of the partitions, in shingles of a block.
-SIZES = (6, 12, 2 * HALF_BLOCK)
+#: Words of a piece in each partition. A passage is in the last one whose pieces aren't longer than the run it must show.
+RUNS = (RUN, 2 * RUN, 4 * RUN)
+#: Bits of the filter for each key of the items, and at most in all (64 MB).
+BITS_PER_KEY, MOST_BITS = 16, 29
+#: Rows of items' keys, of candidates and of passages that may be broadcast.
+SMALL = 500_000
 
 _WORD = re.compile(r"[^\W_]+")
 _numbers = _Numbers()
@@ -51,17 +57,29 @@ def numbered(words: list[str]) -> np.ndarray:
     return np.array([_numbers[w] for w in words], np.uint64)
 
 
-def band_width(size: int) -> int:
-    """Places of a signature that must agree at once: the most with which a piece contained to the threshold in a block
-    of ``size`` shingles is still found with 99 %."""
-    piece = PIECE - SHINGLE + 1
-    same = CONTAINMENT / (max(size, piece) / piece + 1 - CONTAINMENT)
+def band_width(piece: int, block: int) -> int:
+    """Places of a signature that must agree at once: the most with which a piece of so many shingles, contained to the
+    threshold in a block of ``block`` shingles, is still found with ``FOUND``."""
+    same = CONTAINMENT / (max(block, piece) / piece + 1 - CONTAINMENT)
     for width in (4, 2):
-        if 1 - (1 - same**width) ** (SIGNATURE // width) >= 0.99:
+        if 1 - (1 - same**width) ** (SIGNATURE // width) >= FOUND:
             return width
     return 1
 
 
+def level_of(n: int) -> int:
+    """The partition of a passage of n words: of two runs that hold half of it, one has a quarter of its words."""
+    return sum(run <= max(RUN, PART * n / 2) for run in RUNS) - 1
+
+
+def width_of(level: int) -> int:
+    return band_width(RUNS[level] - SHINGLE + 1, 2 * RUNS[level])
+
+
+def collisions_of(level: int) -> int:
+    return max(1, COLLISIONS // width_of(level))
+
+
 def banded(signatures: np.ndarray, width: int) -> np.ndarray:
     """[place, band] keys of [place, SIGNATURE] minima."""
     if width == 1:
@@ -81,82 +99,64 @@ def minima(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-@dataclass
-class Pieces:
-    """Signatures of the pieces of some items, ready to be looked up by bands of each width."""
-
-    items: list
-    passages: list[np.ndarray]
-
-    def __post_init__(self) -> None:
-        signatures, owner = [], []
-        for i, p in enumerate(self.passages):
-            if len(p) < SHINGLE:
-                continue
-            s = _spans(p, SHINGLE)
-            size = PIECE - SHINGLE + 1
-            for at in sorted({*range(0, max(len(s) - size, 0) + 1, STEP), max(len(s) - size, 0)}):
-                signatures.append(minima(s[at : at + size], np.zeros(1, np.int64))[0])
-                owner.append(i)
-        self.owner = np.array(owner, np.int64)
-        all_signatures = np.array(signatures, np.uint64).reshape(-1, SIGNATURE)
-        self.tables = {}
-        for width in {band_width(s) for s in SIZES}:
-            keys = banded(all_signatures, width) if len(owner) else np.zeros((0, SIGNATURE // width), np.uint64)
-            bands = []
-            for b in range(keys.shape[1]):
-                order = np.argsort(keys[:, b], kind="stable")
-                values, first = np.unique(keys[order, b], return_index=True)
-                filter_bits = np.zeros(1 << 16, bool)
-                filter_bits[(values & np.uint64(0xFFFF)).astype(np.int64)] = True
-                bands.append((values, np.append(first, len(order)), order, filter_bits))
-            self.tables[width] = bands
-        self.pairs = [_spans(p, 2).tolist() if len(p) > 1 else [] for p in self.passages]
-
-    def candidates(self, signatures: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(block, item) that collide often enough."""
-        keys = banded(signatures, width)
-        blocks, pieces = [], []
-        for b, (values, first, order, bits) in enumerate(self.tables[width]):
-            own = keys[:, b]
-            maybe = np.flatnonzero(bits[(own & np.uint64(0xFFFF)).astype(np.int64)])
-            if not len(maybe) or not len(values):
-                continue
-            at = np.minimum(np.searchsorted(values, own[maybe]), len(values) - 1)
-            hit = values[at] == own[maybe]
-            maybe, at = maybe[hit], at[hit]
-            n = first[at + 1] - first[at]
-            blocks.append(np.repeat(maybe, n))
-            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            pieces.append(order[np.repeat(first[at], n) + inside])
-        if not blocks:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        block, piece = np.concatenate(blocks), np.concatenate(pieces)
-        both, times = np.unique(block * len(self.owner) + piece, return_counts=True)
-        both = both[times >= max(1, COLLISIONS // width)]
-        return both // len(self.owner), self.owner[both % len(self.owner)]
-
-    def leaked(self, item: int, document: dict[int, list[int]]) -> bool:
-        """Exact check of one item against a document, given as the places of its word pairs."""
-        n = len(self.passages[item])
-        shared = [(a, document[h]) for a, h in enumerate(self.pairs[item]) if h in document]
-        # a replaced word takes two pairs, and at most one word in ten of half the passage is replaced
-        if len(shared) < PART * n * (1 - 2 * (1 - INTACT)) - 2:
-            return False
-        by_offset: dict[int, list[int]] = defaultdict(list)
-        for a, places in shared:
-            for b in places:
-                by_offset[b - a].append(a)
-        stretches = []
-        for offset, found in by_offset.items():
-            start = last = found[0]
-            for a in found[1:]:
-                if a != last + 1:
-                    stretches.append((start, last + 2, offset))
-                    start = a
-                last = a
-            stretches.append((start, last + 2, offset))
-        return half_in_runs(stretches, n)
+def keys_of(signatures: np.ndarray, level: int) -> np.ndarray:
+    """[place, band] keys, different for each partition and band."""
+    keys = banded(signatures, width_of(level))
+    return _mixed(keys ^ _mixed(np.arange(keys.shape[1], dtype=np.uint64) * np.uint64(8) + np.uint64(level + 1)))
+
+
+def piece_keys(passage: np.ndarray) -> tuple[int, np.ndarray]:
+    """Partition and [piece, band] keys of a passage."""
+    level = level_of(len(passage))
+    if len(passage) < SHINGLE:
+        return level, np.zeros((0, 1), np.uint64)
+    s, size = _spans(passage, SHINGLE), RUNS[level] - SHINGLE + 1
+    last = max(len(s) - size, 0)
+    made = [minima(s[at : at + size], np.zeros(1, np.int64))[0] for at in sorted({*range(0, last + 1, RUNS[level] // 2), last})]
+    return level, keys_of(np.array(made), level)
+
+
+def block_keys(hashes: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of documents as arrays of shingles, for each partition: its number, which document each block belongs to, and the
+    [block, band] keys. Halves of the smallest blocks have ``RUN`` shingles."""
+    counts = np.array([-(-len(h) // RUN) for h in hashes])
+    begins = np.cumsum([0, *(len(h) for h in hashes)])[:-1]
+    owner = np.repeat(np.arange(len(hashes)), counts)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    half = minima(np.concatenate(hashes), begins[owner] + inside * RUN)
+    for level, run in enumerate(RUNS):
+        if level:
+            # two halves of the level before are one of this level
+            first = np.flatnonzero(inside % 2 == 0)
+            half, owner, inside = np.minimum.reduceat(half, first), owner[first], inside[first] // 2
+        end = np.append(owner[1:] != owner[:-1], True)
+        block = half.copy()
+        block[:-1] = np.where(end[:-1, None], half[:-1], np.minimum(half[:-1], half[1:]))
+        yield level, owner, keys_of(block, level)
+
+
+def leaked(passage: np.ndarray, document: dict[int, list[int]]) -> bool:
+    """Exact check of a passage against a document, given as the places of its word pairs."""
+    n = len(passage)
+    pairs = _spans(passage, 2).tolist() if n > 1 else []
+    shared = [(a, document[h]) for a, h in enumerate(pairs) if h in document]
+    # a replaced word takes two pairs, and at most one word in ten of half the passage is replaced
+    if len(shared) < PART * n * (1 - 2 * (1 - INTACT)) - 2:
+        return False
+    by_offset: dict[int, list[int]] = defaultdict(list)
+    for a, places in shared:
+        for b in places:
+            by_offset[b - a].append(a)
+    stretches = []
+    for offset, found in by_offset.items():
+        start = last = found[0]
+        for a in found[1:]:
+            if a != last + 1:
+                stretches.append((start, last + 2, offset))
+                start = a
+            last = a
+        stretches.append((start, last + 2, offset))
+    return half_in_runs(stretches, n)
 
 
 def pair_places(words: np.ndarray) -> dict[int, list[int]]:
@@ -199,93 +199,120 @@ def half_in_runs(stretches: list[tuple[int, int, int]], n: int) -> bool:
     return max(b - a + before[a] for a, b in runs) >= PART * n
 
 
-def passages(rows: list[tuple], shared: int = 5) -> list[tuple]:
-    """(item, passage words) of (item, suite, text): a first sentence that at least ``shared`` items of the suite begin
-    with is its standing instruction and is left out."""
-    first = re.compile(r"^\s*(.*?[.?!:])(?=\s|$)", re.S)
-    heads = Counter()
-    split = []
-    for item, suite, text in rows:
-        m = first.match(text or "")
-        head = " ".join(words_of(m[1])) if m else ""
-        heads[suite, head] += 1
-        split.append((item, suite, text or "", m, head))
-    out = []
-    for item, suite, text, m, head in split:
-        rest = text[m.end() :] if m and heads[suite, head] >= shared else text
-        out.append((item, words_of(rest)))
-    return out
+_FIRST = re.compile(r"^\s*(.*?[.?!:])(?=\s|$)", re.S)
+
+
+def passages(items: DataFrame, shared: int = 5) -> DataFrame:
+    """item_id and words of the passage: a first sentence that at least ``shared`` items of the suite begin with is its
+    standing instruction and is left out. Items without words don't come out."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads, whole, rest = [], [], []
+            for text in batch.column("text").to_pylist():
+                m = _FIRST.match(text or "")
+                heads.append(" ".join(words_of(m[1])) if m else "")
+                whole.append(words_of(text))
+                rest.append(words_of(text[m.end() :]) if m else whole[-1])
+            lists = [pa.array(x, pa.list_(pa.string())) for x in (whole, rest)]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("suite"), pa.array(heads, pa.string()), *lists], ["item_id", "suite", "head", "whole", "rest"])
+
+    kinds = dict(items.dtypes)
+    schema = f"item_id {kinds['item_id']}, suite string, head string, whole array<string>, rest array<string>"
+    rows = items.select("item_id", F.coalesce(F.col("suite").cast("string"), F.lit("")).alias("suite"), "text").mapInArrow(split, schema)
+    standing = rows.groupBy("suite", "head").count().where(F.col("count") >= shared).select("suite", "head", F.lit(True).alias("standing"))
+    words = F.when(F.col("standing"), F.col("rest")).otherwise(F.col("whole"))
+    out = rows.join(small(standing, SMALL), ["suite", "head"], "left").select("item_id", words.alias("words"))
+    return out.where(F.size("words") > 0).distinct()
+
+
+def item_keys(known: DataFrame) -> DataFrame:
+    """key, item_id, piece: the band keys of all pieces of passages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, piece, keys = [], [], []
+            for i, words in enumerate(batch.column("words").to_pylist()):
+                _, own = piece_keys(numbered(words))
+                keys.append(own.ravel())
+                at.append(np.full(own.size, i))
+                piece.append(np.repeat(np.arange(len(own)), own.shape[1]))
+            none = [np.zeros(0, np.int64)]
+            at, piece = np.concatenate(at or none), np.concatenate(piece or none)
+            key = np.concatenate(keys or [np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key), batch.column("item_id").take(pa.array(at, pa.int64())), pa.array(piece, pa.int32())], ["key", "item_id", "piece"]
+            )
+
+    return known.select("item_id", "words").mapInArrow(run, f"key long, item_id {dict(known.dtypes)['item_id']}, piece int")
+
+
+def filter_bits(keys: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit for each key, in an array of at most 2 ** ``MOST_BITS`` bits, and the number of a bit's binary digits. It is
+    summed in tasks; what comes to the driver are its words that aren't empty."""
+    digits = min(max(16, int(keys.count() * BITS_PER_KEY).bit_length()), MOST_BITS)
+    mask = (1 << digits) - 1
+    words = keys.selectExpr(f"shiftright(key & {mask}, 5) AS w", "shiftleft(1L, int(key & 31)) AS b")
+    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(1 << (digits - 5), np.uint32)
+    out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).astype(np.uint32)
+    return out, digits
+
+
+def document_keys(documents: DataFrame, keys: DataFrame) -> DataFrame:
+    """doc_id, level, block, key for the blocks that meet enough of the items' keys."""
+    shared = documents.sparkSession.sparkContext.broadcast(filter_bits(keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, digits = shared.value
+        mask = np.uint64((1 << digits) - 1)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
+                arrays = [numbered(words_of(t)) for t in batch.column("text").to_pylist()]
+                here = [i for i, a in enumerate(arrays) if len(a) >= RUN]
+                if not here:
+                    continue
+                for level, owner, own in block_keys([_spans(arrays[i], SHINGLE) for i in here]):
+                    bit = own & mask
+                    met = bits[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32) & np.uint32(1)
+                    block, band = np.nonzero(met * (met.sum(1) >= collisions_of(level))[:, None])
+                    if len(block):
+                        doc = np.array(here)[owner[block]]
+                        columns = [batch.column("doc_id").take(pa.array(doc)), pa.array(np.full(len(block), level), pa.int32()), pa.array(block, pa.int32()), pa.array(own[block, band].view(np.int64))]
+                        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "level", "block", "key"])
+
+    kind = dict(documents.dtypes)["doc_id"]
+    return documents.where("trim(text) <> ''").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, level int, block int, key long")
+
+
+def candidates(documents: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, item_id that collide often enough in some block and piece."""
+    keys = pinned(item_keys(known), "item-keys")
+    met = document_keys(documents, keys).join(small(keys, SMALL), "key")
+    enough = F.lit(collisions_of(0))
+    for level in range(1, len(RUNS)):
+        enough = F.when(F.col("level") == level, F.lit(collisions_of(level))).otherwise(enough)
+    # blocks are numbered within a batch of documents, and a document is in one batch
+    often = met.groupBy("doc_id", "level", "block", "item_id", "piece").count().where(F.col("count") >= enough)
+    return often.select("doc_id", "item_id").distinct()
 
 
 def found_in(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) for documents (doc_id, text) and items (item_id, suite, text)."""
-    spark = documents.sparkSession
-    kinds = dict(documents.dtypes)["doc_id"], dict(items.dtypes)["item_id"]
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}"
-    item_type = pa.int64() if kinds[1] in ("bigint", "int") else pa.string()
-    per_block = ITEMS // 16
-    count = items.count()
-    blocks = max(1, -(-count // per_block))
-    # a suite stays together, so that its instruction is known
-    spread = items.withColumn("block", F.pmod(F.xxhash64("suite"), F.lit(blocks)))
-    out = None
-    for block in range(blocks):
-        rows = spread.where(F.col("block") == block).select("item_id", "suite", "text").orderBy("item_id").collect()
-        known = [(i, p) for i, p in passages([tuple(r) for r in rows]) if p]
-        shared = spark.sparkContext.broadcast(([i for i, _ in known], [p for _, p in known]))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, texts = shared.value
-            pieces = Pieces(ids, [numbered(p) for p in texts])
-            for whole in batches:
-                for at in range(0, whole.num_rows, 200):
-                    batch = whole.slice(at, 200)
-                    doc, item = _searched(pieces, batch.column("text").to_pylist())
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(doc, pa.int64())), pa.array([ids[i] for i in item], item_type)],
-                        ["doc_id", "item_id"],
-                    )
-
-        part = documents.where("trim(text) <> ''").select("doc_id", "text").mapInArrow(search, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _searched(pieces: Pieces, texts: list[str]) -> tuple[list[int], list[int]]:
-    arrays = [numbered(words_of(t)) for t in texts]
-    long_enough = [i for i, a in enumerate(arrays) if len(a) >= RUN]
-    if not long_enough or not len(pieces.owner):
-        return [], []
-    hashes, starts, sizes, owner, last = [], [], [], [], []
-    at = 0
-    for i in long_enough:
-        s = _spans(arrays[i], SHINGLE)
-        own = np.arange(0, len(s), HALF_BLOCK)
-        hashes.append(s)
-        starts.append(own + at)
-        sizes.append(np.minimum(HALF_BLOCK, len(s) - own))
-        owner.append(np.full(len(own), i))
-        last.append(np.append(np.zeros(len(own) - 1, bool), True))
-        at += len(s)
-    half = minima(np.concatenate(hashes), np.concatenate(starts))
-    size, doc, end = np.concatenate(sizes), np.concatenate(owner), np.concatenate(last)
-    # a block is two halves; the last half of a document is a block of its own
-    block = half.copy()
-    block[:-1] = np.where(end[:-1, None], half[:-1], np.minimum(half[:-1], half[1:]))
-    size = size + np.where(end, 0, np.append(size[1:], 0))
-    found: set[tuple[int, int]] = set()
-    low = 0
-    for high in SIZES:
-        here = np.flatnonzero((size > low) & (size <= high))
-        low = high
-        if len(here):
-            b, item = pieces.candidates(block[here], band_width(high))
-            found.update(zip(doc[here[b]].tolist(), item.tolist(), strict=True))
-    pairs: dict[int, dict[int, list[int]]] = {}
-    kept = []
-    for d, i in sorted(found):
-        if d not in pairs:
-            pairs[d] = pair_places(arrays[d])
-        if pieces.leaked(i, pairs[d]):
-            kept.append((d, i))
-    return [d for d, _ in kept], [i for _, i in kept]
+    known = pinned(passages(items), "passages")
+    pairs = pinned(candidates(documents, known), "leak-candidates")
+    texts = documents.select("doc_id", "text").join(small(pairs, SMALL), "doc_id").join(small(known, SMALL), "item_id")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, places = None, {}
+        for batch in batches:
+            ok = []
+            for text, words in zip(batch.column("text").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                if text != last:
+                    last, places = text, pair_places(numbered(words_of(text)))
+                ok.append(leaked(numbered(words), places))
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["doc_id", "item_id"])
+
+    schema = f"doc_id {dict(documents.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}"
+    return texts.select("doc_id", "item_id", "text", "words").mapInArrow(verify, schema).distinct()

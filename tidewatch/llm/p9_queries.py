@@ -11,7 +11,7 @@ from tidewatch.storage import table
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "eval_items").select("item_id", "suite", "text")
-    return found_in(table(spark, folder, "documents"), items).distinct()
+    return found_in(table(spark, folder, "documents"), items)
 
 
 def p9_items(spark: SparkSession, folder: str) -> DataFrame:
