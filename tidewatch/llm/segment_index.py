@@ -255,24 +255,27 @@ class SegmentIndex:
     def candidates(self, signed: DataFrame) -> DataFrame:
         """Pairs (a, b) with the segments they share: class of the batch and earlier indexed class that may be near, before
         texts are compared. A batch of few keys is sent to the index, which is then read once and not moved."""
-        a, b = small(self.keyed(signed, "probes", False), PROBES).alias("a"), self.part("segments").alias("b")
+        keys = self.keyed(signed, "probes", False)
+        few = (signed.agg(F.sum(F.size("probes"))).first()[0] or 0) <= PROBES
+        a, b = (F.broadcast(keys) if few else keys).alias("a"), self.part("segments").alias("b")
         met = b.join(a, (F.col("a.key") == F.col("b.key")) & (F.col("b.ord") < F.col("a.ord")) & (F.col("a.cid") != F.col("b.cid")) & may_be_same())
         return met.groupBy(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
 
-    def _texts(self, cids: DataFrame) -> DataFrame:
+    def texts_of(self, cids: DataFrame) -> DataFrame:
         """Texts of some classes, one row each."""
-        return self.part("texts").join(small(cids, 1_000_000), "cid", "left_semi").dropDuplicates(["cid"]).select("cid", "text")
+        found = self.part("texts").join(small(cids, 1_000_000), "cid", "left_semi")
+        return found.groupBy("cid").agg(F.min("text").alias("text"))
 
-    def near(self, signed: DataFrame) -> DataFrame:
-        """Classes (a) of a batch that an earlier class is the same post as. One is enough, so the class with most common
-        segments is compared first, and all others only where that one fails."""
+    def near(self, signed: DataFrame, own: DataFrame) -> DataFrame:
+        """Classes (a) of a batch that an earlier class is the same post as; ``own``: cid, text of the batch. One earlier
+        class is enough, so the one with most common segments is compared first, and the others only where that fails."""
         pairs = pinned(self.candidates(signed), "segment-pairs")
-        best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-        own = self._texts(signed.select("cid"))
-        first = pinned(verified(best, own, self._texts(best.select(F.col("b").alias("cid")).distinct())), "near-first").select("a")
-        rest = pairs.join(best, ["a", "b"], "left_anti").join(small(first.distinct(), 1_000_000), "a", "left_anti").select("a", "b")
-        later = verified(rest, own, self._texts(rest.select(F.col("b").alias("cid")).distinct())).select("a")
-        return first.unionByName(later).distinct()
+        best = pinned(pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")), "best-pairs")
+        first = pinned(verified(best, own, self.texts_of(best.select(F.col("b").alias("cid")).distinct())).select("a"), "near-first")
+        rest = pairs.join(small(first, 1_000_000), "a", "left_anti").join(small(best, 1_000_000), ["a", "b"], "left_anti")
+        rest = pinned(rest.select("a", "b"), "other-pairs")
+        later = verified(rest, own, self.texts_of(rest.select(F.col("b").alias("cid")).distinct())).select("a")
+        return first.unionByName(later.distinct())
 
 
 KEYED = "key long, cid long, ord long, n int, b0 long, b1 long, b2 long, b3 long"
@@ -284,8 +287,9 @@ def small(df: DataFrame, bound: int) -> DataFrame:
 
 
 def posts_of(posts: DataFrame) -> DataFrame:
-    """mention_id, content_hash (computed where it is missing), text, cid, and what else ``posts`` has of arrival_id and ord."""
-    kept = [c for c in ("arrival_id", "ord") if c in posts.columns]
+    """mention_id, content_hash (computed where it is missing), text, cid, and what else ``posts`` has of arrival_id, batch_no
+    and ord."""
+    kept = [c for c in ("arrival_id", "batch_no", "ord") if c in posts.columns]
     rows = posts.select(*kept, "mention_id", "title_clean", F.col("text_clean").alias("text"), "content_hash", F.xxhash64("text_clean").alias("cid"))
     blank = F.trim(F.coalesce("content_hash", F.lit(""))) == ""
     missing = rows.where(blank).withColumn("content_hash", content_hash(F.col("title_clean"), F.col("text")))
@@ -373,48 +377,57 @@ def usable_id(c: Column) -> Column:
     return c.isNotNull() & (F.trim(c) != "") & (F.lower(F.trim(c)) != "nan")
 
 
-def batches_of(arrivals: DataFrame, batch: str) -> list[tuple[str, Column]]:
-    """Name and condition of each batch in order of arrival; batches whose arrival_ids overlap are taken as one."""
-    spans = arrivals.groupBy(batch).agg(F.min("arrival_id").alias("low"), F.max("arrival_id").alias("high")).orderBy("low").collect()
+def batches_of(rows: DataFrame) -> list[tuple[str, Column]]:
+    """Name and condition on ``ord`` of each batch in order of arrival; batches whose arrival_ids overlap are taken as one."""
+    spans = rows.groupBy("batch_no").agg(F.min("arrival_id").alias("low"), F.max("arrival_id").alias("high")).orderBy("low").collect()
     merged: list[list[int]] = []
     for r in spans:
         if merged and r["low"] <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], r["high"])
         else:
             merged.append([r["low"], r["high"]])
-    return [(f"batch{low}", F.col("arrival_id").between(low, high)) for low, high in merged]
+    return [(f"batch{low}", F.col("ord").between(low, high)) for low, high in merged]
 
 
-def rejected(history: DataFrame, arrivals: DataFrame, batch: str = "batch_no") -> DataFrame:
+def rejected(history: DataFrame, arrivals: DataFrame) -> DataFrame:
     """arrival_id and reason (``id``, ``hash`` or ``text``) of the arrivals that repeat the history or a smaller arrival. The
-    history is indexed once; each batch is added to the index and looked up in it."""
+    history is indexed once and each batch is added to the index in order. As an entry of the index counts for later
+    arrivals only, batches that are all there already are looked up together, which gives what one after the other would."""
     index = SegmentIndex.create(history.sparkSession, history)
-    out = None
-    for name, condition in batches_of(arrivals, batch):
-        found = admitted(index, name, arrivals.where(condition))
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return arrivals.select("arrival_id", F.lit("").alias("reason")).limit(0)
-    return out
+    rows, signed = prepared(arrivals)
+    for name, condition in batches_of(rows):
+        index.append(name, rows.where(condition), signed.where(condition))
+    return looked_up(index, rows, signed)
 
 
 def admitted(index: SegmentIndex, name: str, arrivals: DataFrame) -> DataFrame:
     """Adds a batch to the index and gives the arrivals of it to reject, with the reason."""
-    rows = pinned(posts_of(arrivals.withColumn("ord", F.col("arrival_id"))), "arrivals")
-    signed = pinned(signatures(distinct_texts(rows), True), "batch-signatures")
+    rows, signed = prepared(arrivals)
     index.append(name, rows, signed)
+    return looked_up(index, rows, signed)
+
+
+def prepared(arrivals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``posts_of`` with ``ord``, and signatures of their distinct texts with probes."""
+    rows = pinned(posts_of(arrivals.withColumn("ord", F.col("arrival_id"))), "arrivals")
+    return rows, pinned(signatures(distinct_texts(rows), True), "batch-signatures")
+
+
+def looked_up(index: SegmentIndex, rows: DataFrame, signed: DataFrame) -> DataFrame:
+    """The arrivals to reject, of rows that were added to the index."""
 
     def known(column: str, part: str, key: str) -> DataFrame:
         """Arrivals whose value an earlier row of the index has."""
-        ours = small(rows.select(F.col(column).alias(key), "arrival_id").where(f"{key} is not null"), 1_000_000)
-        return index.part(part).join(ours, key).where("ord < arrival_id").select("arrival_id").distinct()
+        ours = rows.select(F.col(column).alias(key), "arrival_id").where(f"{key} is not null")
+        first = index.part(part).join(small(ours.select(key).distinct(), 1_000_000), key, "left_semi").groupBy(key).agg(F.min("ord").alias("first"))
+        return ours.join(first, key).where("first < arrival_id").select("arrival_id")
 
     by_id = known("mention_id", "ids", "v").withColumn("reason", F.lit("id"))
     by_hash = known("content_hash", "hashes", "v").withColumn("reason", F.lit("hash"))
     by_text = known("cid", "texts", "cid").withColumn("reason", F.lit("text"))
     plainly = pinned(by_id.unionByName(by_hash).unionByName(by_text).groupBy("arrival_id").agg(F.min("reason").alias("reason")), "known")
     # what is left has one arrival for each text, the one that ``ord`` names
-    left = signed.join(plainly.select(F.col("arrival_id").alias("ord")), "ord", "left_anti")
-    near = index.near(pinned(left, "unknown"))
-    later = rows.join(near.withColumnRenamed("a", "cid"), "cid").join(plainly, "arrival_id", "left_anti")
+    left = pinned(signed.join(small(plainly.select(F.col("arrival_id").alias("ord")), 1_000_000), "ord", "left_anti"), "unknown")
+    near = index.near(left, distinct_texts(rows).select("cid", "text"))
+    later = rows.select("cid", "arrival_id").join(near.withColumnRenamed("a", "cid"), "cid").join(small(plainly.select("arrival_id"), 1_000_000), "arrival_id", "left_anti")
     return pinned(plainly.unionByName(later.select("arrival_id", F.lit("text").alias("reason"))), "rejected")
