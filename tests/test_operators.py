@@ -230,7 +230,7 @@ def test_readers_and_writers(spark, tmp_path):
     order = tables.communities(spark, str(tmp_path / "c.json"), ("first",)).orderBy("place").collect()
     assert [(r["category"], r["community"]) for r in order] == [("first", "c"), ("first", "a"), ("late", "b")]
     assert tables.source_names("arctic, rss,hn,rss") == ["arctic_shift_reddit", "reddit_rss"]
-    assert tables.json_state(str(tmp_path / "none.json")) == {} and tables.retry_delays(404) is None and tables.retry_delays(429)[1] == (10, 13)
+    assert tables.json_state(spark, str(tmp_path / "none.json")) == {} and tables.retry_delays(404) is None and tables.retry_delays(429)[1] == (10, 13)
     from pyspark.sql import types as T
 
     contract = T.StructType().add("mention_id", "string").add("t", "string").add("logo", "string")

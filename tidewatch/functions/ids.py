@@ -64,6 +64,14 @@ def search_url(display: Column) -> Column:
     return F.concat(F.lit("https://www.google.com/search?q="), F.url_encode(F.concat(display, F.lit(" brand"))))
 
 
+# Brands whose site isn't their name.
+SITES = {"saint laurent": "ysl.com"}
+
+
 def site_guess(display: Column) -> Column:
-    bare = F.regexp_replace(F.lower(display), "[^a-z0-9]", "")
-    return F.when(bare != "", F.concat(bare, F.lit(".com"))).otherwise(F.lit(""))
+    """The site a brand most likely has; empty where the name has no letter or digit."""
+    name = F.lower(F.trim(display))
+    bare = F.regexp_replace(name, "[^a-z0-9]", "")
+    guess = F.when(bare != "", F.concat(bare, F.lit(".com"))).otherwise(F.lit(""))
+    known = F.create_map(*[F.lit(x) for pair in SITES.items() for x in pair])
+    return F.coalesce(F.element_at(known, name), guess)

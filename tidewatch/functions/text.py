@@ -152,6 +152,18 @@ def split_aliases(c: Column) -> Column:
     return F.filter(parts, lambda p: p != "")
 
 
+# Phrases of product titles that advertise.
+ADVERTS = ["2026 new", "hot sale", "best seller", "free shipping", "limited time", "high quality", "wholesale", "dropshipping"]
+
+
+def product_name(c: Column) -> Column:
+    """A product title as readable text without advertising phrases."""
+    out = readable(c)
+    for phrase in ADVERTS:
+        out = F.regexp_replace(out, f"(?i){phrase}", " ")
+    return squeezed(out)
+
+
 def context(c: Column, start: Column, end: Column, width: int = 80) -> Column:
     """The text around the half-open span [start, end)."""
     first = F.greatest(start - width, F.lit(0))

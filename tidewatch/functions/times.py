@@ -37,3 +37,26 @@ def iso_week_label(moment: Column) -> Column:
 
 def iso_date_text(text: Column) -> Column:
     return F.coalesce(F.date_format(instant(text), "yyyy-MM-dd"), F.lit(""))
+
+
+def utc_text(moment: Column) -> Column:
+    """ISO text of an instant in UTC, to the second, with Z."""
+    return F.date_format(F.to_utc_timestamp(moment, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def live_window(as_of: Column, days_back: int) -> tuple[Column, Column]:
+    """First and last day of a live run, both included."""
+    return F.date_sub(as_of, days_back), F.to_date(as_of)
+
+
+def previous_week(as_of: Column) -> tuple[Column, Column, Column]:
+    """Monday, Sunday and ISO label of the last whole ISO week before a day."""
+    monday = F.date_sub(F.trunc(as_of, "week"), 7)
+    return monday, F.date_add(monday, 6), iso_week_label(monday)
+
+
+def iso_week(label: Column) -> tuple[Column, Column]:
+    """Monday and Sunday of an ISO week such as ``2026-W14``. January 4th is always in the first week."""
+    first = F.trunc(F.make_date(F.left(label, F.lit(4)).cast("int"), F.lit(1), F.lit(4)), "week")
+    monday = F.date_add(first, 7 * (F.right(label, F.lit(2)).cast("int") - 1))
+    return monday, F.date_add(monday, 6)

@@ -57,20 +57,34 @@ def signals(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def full_weeks(rows: DataFrame, least: int = 20) -> DataFrame:
-    """Weeks with at least ``least`` clusters, latest first."""
+    """Weeks with at least ``least`` clusters, and how many."""
     weeks = rows.groupBy("week_start").agg(F.countDistinct("cluster_id").alias("clusters"))
     return weeks.where(F.col("clusters") >= least)
 
 
+def in_full_weeks(rows: DataFrame, least: int = 20) -> DataFrame:
+    """The rows of full weeks; weeks are few, so they are broadcast."""
+    return rows.join(F.broadcast(full_weeks(rows, least).select("week_start")), "week_start", "left_semi")
+
+
 def histogram(scores: DataFrame, value: str) -> DataFrame:
     return bands(scores, value, EDGES, LABELS)
 
 
-def documents(weeks: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
-    """One JSON document per week: each part's rows of the week as an array of objects in the parts' order column."""
-    out = weeks
+def listed(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Per key the other columns of its rows as an array of structs in order of ``position``."""
+    fields = [c for c in rows.columns if c not in (*keys, "position")]
+    out = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", F.struct(*fields).alias("v")))).alias(name))
+    return out.withColumn(name, F.transform(name, lambda x: x["v"]))
+
+
+def documents(weeks: DataFrame, parts: dict[str, DataFrame], meta: DataFrame) -> DataFrame:
+    """One JSON document per week: ``meta`` as an object, each part's rows of the week as a list of objects in order of
+    their position (empty where there are none), and what else ``weeks`` has. A part has a bounded number of rows a week."""
+    facts = meta.select("week_start", F.struct(F.col("week_start").alias("latest_week"), *[c for c in meta.columns if c != "week_start"]).alias("meta"))
+    out = weeks.join(facts, "week_start", "left")
     for name, df in parts.items():
-        fields = [c for c in df.columns if c not in ("week_start", "position")]
-        listed = df.groupBy("week_start").agg(F.array_sort(F.collect_list(F.struct("position", F.struct(*fields).alias("v")))).alias(name))
-        out = out.join(listed.withColumn(name, F.transform(name, lambda x: x["v"])), "week_start", "left")
-    return out.select("week_start", F.to_json(F.struct(*[c for c in out.columns])).alias("document"))
+        made = listed(df, ["week_start"], name)
+        out = out.join(made, "week_start", "left").withColumn(name, F.coalesce(name, F.array().cast(made.schema[name].dataType)))
+    rest = [c for c in weeks.columns if c != "week_start"]
+    return out.select("week_start", F.to_json(F.struct("meta", *parts, *rest)).alias("document"))

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tidewatch.functions import text
 from tidewatch.operators.rows import keep_one, missing
 
-# Phrases of product titles that say nothing, words and phrases no profile lists.
+# Words and phrases no profile lists.
 PROFILE_STOP = ["the", "and", "for", "with", "from", "that", "this", "your", "you", "are", "product"]
 PHRASE_STOP = [*PROFILE_STOP, "item", "new", "hot", "best", "sale", "free", "shipping"]
 PHRASE_NOISE = ["high quality", "best seller", "free shipping", "hot sale"]

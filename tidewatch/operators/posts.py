@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import ids, text
-from tidewatch.functions.times import instant
+from tidewatch.functions.times import instant, iso_date_text
 from tidewatch.operators.rows import keep_first_by_either, keep_one, resolve
 
 # What marks bots, templates and megathreads.
@@ -58,6 +58,43 @@ def merge_report(raw: DataFrame, as_of: Column, weeks: int = 6) -> DataFrame:
     )
 
 
+def record(source: str, platform: str, run: str, raw: DataFrame) -> DataFrame:
+    """The raw contract's record of every answer of a source (reddit_id, title, text, author, community, published_at, url,
+    engagement, collected_at, metrics as a struct): deleted texts blank, one address, id, days and full text."""
+    c = F.col
+    body = F.when(c("text").isin("[deleted]", "[removed]"), "").otherwise(F.coalesce("text", F.lit("")))
+    title = F.coalesce("title", F.lit(""))
+    post = ids.post_id(c("url"), c("reddit_id"))
+    address = ids.canonical_url(c("url"), c("community"), post)
+    scores = {n: F.lit(0.0) for n in ("semantic_relevance_score", "tiktok_relevance_score", "collector_priority_score")}
+    return raw.select(
+        F.lit(run).alias("ingestion_run_id"), F.lit(source).alias("source"), F.lit(platform).alias("platform"), F.concat(F.lit("r/"), c("community")).alias("sub_source"),
+        post.alias("reddit_id"), F.when(post != "", post).otherwise(address).alias("source_record_id"),
+        ids.mention_id(F.lit(source), post, address, title, body).alias("mention_id"), address.alias("canonical_url"), "url", title.alias("title"), body.alias("text"),
+        F.trim(F.concat(title, F.lit(" "), body)).alias("full_text"), "author", "community", "published_at", "collected_at",
+        iso_date_text(c("published_at")).alias("event_date"), iso_date_text(c("collected_at")).alias("ingestion_date"), number(c("engagement").cast("string")).alias("engagement_score"),
+        *[v.alias(n) for n, v in scores.items()], F.lit("").alias("business_context_label"), F.coalesce(F.to_json("metrics"), F.lit("{}")).alias("metrics_json"),
+    )
+
+
+def new_records(batch: DataFrame, known: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows of a batch whose id isn't known yet, the first of each id by ``order``. Null ids are never known."""
+    fresh = batch.join(known.select("mention_id").where("mention_id is not null").distinct(), "mention_id", "left_anti")
+    return keep_one(fresh.where("mention_id is not null"), ["mention_id"], order)
+
+
+def audit(batch: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Counters of a collection per ``keys``: records seen, new (not known, each id once), duplicate, unreadable times."""
+    seen = batch.join(known.select("mention_id", F.lit(True).alias("_known")).where("mention_id is not null").distinct(), "mention_id", "left")
+    fresh = F.when(F.col("_known").isNull(), F.col("mention_id"))
+    out = seen.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("records_seen"), F.countDistinct(fresh).alias("records_new"), F.count_if(instant(F.col("published_at")).isNull()).alias("unreadable"),
+        F.min("collected_at").alias("started_at"), F.max("collected_at").alias("finished_at"),
+    )
+    status = F.when(F.col("unreadable") == 0, "success").otherwise("partial")
+    return out.withColumns({"records_duplicate": F.col("records_seen") - F.col("records_new"), "status": status})
+
+
 def chosen_text(df: DataFrame) -> Column:
     main, other = resolve(df, "text"), resolve(df, "selftext")
     return F.coalesce(F.when(F.trim(main) != "", main), other, F.lit(""))

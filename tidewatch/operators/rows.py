@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewatch.storage import pinned
+
 
 def _blank(c: Column) -> Column:
     return c.isNull() | (F.trim(c.cast("string")) == "")
@@ -31,6 +33,37 @@ def first_filled(*columns: Column) -> Column:
     return F.coalesce(*[F.when(~missing(c), c) for c in columns])
 
 
+def first_filled_value(value: str, ordinal: Column) -> Column:
+    """Aggregate: the first value in order of ``ordinal`` that is neither null nor blank, else empty."""
+    return F.coalesce(F.min_by(F.col(value), F.when(~_blank(F.col(value)), ordinal)), F.lit(""))
+
+
+def numbered(df: DataFrame, order: Sequence[str], out: str = "row_id") -> DataFrame:
+    """Rows numbered 1, 2, ... in a total order, without bringing them into one task: partitions are ranges of the order,
+    and each starts where the ones before it end; one number per partition comes to the driver."""
+    rows = pinned(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(part.alias("p")).count().orderBy("p").collect()
+    before, starts = 0, []
+    for r in sizes:
+        starts.append((r["p"], before))
+        before += r["count"]
+    offsets = df.sparkSession.createDataFrame(starts, "_p long, _start long")
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    numbers = rows.withColumn("_p", part).join(F.broadcast(offsets), "_p")
+    return numbers.withColumn(out, F.col("_start") + inside + 1).drop("_p", "_at", "_start")
+
+
+def head(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first ``n`` rows of a total order: a sample that is the same every time."""
+    return df.orderBy(*order).limit(n)
+
+
+def versioned(df: DataFrame, version: str) -> DataFrame:
+    """Adds the version of a computation and when it ran, the same instant in all rows."""
+    return df.withColumns({"version": F.lit(version), "created_at": F.current_timestamp()})
+
+
 def missing(c: Column) -> Column:
     """Null, blank, or the words nan, none, null."""
     return c.isNull() | F.lower(F.trim(c.cast("string"))).isin("", "nan", "none", "null")

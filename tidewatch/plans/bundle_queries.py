@@ -101,20 +101,11 @@ def brand_search(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where(F.coalesce(hit, F.lit(False))).select("brand_norm", tag.alias("tag"), F.upper(F.substring("brand_norm", 1, 2)).alias("initials"))
 
 
-def dashboard_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """The JSON document of every week."""
-    brands = _brands(spark, folder)
-    order = Window.partitionBy("week_start").orderBy(F.desc("unique_posts"), F.desc("mentions"), "norm")
-    named = B.signals(brands, ["norm"]).join(B.canonical(brands), ["week_start", "norm"]).withColumn("position", F.row_number().over(order))
-    weeks = _terms(spark, folder).select("week_start").distinct()
-    return B.documents(weeks, {"keywords": top_keywords(spark, folder), "brands": named})
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         canonical_brands, brand_signals, cluster_signals, weeks_shown, week_meta, top_keywords, merged_terms, score_histogram, top_clusters, latest_posts,
-        daily_activity, price_bands, brand_search, dashboard_documents,
+        daily_activity, price_bands, brand_search,
     )
 }
 

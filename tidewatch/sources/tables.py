@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.storage import exists, read_text
+
 # Names of sources as they may be given, and those no longer read.
 SOURCE_NAMES = {"json": "reddit_json", "rss": "reddit_rss", "arctic": "arctic_shift_reddit"}
 DROPPED_SOURCES = ("hn", "gnews")
@@ -41,10 +42,9 @@ def any_table(spark: SparkSession, path: str) -> DataFrame:
 
 def known_ids(spark: SparkSession, path: str) -> DataFrame:
     """Ids already collected; only their column is read."""
-    try:
-        return spark.read.parquet(path).select("mention_id").where("mention_id is not null").distinct()
-    except Exception:
+    if not exists(spark, path):
         return spark.createDataFrame([], "mention_id string")
+    return spark.read.parquet(path).select("mention_id").where("mention_id is not null").distinct()
 
 
 def communities(spark: SparkSession, path: str, first: tuple[str, ...] = ()) -> DataFrame:
@@ -66,11 +66,13 @@ def source_names(text: str) -> list[str]:
     return list(dict.fromkeys(SOURCE_NAMES.get(n, n) for n in names if n not in DROPPED_SOURCES))
 
 
-def json_state(path: str) -> dict:
+def json_state(spark: SparkSession, path: str) -> dict:
     """A state document; a missing or broken one is empty."""
+    if not exists(spark, path):
+        return {}
     try:
-        found = json.loads(Path(path).read_text(encoding="utf-8"))
-    except (OSError, ValueError):
+        found = json.loads(read_text(spark, path))
+    except ValueError:
         return {}
     return found if isinstance(found, dict) else {}
 

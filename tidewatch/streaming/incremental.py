@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.storage import delete, scratch
+from tidewatch.storage import delete, exists, scratch
 from tidewatch.streaming.late_events import WEEK, WEEK_OFFSET
 
 
@@ -26,10 +26,33 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     stream.writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
     delete(spark, marks)
     names = stream.columns
-    try:
-        return spark.read.parquet(out).select(*names, "_batch")
-    except Exception:  # an empty input makes no batch
+    if not exists(spark, out):  # an empty input makes no batch
         return spark.createDataFrame([], stream.schema).withColumn("_batch", F.lit(0))
+    return spark.read.parquet(out).select(*names, "_batch")
+
+
+def batch_counters(stream: DataFrame, id_column: str, time: str) -> DataFrame:
+    """Audit of a stream to its end: per micro-batch records seen, distinct ids, rows without id, unreadable times."""
+    spark = stream.sparkSession
+    out, marks = scratch(spark, "stream-audit"), scratch(spark, "stream-marks")
+
+    def sink(rows: DataFrame, batch: int) -> None:
+        counted = rows.agg(
+            F.count(F.lit(1)).alias("records_seen"), F.countDistinct(id_column).alias("ids"), F.count_if(F.col(id_column).isNull()).alias("without_id"),
+            F.count_if(F.col(time).isNull()).alias("unreadable"),
+        )
+        counted.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/part={batch}")
+
+    stream.writeStream.option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+    delete(spark, marks)
+    schema = "records_seen bigint, ids bigint, without_id bigint, unreadable bigint, batch int"
+    return spark.read.schema(schema).parquet(out) if exists(spark, out) else spark.createDataFrame([], schema)
+
+
+def rescanned(stream: DataFrame, key: str, time: str, as_of: Column, days: int) -> DataFrame:
+    """A run over the last ``days`` days: rows of the window, each id once within it. ``time`` is an instant."""
+    start = as_of - F.expr(f"INTERVAL {days} DAYS")
+    return stream.where((F.col(time) >= start) & (F.col(time) <= as_of)).withWatermark(time, f"{days} days").dropDuplicatesWithinWatermark([key])
 
 
 def first_by_id(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
