@@ -366,7 +366,9 @@ def _run_share(passage, document, gap=2):
     return max(one, two) / n
 
 
-def test_found_in_like_the_rule(spark):
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_found_in_like_the_rule(spark, monkeypatch, few):
+    monkeypatch.setattr(leaks, "SMALL", few)  # beyond it keys and documents meet as tables
     rng = random.Random(9)
     word = lambda k: f"{rng.choice('bdfgk')}{rng.choice('aeiou')}{rng.randrange(k)}"
     items = [(i, "s", "Read this. " + " ".join(word(200) for _ in range(rng.choice([36, 40, 60])))) for i in range(8)]
@@ -403,6 +405,21 @@ def test_a_stretch_repeated_many_times_hides_no_other():
     assert not leaks.half_in_runs([*often, (40, 53, 7)], 68)
 
 
+def test_longer_passages_are_sought_in_larger_blocks():
+    rng = random.Random(4)
+    for n, level in ((36, 0), (95, 0), (96, 1), (191, 1), (192, 2), (900, 2)):
+        assert leaks.level_of(n) == level
+        words = [f"w{rng.randrange(9000)}" for _ in range(n)]
+        suite = leaks.Suite(["i"], [leaks.numbered(words)])
+        around = [f"d{rng.randrange(9000)}" for _ in range(3000)]
+        for at in (0, 7, 1500):
+            half = words[: n // 2 + 1]
+            text = " ".join([*around[:at], *("x" if k % 10 == 9 else w for k, w in enumerate(half)), *around[at:]])
+            assert suite.candidates([leaks.numbered(leaks.words_of(text))])[0].tolist() == [0]
+            assert suite.found([" ".join([*around[:at], *half, *around[at:]])]) == ([0], [0])
+        assert suite.found([" ".join(around)]) == ([], [])
+
+
 # --- subjects --------------------------------------------------------------------------------------------------------
 def test_subjects_of_held_out_documents(spark):
     rng = random.Random(10)

@@ -8,7 +8,7 @@ has bands as wide as the containment threshold allows for its sizes.
 
 Band keys of items are a table. A filter of their bits, of bounded size whatever the number of items, goes to the
 documents: a block that meets too few keys is dropped where it is made, the keys of the others meet the table in an
-equi-join. What collides in enough places is verified exactly: the word pairs that item and document share are joined
+equi-join; a suite of few keys is sent along with the filter. What collides in enough places is verified exactly: the word pairs that item and document share are joined
 into runs, and an item counts as leaked if one or two runs hold half of its words.
 
 Shingles have three words, not five: a run of twelve words with one word replaced keeps at most three of its eight
@@ -22,8 +22,8 @@ without words leak nowhere; repeated documents each have their rows; an empty ta
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,10 @@ RUN, PART, INTACT, GAP = 12, 0.5, 0.85, 2
 RUNS = (RUN, 2 * RUN, 4 * RUN)
 #: Bits of the filter for each key of the items, and at most in all (64 MB).
 BITS_PER_KEY, MOST_BITS = 16, 29
-#: Rows of items' keys, of candidates and of passages that may be broadcast.
+#: Collisions that all pieces of a passage must have together, for each of its words. Half a passage in runs, with one word
+#: in ten replaced, has about 0.6 at least.
+LEAST = 0.25
+#: Rows of items' keys, and of candidates, that may be broadcast.
 SMALL = 500_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -135,35 +138,36 @@ def block_keys(hashes: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.n
         yield level, owner, keys_of(block, level)
 
 
-def leaked(passage: np.ndarray, document: dict[int, list[int]]) -> bool:
-    """Exact check of a passage against a document, given as the places of its word pairs."""
+class Places:
+    """Where the word pairs of a document stand."""
+
+    def __init__(self, words: np.ndarray):
+        pairs = _spans(words, 2) if len(words) > 1 else np.zeros(0, np.uint64)
+        self.at = np.argsort(pairs, kind="stable")
+        self.pairs = pairs[self.at]
+
+    def of(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.searchsorted(self.pairs, pairs, "left"), np.searchsorted(self.pairs, pairs, "right")
+
+
+def leaked(passage: np.ndarray, document: Places) -> bool:
+    """Exact check of a passage against a document."""
     n = len(passage)
-    pairs = _spans(passage, 2).tolist() if n > 1 else []
-    shared = [(a, document[h]) for a, h in enumerate(pairs) if h in document]
+    first, last = document.of(_spans(passage, 2) if n > 1 else np.zeros(0, np.uint64))
+    shared = np.flatnonzero(last > first)
     # a replaced word takes two pairs, and at most one word in ten of half the passage is replaced
     if len(shared) < PART * n * (1 - 2 * (1 - INTACT)) - 2:
         return False
-    by_offset: dict[int, list[int]] = defaultdict(list)
-    for a, places in shared:
-        for b in places:
-            by_offset[b - a].append(a)
-    stretches = []
-    for offset, found in by_offset.items():
-        start = last = found[0]
-        for a in found[1:]:
-            if a != last + 1:
-                stretches.append((start, last + 2, offset))
-                start = a
-            last = a
-        stretches.append((start, last + 2, offset))
-    return half_in_runs(stretches, n)
-
-
-def pair_places(words: np.ndarray) -> dict[int, list[int]]:
-    out: dict[int, list[int]] = defaultdict(list)
-    for i, h in enumerate(_spans(words, 2).tolist()):
-        out[h].append(i)
-    return out
+    times = (last - first)[shared]
+    place = np.repeat(shared, times)
+    inside = np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
+    offset = document.at[np.repeat(first[shared], times) + inside] - place
+    order = np.lexsort((place, offset))
+    place, offset = place[order], offset[order]
+    new = np.append(True, (offset[1:] != offset[:-1]) | (place[1:] != place[:-1] + 1)) if len(place) else np.zeros(0, bool)
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], len(place)) - 1
+    return half_in_runs(list(zip(place[start].tolist(), (place[end] + 2).tolist(), offset[start].tolist(), strict=True)), n)
 
 
 def half_in_runs(stretches: list[tuple[int, int, int]], n: int) -> bool:
@@ -259,60 +263,141 @@ def filter_bits(keys: DataFrame) -> tuple[np.ndarray, int]:
     return out, digits
 
 
+def met_blocks(arrays: list[np.ndarray], bits: np.ndarray, digits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of documents as numbered words, for each partition: its number, and for the keys of blocks that meet enough of the
+    items' keys the document, the block and the key."""
+    here = [i for i, a in enumerate(arrays) if len(a) >= RUN]
+    if not here:
+        return
+    mask = np.uint64((1 << digits) - 1)
+    for level, owner, own in block_keys([_spans(arrays[i], SHINGLE) for i in here]):
+        bit = own & mask
+        met = bits[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32) & np.uint32(1)
+        block, band = np.nonzero(met * (met.sum(1) >= collisions_of(level))[:, None])
+        yield level, np.array(here)[owner[block]], block, own[block, band]
+
+
 def document_keys(documents: DataFrame, keys: DataFrame) -> DataFrame:
     """doc_id, level, block, key for the blocks that meet enough of the items' keys."""
     shared = documents.sparkSession.sparkContext.broadcast(filter_bits(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, digits = shared.value
-        mask = np.uint64((1 << digits) - 1)
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
                 arrays = [numbered(words_of(t)) for t in batch.column("text").to_pylist()]
-                here = [i for i, a in enumerate(arrays) if len(a) >= RUN]
-                if not here:
-                    continue
-                for level, owner, own in block_keys([_spans(arrays[i], SHINGLE) for i in here]):
-                    bit = own & mask
-                    met = bits[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32) & np.uint32(1)
-                    block, band = np.nonzero(met * (met.sum(1) >= collisions_of(level))[:, None])
-                    if len(block):
-                        doc = np.array(here)[owner[block]]
-                        columns = [batch.column("doc_id").take(pa.array(doc)), pa.array(np.full(len(block), level), pa.int32()), pa.array(block, pa.int32()), pa.array(own[block, band].view(np.int64))]
-                        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "level", "block", "key"])
+                for level, doc, block, key in met_blocks(arrays, *shared.value):
+                    columns = [batch.column("doc_id").take(pa.array(doc)), pa.array(np.full(len(doc), level), pa.int32()), pa.array(block, pa.int32()), pa.array(key.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "level", "block", "key"])
 
     kind = dict(documents.dtypes)["doc_id"]
     return documents.where("trim(text) <> ''").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, level int, block int, key long")
 
 
-def candidates(documents: DataFrame, known: DataFrame) -> DataFrame:
-    """doc_id, item_id that collide often enough in some block and piece."""
-    keys = pinned(item_keys(known), "item-keys")
-    met = document_keys(documents, keys).join(small(keys, SMALL), "key")
+def candidates(documents: DataFrame, known: DataFrame, keys: DataFrame) -> DataFrame:
+    """doc_id, item_id that collide often enough, by a join of the documents' keys with the table of the items' keys."""
+    met = document_keys(documents, keys).join(keys, "key")
     enough = F.lit(collisions_of(0))
     for level in range(1, len(RUNS)):
         enough = F.when(F.col("level") == level, F.lit(collisions_of(level))).otherwise(enough)
     # blocks are numbered within a batch of documents, and a document is in one batch
     often = met.groupBy("doc_id", "level", "block", "item_id", "piece").count().where(F.col("count") >= enough)
-    return often.select("doc_id", "item_id").distinct()
+    summed = often.groupBy("doc_id", "item_id").agg(F.sum("count").alias("met")).join(known.select("item_id", F.size("words").alias("n")), "item_id")
+    return summed.where(F.col("met") >= F.col("n") * LEAST).select("doc_id", "item_id")
+
+
+@dataclass
+class Suite:
+    """Passages few enough to be sent to every task, with their keys."""
+
+    items: list
+    passages: list[np.ndarray]
+
+    def __post_init__(self) -> None:
+        made = [piece_keys(p)[1] for p in self.passages]
+        pieces = [len(k) for k in made]
+        self.sizes = np.array([len(p) for p in self.passages], np.int64)
+        self.owner = np.repeat(np.arange(len(made)), pieces)
+        none = [np.zeros(0, np.uint64)]
+        keys = np.concatenate([k.ravel() for k in made] or none)
+        piece = np.repeat(np.arange(len(self.owner)), np.concatenate([np.full(len(k), k.shape[1]) for k in made] or [np.zeros(0, np.int64)]).astype(np.int64))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.piece = keys[order], piece[order]
+        self.digits = min(max(16, int(len(keys) * BITS_PER_KEY).bit_length()), MOST_BITS)
+        self.bits = np.zeros(1 << (self.digits - 5), np.uint32)
+        bit = keys & np.uint64((1 << self.digits) - 1)
+        np.bitwise_or.at(self.bits, (bit >> np.uint64(5)).astype(np.int64), np.uint32(1) << (bit & np.uint64(31)).astype(np.uint32))
+
+    def candidates(self, arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Which document and which item collide often enough."""
+        pairs, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for level, doc, block, key in met_blocks(arrays, self.bits, self.digits):
+            first, last = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
+            n = last - first
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            piece = self.piece[np.repeat(first, n) + inside]
+            both, count = np.unique(np.repeat(block, n) * len(self.owner) + piece, return_counts=True)
+            often = count >= collisions_of(level)
+            of_block = np.zeros(block.max(initial=0) + 1, np.int64)
+            of_block[block] = doc
+            both = both[often]
+            pairs.append(of_block[both // len(self.owner)] * len(self.items) + self.owner[both % len(self.owner)])
+            times.append(count[often])
+        pair, at = np.unique(np.concatenate(pairs), return_inverse=True)
+        met = np.bincount(at, weights=np.concatenate(times), minlength=len(pair))
+        pair = pair[met >= self.sizes[pair % max(len(self.items), 1)] * LEAST] if len(pair) else pair
+        return pair // max(len(self.items), 1), pair % max(len(self.items), 1)
+
+    def found(self, texts: list[str]) -> tuple[list[int], list[int]]:
+        """Which text holds which item."""
+        arrays = [numbered(words_of(t)) for t in texts]
+        docs, items, last, places = [], [], -1, None
+        for d, i in zip(*(x.tolist() for x in self.candidates(arrays)), strict=True):
+            if d != last:
+                last, places = d, Places(arrays[d])
+            if leaked(self.passages[i], places):
+                docs.append(d)
+                items.append(i)
+        return docs, items
 
 
 def found_in(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id) for documents (doc_id, text) and items (item_id, suite, text)."""
+    """(doc_id, item_id) for documents (doc_id, text) and items (item_id, suite, text). Suites of up to ``SMALL`` keys go to
+    the documents whole; larger ones meet them as tables, with the same result."""
+    kinds = dict(documents.dtypes)["doc_id"], dict(items.dtypes)["item_id"]
+    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}"
     known = pinned(passages(items), "passages")
-    pairs = pinned(candidates(documents, known), "leak-candidates")
-    texts = documents.select("doc_id", "text").join(small(pairs, SMALL), "doc_id").join(small(known, SMALL), "item_id")
+    keys = pinned(item_keys(known), "item-keys")
+    if keys.count() > SMALL:
+        return _found_by_tables(documents, known, keys, schema)
+    rows = known.collect()
+    suite = documents.sparkSession.sparkContext.broadcast(Suite([r["item_id"] for r in rows], [numbered(r["words"]) for r in rows]))
+    item_type = pa.string() if kinds[1] == "string" else pa.int32() if kinds[1] == "int" else pa.int64()
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = suite.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
+                doc, item = own.found(batch.column("text").to_pylist())
+                found = [batch.column("doc_id").take(pa.array(doc, pa.int64())), pa.array([own.items[i] for i in item], item_type)]
+                yield pa.RecordBatch.from_arrays(found, ["doc_id", "item_id"])
+
+    return documents.where("trim(text) <> ''").select("doc_id", "text").mapInArrow(search, schema).distinct()
+
+
+def _found_by_tables(documents: DataFrame, known: DataFrame, keys: DataFrame, schema: str) -> DataFrame:
+    pairs = pinned(candidates(documents, known, keys), "leak-candidates")
+    texts = documents.select("doc_id", "text").join(small(pairs, SMALL), "doc_id").join(small(known, SMALL // 100), "item_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, places = None, {}
+        last, places = None, None
         for batch in batches:
             ok = []
             for text, words in zip(batch.column("text").to_pylist(), batch.column("words").to_pylist(), strict=True):
                 if text != last:
-                    last, places = text, pair_places(numbered(words_of(text)))
+                    last, places = text, Places(numbered(words_of(text)))
                 ok.append(leaked(numbered(words), places))
             yield batch.filter(pa.array(ok, pa.bool_())).select(["doc_id", "item_id"])
 
-    schema = f"doc_id {dict(documents.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}"
     return texts.select("doc_id", "item_id", "text", "words").mapInArrow(verify, schema).distinct()
