@@ -1,6 +1,7 @@
 """One consistent form for text that reads the same but is stored in other characters.
 
-Steps: compatibility normalization (full-width and styled letters, ligatures, separate accents, spaces), deletion of
+Steps: compatibility normalization (full-width, half-width, circled, squared and styled letters, ligatures, Roman numerals,
+separate accents, spaces; not superscripts, fractions and signs, see ``FORMS``), deletion of
 ignorable characters outside emoji, and for every word that mixes alphabets a lattice of look-alike letters, searched
 with Viterbi under character trigram scores that are kept per script: a path stays in one script or pays for each
 switch. The trigram counts are taken from all texts of the input by bincount per split and summed.
@@ -37,6 +38,19 @@ CAPITALS = {
     "В": "B", "Н": "H", "Р": "P", "С": "C", "У": "Y", "І": "Il", "Ӏ": "Il", "Г": "", "П": "", "И": "", "Б": "", "З": "", "Ё": "E",
     "Η": "H", "Ν": "N", "Ρ": "P", "Υ": "Y", "Μ": "M", "Ι": "Il", "Β": "B", "Σ": "", "Ω": "", "Γ": "", "Ά": "A", "Έ": "E", "Ό": "O",
 }
+# Letters of further alphabets that pass for Latin ones (Unicode confusables).
+ARMENIAN = {"օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "Օ": "O", "Ս": "U", "Լ": "L", "Տ": "S"}
+CHEROKEE = {
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S",
+    "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B", "Ꮍ": "Y",
+}
+LISU = {
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L",
+    "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+}
+PHONETIC = {"ɑ": "a", "ɡ": "g", "ɩ": "i", "ʋ": "v"}
+#: These have their own capitals or none, so what they pass for is given as it is.
+EXACT = ARMENIAN | CHEROKEE | LISU | PHONETIC
 LIKE = CYRILLIC | GREEK
 #: Latin small letters and the letters of the other scripts of the same shape.
 BACK = {to: [c for c, r in LIKE.items() if r[0] == to and c in "асеорхуіјѕкмтαορνικ"] for to in "aceopxyijskmtvu"}
@@ -52,13 +66,36 @@ CODE = {c: (s, i + 1) for s, letters in enumerate(SCRIPTS) for i, c in enumerate
 SWITCH, READ_AS = -12.0, -1.5
 
 KINDS = ("form", "accent", "invisible", "space", "letter")
+
+
+def _forms() -> dict[str, str]:
+    """Characters stored for the letters and digits they show, with those: the compatibility forms of Unicode but for
+    superscripts, subscripts, fractions and signs, which are typography, the micro sign, Hangul letters written alone,
+    Thai and Lao vowels, and circled or squared characters that are emoji or enumerate."""
+    out = {chr(o): chr(o - 0xFEE0) for o in range(0xFF01, 0xFF5F)}
+    for o in (*range(0x80, 0x1100), *range(0x1D00, 0x2000), *range(0x2100, 0x2190), *range(0x2460, 0x2500), *range(0x3200, 0x3400), *range(0xFB00, 0xFFA0), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F150)):
+        c = chr(o)
+        tag, _, rest = unicodedata.decomposition(c).partition(" ")
+        if not tag.startswith("<") or tag in ("<super>", "<sub>", "<fraction>", "<noBreak>") or o in (0xB5, 0x2139, 0x24C2, 0xE33, 0xEB3):
+            continue
+        plain, cat = unicodedata.normalize("NFKC", c), unicodedata.category(c)
+        letters = plain.isalnum() or tag == "<narrow>"
+        if tag == "<compat>" and not (cat[0] == "L" or cat == "Nl") or tag in ("<circle>", "<square>") and not (plain.isascii() and any(x.isalpha() for x in plain)):
+            continue
+        if letters and plain != c:
+            out[c] = plain
+    return out
+
+
+FORMS = _forms()
 _LOOK = re.compile(
-    "[̀-ͯ­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️"
-    "﻿ﾠ\U000e0000-\U000e0fff   -   　ﬀ-ﬆ！-～\U0001d400-\U0001d7ff"
+    "[" + "".join(sorted(map(re.escape, FORMS))) + "".join(EXACT) + "̀-ͯ­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️"
+    "﻿ﾠ\U000e0000-\U000e0fff   -   　"
     "Ͱ-ϿЀ-ԯ]"
 )
 _WORD = re.compile(r"[^\W\d_]+")
-_OTHER = re.compile("[Ͱ-ϿЀ-ԯ]")
+_OTHER = re.compile("[Ͱ-ϿЀ-ԯ" + "".join(EXACT) + "]")
+_PHONETIC = re.compile("[ɐ-ʯ]")
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
 #: Scripts in which joiners are part of the spelling.
 _JOINING = re.compile("[؀-ۿ܀-ݏऀ-෿က-႟ក-៿᠀-᢯]")
@@ -67,7 +104,7 @@ _CJK = re.compile("[　-ヿ㐀-鿿가-힯＀-￯]")
 
 def _emoji(c: str) -> bool:
     o = ord(c) if c else 0
-    return o >= 0x1F000 and o < 0xE0000 or 0x2190 <= o <= 0x2BFF or c in "0123456789#*©®™‼⁉〰〽㊗㊙" and bool(c)
+    return o >= 0x1F000 and o < 0xE0000 or 0x2190 <= o <= 0x2BFF or c in "0123456789#*©®™ℹ‼⁉〰〽㊗㊙" and bool(c)
 
 
 class Lattice:
@@ -81,13 +118,15 @@ class Lattice:
         """The best reading of a word of several scripts, by Viterbi. A state is (script, last two codes)."""
         if not (_OTHER.search(word) and _LATIN.search(word)):
             return word
+        if any(c not in PHONETIC for c in _PHONETIC.findall(word)):
+            return word  # a transcription
         beams: dict[tuple[int, int, int], tuple[float, str]] = {(-1, 0, 0): (0.0, "")}
         for c in word:
             low = c.lower()
             base = unicodedata.normalize("NFD", low)[0]
             own = CODE.get(low) or CODE.get(base) or (3, 0)
             options = [(own[0], own[1], c, 0.0)]
-            shapes = CAPITALS.get(c)
+            shapes = EXACT.get(c, CAPITALS.get(c))
             if shapes is None:
                 shapes = LIKE.get(low, "") if c == low else LIKE.get(low, "").upper()
             options += [(0, CODE[to.lower()][1], to, READ_AS - 1.5 * i) for i, to in enumerate(shapes)]
@@ -143,10 +182,10 @@ class Lattice:
             elif 0x300 <= o <= 0x36F:
                 kinds |= 2
                 out.append(c)
-            elif 0xFF01 <= o <= 0xFF5E or 0xFB00 <= o <= 0xFB06 or 0x1D400 <= o <= 0x1D7FF:
-                plain = unicodedata.normalize("NFKC", c)
+            elif c in FORMS:
+                plain = FORMS[c]
                 # full-width marks are the ordinary ones of East Asian text
-                if not plain.isalnum() and (_CJK.match(prev) or _CJK.match(after)) and not plain.isalnum():
+                if o < 0xFF5F and not plain.isalnum() and (_CJK.match(prev) or _CJK.match(after)):
                     out.append(c)
                 else:
                     kinds |= 1
@@ -155,7 +194,7 @@ class Lattice:
                 out.append(c)
             i += 1
         made = "".join(out)
-        if kinds & 2:
+        if kinds & 2 or "\u3099" in made or "\u309a" in made:
             made = unicodedata.normalize("NFC", made)
         if _OTHER.search(made):
             read = _WORD.sub(lambda m: self.word(m[0]), made)
