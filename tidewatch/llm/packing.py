@@ -1,10 +1,9 @@
 """Filling fixed-capacity containers with documents sized in tokens.
 
 The instance is the histogram of sizes: at most ``capacity`` rows, whatever the number of documents. On it runs the
-reduction of Martello and Toth: a set of items is fixed for good where it dominates every other set that could hold its
-largest item (an exact complement, or the best partner where no third item fits), the instance shrinks, and once
-nothing more is proven the remainder is packed by best fit, with the same filling repeated as often as the counts
-allow. The plan (fillings with multiplicities) is broadcast, a few thousand rows at most; documents of one size are
+reduction of Martello and Toth: a set of up to three items is fixed for good where it dominates every other feasible set
+with its item (alone, with an exact complement or the largest partner, or with the best pair), the instance shrinks, and
+the next item is looked at. The remainder is packed by best fit, containers filled alike being one row. The plan (fillings with multiplicities) is broadcast, a few thousand rows at most; documents of one size are
 numbered in splits, so that a size of which there are billions is never one task's group, and take their places.
 
 Defined results: null texts are no documents; blank texts have their tokens (an empty text has none and takes no
@@ -16,12 +15,13 @@ ids may repeat (each row is a document).
 from __future__ import annotations
 
 import base64
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,7 +32,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published pre-tokenization pattern of that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CAPACITY = 2048
-SPLITS = 256
+#: Documents of a split, and the most splits; documents of one size are numbered split by split.
+SPLIT, SPLITS = 100_000, 1024
 
 
 @lru_cache(2)
@@ -45,10 +46,13 @@ def encoder(path: str):
 
 
 def sized(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id and tokens of every document."""
+    """doc_id and tokens of every document. The vocabulary is a file of the driver's, sent to all executors."""
+    context = documents.sparkSession.sparkContext
+    context.addFile(tokenizer)
+    name = tokenizer.rsplit("/", 1)[-1]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(tokenizer)
+        tool = encoder(SparkFiles.get(name))
         for batch in batches:
             # a lone surrogate can't be encoded; very long unbroken runs are cut, which costs a token at most
             sizes = []
@@ -62,76 +66,123 @@ def sized(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return rows.mapInArrow(count, f"doc_id {kind}, tokens long")
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Fillings (sizes, largest first) with how often each is used, for ``counts`` items of each size in 1..capacity."""
-    left = {s: n for s, n in counts.items() if n > 0 and 0 < s <= capacity}
-    sizes = sorted(left)
-    fillings: list[tuple[tuple[int, ...], int]] = []
+class _Items:
+    """Items by size with how many are left."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.left = {s: n for s, n in counts.items() if n > 0 and 0 < s <= capacity}
+        self.sizes = sorted(self.left)
 
-    def take(pattern: tuple[int, ...], times: int) -> None:
-        fillings.append((pattern, times))
+    def take(self, pattern: tuple[int, ...], times: int) -> None:
         for s in pattern:
-            left[s] -= times
+            self.left[s] -= times
         for s in set(pattern):
-            if not left[s]:
-                del left[s]
-                sizes.remove(s)
-
-    # the reduction looks at the largest item again and again, and ends where neither criterion proves a set
-    while sizes:
-        big = sizes[-1]
-        rest = capacity - big
-        two = sizes[0] + (sizes[0] if left[sizes[0]] > 1 else sizes[1] if len(sizes) > 1 else capacity)
-        if rest < sizes[0]:  # nothing fits beside it
-            take((big,), left[big])
-        elif rest in left and (rest != big or left[big] > 1):  # its exact complement dominates every set
-            take((big, rest), left[big] // 2 if rest == big else min(left[big], left[rest]))
-        elif rest < two:  # one partner at most: the largest that fits dominates
-            partner = sizes[bisect_right(sizes, rest) - 1]
-            if partner == big:
-                if left[big] == 1:
-                    take((big,), 1)
-                else:
-                    take((big, big), left[big] // 2)
-            else:
-                take((big, partner), min(left[big], left[partner]))
-        else:
-            break
-    while sizes:  # best fit: the largest item first, then always the largest that still fits
-        used: dict[int, int] = {}
-        pattern, room = [], capacity
-        while True:
-            i = bisect_right(sizes, room) - 1
-            while i >= 0 and used.get(sizes[i], 0) >= left[sizes[i]]:
-                i -= 1
-            if i < 0:
-                break
-            s = sizes[i]
-            copies = min(room // s, left[s] - used.get(s, 0))
-            # the last place is filled as exactly as one or two items can
-            pattern += [s] * copies
-            used[s] = used.get(s, 0) + copies
-            room -= s * copies
-        pattern, used = _closer(pattern, used, room, sizes, left)
-        take(tuple(pattern), min(left[s] // n for s, n in used.items()))
-    return fillings
-
-
-def _closer(pattern: list[int], used: dict[int, int], room: int, sizes: list[int], left: dict[int, int]):
-    """The filling with its smallest item replaced by a larger one that fits best, where that leaves less unused."""
-    if room and len(pattern) > 1:
-        small = pattern[-1]
-        i = bisect_right(sizes, small + room) - 1
-        while i >= 0 and sizes[i] > small:
-            if used.get(sizes[i], 0) < left[sizes[i]]:
-                used[small] -= 1
-                if not used[small]:
-                    del used[small]
-                used[sizes[i]] = used.get(sizes[i], 0) + 1
-                pattern = sorted([*pattern[:-1], sizes[i]], reverse=True)
-                break
+            if not self.left[s]:
+                del self.left[s]
+                self.sizes.remove(s)
+
+    def largest(self, room: int, *used: int) -> int | None:
+        """The largest size of at most ``room`` that is left beside the items ``used``."""
+        i = bisect_right(self.sizes, room) - 1
+        while i >= 0 and self.left[self.sizes[i]] <= used.count(self.sizes[i]):
             i -= 1
-    return pattern, used
+        return self.sizes[i] if i >= 0 else None
+
+    def fitting(self, room: int, most: int, *used: int) -> int:
+        """How many of the smallest items, ``most`` at most, fit into ``room`` beside the items ``used``."""
+        n = 0
+        for s in self.sizes:
+            k = min(self.left[s] - used.count(s), room // s, most - n)
+            n, room = n + k, room - k * s
+            if n == most or room < s and k < self.left[s] - used.count(s):
+                break
+        return n
+
+    def best_pair(self, room: int, *used: int) -> tuple[int, int] | None:
+        """The two sizes, larger first, whose sum comes closest to ``room``; of equal sums the one with the largest size."""
+        best, high = None, len(self.sizes) - 1
+        for low, s in enumerate(self.sizes):
+            while high >= low and self.sizes[high] + s > room:
+                high -= 1
+            for i in range(high, low - 1, -1):
+                t = self.sizes[i]
+                if self.left[t] > used.count(t) + (t == s) and self.left[s] > used.count(s) + (t == s):
+                    if best is None or (s + t, t) > (sum(best), best[0]):
+                        best = (t, s)
+                    break
+        return best
+
+
+def dominant(items: _Items, big: int, capacity: int) -> tuple[int, ...] | None:
+    """The set with ``big`` that dominates every other feasible set with it, after Martello and Toth; none if that isn't
+    proven. Sets of up to three items are considered."""
+    room = capacity - big
+    fit = items.fitting(room, 3, big)
+    if not fit:
+        return (big,)
+    partner = items.largest(room, big)
+    if fit == 1 or partner == room:
+        return (big, partner)
+    if fit == 2:
+        pair = items.best_pair(room, big)
+        if pair is None or partner >= sum(pair):
+            return (big, partner)
+        if pair[0] == partner:
+            # no two items between the pair's, or the two next larger than its smaller one don't fit
+            between = [s for s in items.sizes[bisect_right(items.sizes, pair[1]) : bisect_right(items.sizes, pair[0])] for _ in range(min(items.left[s] - (s == big) - (s == pair[0]), 2)) if s > pair[1]]
+            if len(between) <= 1 or between[0] + between[1] > room:
+                return (big, *pair)
+    return None
+
+
+def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Fillings (sizes, largest first) with how often each is used, for ``counts`` items of each size in 1..capacity."""
+    items = _Items(counts, capacity)
+    fillings: list[tuple[tuple[int, ...], int]] = []
+    # the reduction: every size in falling order, also where a larger one stays unproven
+    for size in reversed(list(items.sizes)):
+        while size in items.left and (found := dominant(items, size, capacity)):
+            times = min(items.left[s] // found.count(s) for s in found)
+            # what is proven now holds as long as no size of the set runs out
+            fillings.append((tuple(sorted(found, reverse=True)), times))
+            items.take(found, times)
+    # best fit of the rest: the largest item first, each into the fullest container that takes it; containers filled alike
+    # are one row
+    rooms: list[int] = []
+    alike: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+
+    def put(room: int, pattern: tuple[int, ...], times: int) -> None:
+        if room not in alike:
+            insort(rooms, room)
+            alike[room] = []
+        alike[room].append((pattern, times))
+
+    for size in reversed(items.sizes):
+        n = items.left[size]
+        while n:
+            i = bisect_left(rooms, size)
+            if i == len(rooms):
+                put(capacity, (), n)
+                continue
+            room = rooms[i]
+            pattern, times = alike[room].pop()
+            if not alike[room]:
+                del alike[room]
+                rooms.pop(i)
+            # a container takes further items of the size only while no fuller one does
+            copies = room // size
+            whole = min(times, n // copies)
+            if whole:
+                put(room - copies * size, pattern + (size,) * copies, whole)
+                n -= whole * copies
+                if times > whole:
+                    put(room, pattern, times - whole)
+            else:
+                put(room - n * size, pattern + (size,) * n, 1)
+                if times > 1:
+                    put(room, pattern, times - 1)
+                n = 0
+    return fillings + [(p, n) for group in alike.values() for p, n in group if p]
 
 
 def packed(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -151,7 +202,8 @@ def packed(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         )
     )
     parts = sizes.select("doc_id", F.explode(cut).alias("p")).select("doc_id", "p.part", "p.tokens")
-    parts = parts.withColumn("split", F.pmod(F.xxhash64("doc_id", "part"), F.lit(SPLITS)).cast("int"))
+    splits = min(max(sizes.count() // SPLIT, 16), SPLITS)
+    parts = parts.withColumn("split", F.pmod(F.xxhash64("doc_id", "part"), F.lit(splits)).cast("int"))
     counts = pinned(parts.groupBy("tokens", "split").agg(F.count(F.lit(1)).alias("n")), "size-counts")
     # at most capacity + 1 rows
     histogram = {r["tokens"]: r["n"] for r in counts.groupBy("tokens").agg(F.sum("n").alias("n")).collect()}
