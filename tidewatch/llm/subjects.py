@@ -4,9 +4,9 @@ For each subject an interpolated bigram model over hashed words, and a backgroun
 are summed over the whole table by bincount per split. Subject counts come from labelled documents (at most
 ``LABELLED`` of them, those with the smallest hash of their id): a document's labels say which subjects it holds but
 not where, so its sentences are shared out among its labels and the background by their cross-entropy, again and
-again. A sentence of any document goes to the subject whose cross-entropy is lowest if it lies a margin below that of
-the background, which is here all other subjects' models together, weighted by what the document's other sentences are
-about; a document has every subject that fills a calibrated share of its words, possibly several or
+again. A sentence of any document goes to the subject whose cross-entropy is lowest if it lies below that of the background
+model and a margin below that of all other subjects' models together, weighted by what the document's other sentences
+are about; a document has every subject that fills a calibrated share of its words, possibly several or
 none. Margin and share are calibrated on labelled documents by models of the other half of them.
 
 Defined results: null and blank texts have no subject; words never seen with a subject are as likely under all models;
@@ -32,7 +32,7 @@ from tidewatch.llm.samples import bounded_sample
 WORDS, PAIRS, LABELLED = 1 << 16, 1 << 17, 10_000
 #: What is added to a seen and an expected count, and how often sentences are shared out anew, in fitting and in use.
 PRIOR, ROUNDS, FOLDS = 0.3, 8, 4
-SHARE, MARGIN = 0.18, 4.0
+SHARE, MARGIN, ABOVE = 0.18, 4.0, 0.5
 
 _WORD = re.compile(r"[^\W_]+", re.UNICODE)
 _END = re.compile(r"[.!?…\n\r;]+")
@@ -97,6 +97,8 @@ class Models:
     trust: np.ndarray
     margin: float = MARGIN
     share: float = SHARE
+    #: How far, in nats, a sentence's cross-entropy lies below that of the background model at least.
+    above: float = ABOVE
 
     def gains(self, t: Tokens) -> np.ndarray:
         """[sentence, subject]: how much lower the subject's cross-entropy of the sentence is than the background's, in
@@ -126,31 +128,34 @@ class Models:
                 z = g + np.log(about)[t.document]
                 best = z.argmax(1)
                 top = z[each, best]
-                # the background of a sentence is all other subjects together, so what they share says nothing
+                # a sentence must lie a margin below the other subjects together, so that what they share says nothing, and
+                # below the model of all documents
                 rest = np.exp(np.maximum(z - top[:, None], -60))
                 rest[each, best] = 0
-                sure = -np.log(rest.sum(1) / max(k - 1, 1) + 1e-12) > self.margin
+                sure = (-np.log(rest.sum(1) / max(k - 1, 1) + 1e-12) > self.margin) & (g[each, best] > self.above)
                 out = np.zeros((documents, k))
                 np.add.at(out, (t.document[sure], best[sure]), t.lengths[sure])
                 about = (out + 5.0) / (out.sum(1) + 5.0 * k)[:, None]
         return out, total
 
 
-def background_counts(documents: DataFrame) -> np.ndarray:
-    """Words of all documents per bucket; what is collected has at most WORDS rows."""
+def background_counts(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Words and word pairs of all documents per bucket; what is collected has at most WORDS + PAIRS rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(WORDS, np.int64)
+        sums = np.zeros(WORDS + PAIRS, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                sums += np.bincount(tokens(batch.column(0).slice(at, 500).to_pylist()).word, minlength=WORDS)
+                t = tokens(batch.column(0).slice(at, 500).to_pylist())
+                sums[:WORDS] += np.bincount(t.word, minlength=WORDS)
+                sums[WORDS:] += np.bincount(t.pair, minlength=PAIRS)
         cell = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(sums[cell])], ["cell", "n"])
 
     rows = documents.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(WORDS)
+    out = np.zeros(WORDS + PAIRS)
     out[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
-    return out
+    return out[:WORDS], out[WORDS:]
 
 
 def _ratios(bucket: np.ndarray, size: int, weight: np.ndarray, sentence: np.ndarray, expected: np.ndarray) -> np.ndarray:
@@ -164,29 +169,29 @@ def _ratios(bucket: np.ndarray, size: int, weight: np.ndarray, sentence: np.ndar
     return out
 
 
-def _trained(t: Tokens, allowed: np.ndarray, subjects: list[str], counts: np.ndarray) -> Models:
+def _trained(t: Tokens, allowed: np.ndarray, subjects: list[str], counts: tuple[np.ndarray, np.ndarray]) -> Models:
     """Sentences of labelled documents shared out among their labels and the background until it settles."""
     k = len(subjects)
     sentence = np.repeat(np.arange(len(t.starts)), t.lengths)
     owner = allowed[t.document]
     weight = owner / np.maximum(owner.sum(1, keepdims=True), 1)
     every = len(t.word)
-    # single words are expected as often as in all documents, pairs as often as in all labelled text
-    own = np.bincount(t.word, minlength=WORDS)
-    word_share = (counts + own + 0.0) / max(counts.sum() + every, 1)
+    # words and pairs are expected as often as in all documents; labelled text counts also where the corpus lacks it
     pair_count = np.bincount(t.pair, minlength=PAIRS)
+    word_share = (counts[0] + np.bincount(t.word, minlength=WORDS)) / max(counts[0].sum() + every, 1)
+    pair_share = (counts[1] + pair_count) / max(counts[1].sum() + every, 1)
     trust = (pair_count / (pair_count + 5.0)).astype(np.float32)
     model = Models(subjects, np.ones((WORDS, k), np.float32), np.ones((PAIRS, k), np.float32), trust)
     for _ in range(ROUNDS):
         model.single = _ratios(t.word, WORDS, weight, sentence, word_share)
-        model.double = _ratios(t.pair, PAIRS, weight, sentence, pair_count / every)
+        model.double = _ratios(t.pair, PAIRS, weight, sentence, pair_share)
         z = np.where(owner > 0, model.gains(t), -80.0)
         z = np.exp(z - z.max(1, keepdims=True)) * (owner > 0)
         weight = z / np.maximum(z.sum(1, keepdims=True), 1e-9)
     return model
 
 
-def fitted(texts: list[str], labels: list[list[str]], counts: np.ndarray) -> Models:
+def fitted(texts: list[str], labels: list[list[str]], counts: tuple[np.ndarray, np.ndarray]) -> Models:
     """Models of all labelled documents; margin and share are calibrated on the halves the models weren't fitted to."""
     subjects = sorted({s for own in labels for s in own})
     number = {s: i for i, s in enumerate(subjects)}
@@ -229,8 +234,8 @@ def _calibrated(halves: list[tuple[Models, Tokens, np.ndarray]]) -> tuple[float,
 def labelled(documents: DataFrame, labels: DataFrame, bound: int = LABELLED) -> tuple[list[str], list[list[str]]]:
     own = labels.where("trim(subject) <> ''").groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("subjects"))
     rows = documents.where("trim(text) <> ''").select("doc_id", "text").join(own, "doc_id")
-    picked = bounded_sample(rows.select("doc_id", "text", F.array_join("subjects", "|").alias("subjects")), "doc_id", bound)
-    return [r["text"] for r in picked], [r["subjects"].split("|") for r in picked]
+    picked = bounded_sample(rows.select("doc_id", "text", "subjects"), "doc_id", bound)
+    return [r["text"] for r in picked], [r["subjects"] for r in picked]
 
 
 def subject_shares(documents: DataFrame, model: Models) -> DataFrame:
