@@ -32,6 +32,8 @@ BLOCK = 20_000
 #: Every name with a common n-gram that may be among the two best is scored by the mean of cosine and edit similarity,
 #: in which ``FAR`` and more edits count alike.
 FAR, THRESHOLD, MARGIN, SHORT, LONG = 5, 0.45, 0.05, 4, 9
+#: Names weighed before the others are bounded; it decides nothing but the time.
+FIRST = 4
 
 # What people add around a name without meaning another one.
 AROUND = (
@@ -156,24 +158,36 @@ class Index:
         score = np.bincount(at, weights=np.repeat([x for _, x in lists], [len(p) for p, _ in lists]), minlength=len(self.norm))
         score /= self.norm * np.sqrt((w * w).sum())
         hits = np.flatnonzero(score > 0)
-        # an edit adds and removes one letter at most, so this is the least there can be, and no name is lost by it
-        apart_by = self.bags[hits] - _bag(flat)
-        least = np.minimum(np.maximum(np.maximum(apart_by, 0).sum(1), np.maximum(-apart_by, 0).sum(1)), FAR)
-        most = (score[hits] + 1 - least / np.maximum(self.length[hits], len(flat))) / 2
+        longer = np.maximum(self.length[hits], len(flat))
         shapes = arrangements(words)
         out: dict[str, tuple[str, float, str]] = {}
-        second = 0.0
-        for k in np.argsort(-most, kind="stable"):
-            if len(out) > 1 and most[k] < second - 1e-9:
-                break
+        second, done = 0.0, np.zeros(len(hits), bool)
+
+        def weigh(k: int, least: int) -> None:
+            nonlocal second
             i = hits[k]
             e, name = self.entries[i], self.flat[i]
-            apart = FAR if least[k] == FAR else min(distance(a, name, FAR - 1) for a in shapes)
+            apart = FAR if least >= FAR else min(distance(a, name, FAR - 1) for a in shapes)
             near = 1 - apart / max(len(name), len(flat))
             found = (e, (float(score[i]) + near) / 2, name)
+            done[k] = True
             if e not in out or out[e][1] < found[1]:
                 out[e] = found
-                second = sorted(o[1] for o in out.values())[-2:][0]
+                second = sorted(o[1] for o in out.values())[-2:][0] if len(out) > 1 else 0.0
+
+        # the names of highest cosine first: they leave few others that can still be among the two best
+        for k in np.argsort(-score[hits], kind="stable")[:FIRST]:
+            weigh(k, 0)
+        apart_by = np.minimum(np.abs(self.length[hits] - len(flat)), FAR)
+        rest = np.flatnonzero(~done & ((score[hits] + 1 - apart_by / longer) / 2 >= second - 1e-9))
+        # an edit adds and removes one letter at most, so this is the least there can be, and no name is lost by it
+        letters = self.bags[hits[rest]] - _bag(flat)
+        least = np.minimum(np.maximum(np.maximum(letters, 0).sum(1), np.maximum(-letters, 0).sum(1)), FAR)
+        most = (score[hits[rest]] + 1 - least / longer[rest]) / 2
+        for j in np.argsort(-most, kind="stable"):
+            if len(out) > 1 and most[j] < second - 1e-9:
+                break
+            weigh(rest[j], int(least[j]))
         return sorted(out.values(), key=lambda o: (-o[1], o[0]))[:2]
 
 
