@@ -278,6 +278,22 @@ def test_mapped_values(spark):
     assert canonical_values.mapped(values.limit(0), canonical_values.names_of(names)).count() == 0
 
 
+def test_edits_like_the_table_of_all_prefixes():
+    def table(a, b):
+        d = [[max(i, j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
+
+    rng = random.Random(12)
+    for _ in range(3000):
+        a, b = ("".join(rng.choices("abc", k=rng.randint(0, 9))) for _ in range(2))
+        assert canonical_values.distance(a, b, 4) == min(table(a, b), 5)
+    assert canonical_values.distance("x" * 5000, "x" * 4998 + "yz", 4) == 2
+
+
 def test_the_two_best_names_of_all():
     """Whatever the cosine's order, the two best scores are those of all names with a common n-gram."""
     rng = random.Random(3)

@@ -66,22 +66,29 @@ def grams(words: list[str]) -> list[str]:
 
 
 def distance(a: str, b: str, most: int) -> int:
-    """Edits between two strings, a swap of neighbours being one; ``most + 1`` if more."""
+    """Edits between two strings, a swap of neighbours being one; ``most + 1`` if more. A column of the table of distances
+    is kept as the bits of two whole numbers (where it rises and where it falls)."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before: list[int] = []
-    last = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            row.append(d)
-        if min(row) > most:
-            return most + 1
-        before, last = last, row
-    return min(last[-1], most + 1)
+    if not a or not b:
+        return max(len(a), len(b))
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    rises, falls, kept, before, found = every, 0, 0, 0, len(a)
+    for c in b:
+        here = places.get(c, 0)
+        swapped = ((~kept & here) << 1) & before
+        kept = ((((here & rises) + rises) ^ rises) | here | falls | swapped) & every
+        up, down = falls | (every & ~(kept | rises)), kept & rises
+        if up & last:
+            found += 1
+        elif down & last:
+            found -= 1
+        up, down = (up << 1 | 1) & every, down << 1 & every
+        rises, falls, before = down | (every & ~(kept | up)), up & kept, here
+    return min(found, most + 1)
 
 
 def names_of(registry: DataFrame) -> DataFrame:
@@ -176,7 +183,8 @@ class Index:
                 second = sorted(o[1] for o in out.values())[-2:][0] if len(out) > 1 else 0.0
 
         # the names of highest cosine first: they leave few others that can still be among the two best
-        for k in np.argsort(-score[hits], kind="stable")[:FIRST]:
+        first = np.argpartition(-score[hits], FIRST)[:FIRST] if len(hits) > FIRST else np.arange(len(hits))
+        for k in first:
             weigh(k, 0)
         apart_by = np.minimum(np.abs(self.length[hits] - len(flat)), FAR)
         rest = np.flatnonzero(~done & ((score[hits] + 1 - apart_by / longer) / 2 >= second - 1e-9))

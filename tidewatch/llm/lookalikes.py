@@ -71,11 +71,14 @@ KINDS = ("form", "accent", "invisible", "space", "letter")
 def _forms() -> dict[str, str]:
     """Characters stored for the letters and digits they show, with those: the compatibility forms of Unicode but for
     superscripts, subscripts, fractions and signs, which are typography, the micro sign, Hangul letters written alone,
-    Thai and Lao vowels, and circled or squared characters that are emoji or enumerate."""
+    Thai and Lao vowels, circled or squared characters that are emoji or enumerate, and letters of other alphabets that pass
+    for Latin ones."""
     out = {chr(o): chr(o - 0xFEE0) for o in range(0xFF01, 0xFF5F)}
     for o in (*range(0x80, 0x1100), *range(0x1D00, 0x2000), *range(0x2100, 0x2190), *range(0x2460, 0x2500), *range(0x3200, 0x3400), *range(0xFB00, 0xFFA0), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F150)):
         c = chr(o)
-        tag, _, rest = unicodedata.decomposition(c).partition(" ")
+        if c.lower() in LIKE:
+            continue  # read by the lattice
+        tag, _, _ = unicodedata.decomposition(c).partition(" ")
         if not tag.startswith("<") or tag in ("<super>", "<sub>", "<fraction>", "<noBreak>") or o in (0xB5, 0x2139, 0x24C2, 0xE33, 0xEB3):
             continue
         plain, cat = unicodedata.normalize("NFKC", c), unicodedata.category(c)
