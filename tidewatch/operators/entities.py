@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions import text
+from tidewatch.functions import ids, text
 from tidewatch.operators.rows import keep_one
 from tidewatch.storage import pinned
 
@@ -62,38 +62,74 @@ CANDIDATE_NOISE = [
 POSSESSIVE = r"^(my|your|his|her|their|our|its|the|a|an|this|that|these|those)\s+"
 
 
-def word_runs(df: DataFrame, keys: list[str], form: Column, longest: int) -> DataFrame:
-    """Every run of 1..longest words of a normalised text, with its first word's place and its length."""
-    tokens = df.select(*keys, F.filter(F.split(F.trim(form), " +"), lambda t: t != "").alias("t"))
+def form_words(form: Column) -> Column:
+    """The words of a normalised text, without offsets."""
+    parts = F.filter(F.split(F.trim(form), " +"), lambda t: t != "")
+    return F.transform(parts, lambda t: F.struct(t.alias("w"), F.lit(-1).alias("s"), F.lit(-1).alias("e")))
+
+
+_TOKEN = re.compile(r"[^\W_]+")
+
+
+def located_words(posts: DataFrame) -> DataFrame:
+    """``posts`` (mention_id, body) with ``words``: normal form, first and behind-the-last place of each word of the body.
+    Only offsets need Python; a word without Latin letters or digits keeps its own form."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("w", pa.string()), ("s", pa.int32()), ("e", pa.int32())]))
+        for batch in batches:
+            found = [
+                [{"w": "".join(c for c in text.folded(m[0]).lower() if c.isalnum()) or m[0], "s": m.start(), "e": m.end()} for m in _TOKEN.finditer(body or "")]
+                for body in batch.column(1).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], ["mention_id", "body", "words"])
+
+    return posts.select("mention_id", "body").mapInArrow(run, "mention_id string, body string, words array<struct<w:string,s:int,e:int>>")
+
+
+def word_runs(df: DataFrame, keys: list[str], words: Column, longest: int) -> DataFrame:
+    """Every run of 1..longest words, with its first word's place, its length, and where it starts and ends in the text."""
+    tokens = df.select(*keys, words.alias("t"))
 
     def of_length(n: int) -> Column:
         def at(i: Column) -> Column:
-            return F.struct(i.alias("place"), F.lit(n).alias("n"), F.array_join(F.slice("t", i, n), " ").alias("run"))
+            run = F.array_join(F.transform(F.slice("t", i, n), lambda x: x["w"]), " ")
+            first, last = F.get("t", i - 1), F.get("t", i + (n - 2))
+            return F.struct(i.alias("place"), F.lit(n).alias("n"), run.alias("run"), first["s"].alias("start"), last["e"].alias("end"))
 
-        none = F.array().cast("array<struct<place:int,n:int,run:string>>")
+        none = F.array().cast("array<struct<place:int,n:int,run:string,start:int,end:int>>")
         return F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), at)).otherwise(none)
 
     runs = F.concat(*[of_length(n) for n in range(1, longest + 1)])
     return tokens.select(*keys, F.explode(runs).alias("r")).select(*keys, "r.*")
 
 
+def _words_column(posts: DataFrame) -> Column:
+    return F.col("words") if "words" in posts.columns else form_words(F.col("form"))
+
+
 def alias_hits(posts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Aliases that stand in a post as whole words, each once, at its first place. ``posts``: mention_id, form;
-    ``aliases``: alias_norm, brand_norm. Aliases of fewer than three letters count only if on the short list; the longest runs have as many words as the longest alias."""
+    """Aliases that stand in a post as whole words, each once, at its first place. ``posts``: mention_id and form, or words
+    with offsets; ``aliases``: alias_norm, brand_norm. Aliases of fewer than three letters count only if on the short list;
+    the longest runs have as many words as the longest alias."""
     usable = aliases.where((F.length(F.replace("alias_norm", F.lit(" "))) >= 3) | F.col("alias_norm").isin(SHORT_ALIASES))
     longest = usable.agg(F.max(F.size(F.split("alias_norm", " +")))).first()[0] or 1
-    runs = word_runs(posts, ["mention_id"], F.col("form"), longest)
+    runs = word_runs(posts, ["mention_id"], _words_column(posts), longest)
     hits = runs.join(usable, runs["run"] == usable["alias_norm"])
-    return hits.groupBy("mention_id", "alias_norm", "brand_norm").agg(F.min("place").alias("place"))
+    first = F.min(F.struct("place", "start", "end")).alias("f")
+    return hits.groupBy("mention_id", "alias_norm", "brand_norm").agg(first).select("mention_id", "alias_norm", "brand_norm", "f.*")
 
 
 def greedy_hits(posts: DataFrame, catalog: DataFrame, longest: int = 3) -> DataFrame:
     """Catalog names of a post, longest first and then from the left, none sharing a word with one taken before.
-    ``posts``: mention_id, form; ``catalog``: brand_norm. Names of fewer than three letters don't count."""
-    runs = word_runs(posts, ["mention_id"], F.col("form"), longest).where(F.length("run") >= 3)
+    ``posts``: mention_id and form, or words with offsets; ``catalog``: brand_norm. Names of fewer than three letters don't
+    count."""
+    runs = word_runs(posts, ["mention_id"], _words_column(posts), longest).where(F.length("run") >= 3)
     found = runs.join(catalog.select(F.col("brand_norm").alias("run")).distinct(), "run")
-    ordered = found.groupBy("mention_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "place", "run"))).alias("c"))
-    start = F.struct(F.array().cast("array<int>").alias("taken"), F.array().cast("array<struct<m:int,place:int,run:string>>").alias("kept"))
+    hit = F.struct((-F.col("n")).alias("m"), "place", "run", "start", "end")
+    ordered = found.groupBy("mention_id").agg(F.array_sort(F.collect_list(hit)).alias("c"))
+    none = F.array().cast("array<struct<m:int,place:int,run:string,start:int,end:int>>")
+    start = F.struct(F.array().cast("array<int>").alias("taken"), none.alias("kept"))
 
     def claim(acc: Column, x: Column) -> Column:
         own = F.sequence(x["place"], x["place"] - x["m"] - 1)
@@ -101,7 +137,7 @@ def greedy_hits(posts: DataFrame, catalog: DataFrame, longest: int = 3) -> DataF
         return F.when(F.arrays_overlap(acc["taken"], own), acc).otherwise(free)
 
     kept = ordered.select("mention_id", F.explode(F.aggregate("c", start, claim)["kept"]).alias("k"))
-    return kept.select("mention_id", F.col("k.run").alias("brand_norm"), "k.place", (-F.col("k.m")).alias("n"))
+    return kept.select("mention_id", F.col("k.run").alias("brand_norm"), "k.place", (-F.col("k.m")).alias("n"), "k.start", "k.end")
 
 
 def rule_hits(posts: DataFrame, form: Column) -> DataFrame:
@@ -173,35 +209,86 @@ def candidates(posts: DataFrame, known: DataFrame) -> DataFrame:
 
 def cluster_terms(profiles: DataFrame) -> DataFrame:
     """term, cluster_id, cluster_name of cluster profiles; a term of several clusters belongs to the last id."""
-    terms = F.explode(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("top_product_terms", "top_product_phrases")]))
+    lists = [c for c in ("leaf_keywords_top", "top_product_terms", "top_product_phrases") if c in profiles.columns]
+    terms = F.explode(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in lists]))
     rows = profiles.where(F.trim("cluster_id") != "").select(terms.alias("t"), "cluster_id", "cluster_name").withColumn("term", text.token_form(F.col("t")))
     return rows.where("term <> ''").groupBy("term").agg(F.max("cluster_id").alias("cluster_id"), F.max_by("cluster_name", "cluster_id").alias("cluster_name"))
 
 
+#: Columns of an entity row, in order, and what a row has that doesn't say otherwise.
+ENTITY = {
+    "entity_text": "string", "entity_norm": "string", "entity_type": "string", "is_brand": "boolean", "in_platform_brand": "boolean", "brand_signal_type": "string",
+    "brand_display": "string", "brand_norm": "string", "confidence": "double", "source": "string", "matched_cluster_id": "string", "matched_cluster_name": "string",
+    "related_cluster_ids": "array<string>", "start_char": "int", "end_char": "int", "review_status": "string",
+}
+_PLAIN = {"is_brand": False, "in_platform_brand": False, "brand_signal_type": "", "brand_display": "", "brand_norm": "", "matched_cluster_id": "", "matched_cluster_name": "", "start_char": -1, "end_char": -1, "review_status": "approved"}
+
+
+def _emitted(rows: DataFrame, stage: int, **values: object) -> DataFrame:
+    """Rows with the columns of ENTITY: from ``values``, else their own, else what is plain."""
+    out = []
+    for name, kind in ENTITY.items():
+        given = values.get(name)
+        if given is None:
+            given = F.col(name) if name in rows.columns else F.array() if kind.startswith("array") else F.lit(_PLAIN.get(name, ""))
+        elif not isinstance(given, Column):
+            given = F.lit(given)
+        out.append(given.cast(kind).alias(name))
+    return rows.select("mention_id", F.lit(stage).alias("stage"), *out)
+
+
 def extracted(posts: DataFrame, registry: DataFrame, aliases: DataFrame, terms: DataFrame) -> DataFrame:
-    """All entities of posts (mention_id, body) in order of emission, the first of each (post, norm, type, source).
+    """All entities of posts (mention_id, body), 19 columns, the first emitted of each (post, norm, type, source): whitelist
+    names, catalog names (single words only with a purchase word within 80 characters), phrases, rule words, candidates.
     ``terms``: term, cluster_id, cluster_name; a phrase that is one is a category keyword with that cluster. All word
-    pairs of a post are phrases."""
-    # the forms need Python and are read by five branches, so they are made once
-    readable = pinned(
-        posts.select("mention_id", "body", text.match_form(F.col("body")).alias("form"), text.token_form(F.col("body")).alias("token")), "forms"
-    )
-    white = alias_hits(readable, aliases.where("source = 'whitelist'").select("alias_norm", "brand_norm"))
-    white = white.select("mention_id", F.col("alias_norm").alias("entity_norm"), F.lit("brand").alias("entity_type"), F.lit(1.0).alias("confidence"), F.lit("whitelist").alias("source"), "brand_norm", F.lit(1).alias("stage"))
-    only = registry.where("not is_whitelist_brand").select("brand_norm")
-    found = greedy_hits(readable, only).join(white.select("mention_id", "brand_norm"), ["mention_id", "brand_norm"], "left_anti")
-    found = found.join(readable.select("mention_id", "body"), "mention_id").where((F.col("n") > 1) | F.col("body").rlike(PURCHASE))
-    found = found.select("mention_id", F.col("brand_norm").alias("entity_norm"), F.lit("brand").alias("entity_type"), F.lit(0.85).alias("confidence"), F.lit("catalog").alias("source"), "brand_norm", F.lit(2).alias("stage"))
-    rules = rule_hits(readable, F.col("token")).select("mention_id", F.col("entity_text").alias("entity_norm"), "entity_type", "confidence", "source", F.lit("").alias("brand_norm"), F.lit(5).alias("stage"))
+    pairs of a post are phrases. Null bodies have no entities; offsets are -1 where the text isn't found again."""
+    # words and forms need Python and are read by several branches, so they are made once
+    readable = pinned(located_words(posts).withColumn("token", text.token_form(F.col("body"))), "words")
+    bodies = readable.select("mention_id", "body")
+    empty = F.array().cast("array<string>")
+    known = registry.select(
+        "brand_norm", F.col("brand_display").alias("_display"), F.coalesce("primary_cluster_id", F.lit("")).alias("matched_cluster_id"),
+        F.coalesce("primary_cluster_name", F.lit("")).alias("matched_cluster_name"), F.coalesce("related_cluster_ids", empty).alias("related_cluster_ids"),
+    ).dropDuplicates(["brand_norm"])
+
+    def located(hits: DataFrame) -> DataFrame:
+        rows = hits.join(bodies, "mention_id").join(known, "brand_norm", "left")
+        shown = F.substring("body", F.col("start") + 1, F.col("end") - F.col("start"))
+        return rows.withColumns({"entity_text": shown, "entity_norm": text.token_form(shown), "start_char": F.col("start"), "end_char": F.col("end")})
+
+    white = located(alias_hits(readable, aliases.where("source = 'whitelist'").select("alias_norm", "brand_norm")))
+    brand = {"entity_type": "brand", "is_brand": True, "in_platform_brand": True, "brand_display": F.col("_display")}
+    white_rows = _emitted(white, 1, confidence=1.0, source="whitelist", brand_signal_type="confirmed_whitelist_brand", **brand)
+    found = greedy_hits(readable, registry.where("not is_whitelist_brand").select("brand_norm"))
+    found = located(found.join(white.select("mention_id", "brand_norm").distinct(), ["mention_id", "brand_norm"], "left_anti"))
+    found = found.where((F.col("n") > 1) | text.context(F.col("body"), F.col("start"), F.col("end")).rlike(PURCHASE))
+    found_rows = _emitted(found, 2, confidence=0.85, source="catalog", brand_signal_type="catalog_known_brand", review_status="catalog_observed", **brand)
     phrases = readable.select("mention_id", F.explode(F.array_distinct(text.grams(text.words(F.col("token")), 2))).alias("entity_norm")).where(useful_phrase(F.col("entity_norm")))
-    named = white.unionByName(found).select("mention_id", "entity_norm").distinct()
+    named = white_rows.unionByName(found_rows)
+    named = named.select("mention_id", "entity_norm").unionByName(named.select("mention_id", F.col("brand_norm").alias("entity_norm"))).distinct()
     phrases = phrases.join(named, ["mention_id", "entity_norm"], "left_anti").join(terms.withColumnRenamed("term", "entity_norm"), "entity_norm", "left")
-    known = F.col("cluster_id").isNotNull()
-    kind, sure = F.when(known, "category_keyword").otherwise("product_phrase"), F.when(known, 0.65).otherwise(0.45)
-    phrases = phrases.select("mention_id", "entity_norm", kind.alias("entity_type"), sure.alias("confidence"), F.col("cluster_id").alias("matched_cluster_id"), F.col("cluster_name").alias("matched_cluster_name"), F.lit("tokens").alias("source"), F.lit("").alias("brand_norm"), F.lit(4).alias("stage"))
-    new = candidates(posts, registry).select("mention_id", "entity_norm", F.lit("unknown_candidate").alias("entity_type"), F.lit(0.45).alias("confidence"), "source", F.lit("").alias("brand_norm"), F.lit(6).alias("stage"))
-    every = white.unionByName(found).unionByName(phrases, allowMissingColumns=True).unionByName(rules, allowMissingColumns=True).unionByName(new, allowMissingColumns=True)
-    return keep_one(every, ["mention_id", "entity_norm", "entity_type", "source"], [F.col("stage"), F.col("brand_norm")])
+    is_term = F.col("cluster_id").isNotNull()
+    phrase_rows = _emitted(
+        phrases, 4, entity_text=F.col("entity_norm"), entity_type=F.when(is_term, "category_keyword").otherwise("product_phrase"), confidence=F.when(is_term, 0.65).otherwise(0.45),
+        source="tokens", matched_cluster_id=F.coalesce("cluster_id", F.lit("")), matched_cluster_name=F.coalesce("cluster_name", F.lit("")),
+    )
+    rules = rule_hits(readable, F.col("token"))
+    rule_rows = _emitted(rules, 5, entity_norm=F.col("entity_text"))
+    new = candidates(posts, registry)
+    new_rows = _emitted(
+        new, 6, entity_norm=text.token_form(F.col("entity_text")), entity_type="unknown_candidate", confidence=0.45, brand_signal_type="candidate_non_whitelist_brand",
+        review_status="candidate", entity_text=F.trim("entity_text"),
+    )
+    every = white_rows.unionByName(found_rows).unionByName(phrase_rows).unionByName(rule_rows).unionByName(new_rows)
+    order = [F.col("stage"), F.col("start_char"), F.col("brand_norm"), F.col("entity_text")]
+    rows = keep_one(every, ["mention_id", "entity_norm", "entity_type", "source"], order).drop("stage").join(bodies, "mention_id")
+    at = F.when(F.col("start_char") >= 0, F.col("start_char")).otherwise(F.expr("instr(lower(body), lower(entity_text)) - 1"))
+    rows = rows.withColumn("start_char", at.cast("int"))
+    end = F.when(F.col("end_char") >= 0, F.col("end_char")).when(F.col("start_char") >= 0, F.col("start_char") + F.length("entity_text")).otherwise(F.lit(-1))
+    rows = rows.withColumn("end_char", end.cast("int"))
+    around = F.when(F.col("start_char") >= 0, text.context(F.col("body"), F.col("start_char"), F.col("end_char"))).otherwise(F.left("body", F.lit(180)))
+    address = F.when(F.col("is_brand"), ids.search_url(F.coalesce(F.when(F.col("brand_display") != "", F.col("brand_display")), F.col("entity_text")))).otherwise(F.lit(""))
+    return rows.select("mention_id", *ENTITY, around.alias("context_window"), address.alias("google_search_url"))
 
 
 def evidence(entities: DataFrame, posts: DataFrame) -> DataFrame:

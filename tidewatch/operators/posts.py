@@ -156,7 +156,7 @@ def flagged_posts(raw: DataFrame) -> DataFrame:
 
 
 def clean_posts(raw: DataFrame, order: list[Column]) -> DataFrame:
-    """Valid posts that come first, in ``order``, under their id and under their content."""
+    """Valid posts that come first, in ``order`` (ascending values), under their id and under their content."""
     rows = flagged_posts(raw).withColumn(
         "mention_id",
         ids.filled_mention_id(F.col("mention_id"), F.col("title_raw"), F.col("text_raw"), F.xxhash64("collected_at", "published_at", "url")),

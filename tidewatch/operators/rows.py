@@ -77,13 +77,19 @@ def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
 
 def keep_first_by_either(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Rows that come first under each of ``keys`` taken alone; every row counts, also those left out by another key.
-    Rows equal in ``order`` are copies of one another, of which one stays."""
-    out = df
-    for i, k in enumerate(keys):
-        out = out.withColumn(f"_n{i}", F.rank().over(Window.partitionBy(k).orderBy(*order)))
-    for i in range(len(keys)):
-        out = out.where(F.col(f"_n{i}") == 1)
-    return out.drop(*[f"_n{i}" for i in range(len(keys))]).dropDuplicates(list(keys))
+    ``order`` are values that ascend, nulls first. Rows equal in ``order`` are copies of one another, of which one stays.
+    The first of each key is an aggregate, combined before the shuffle, and rows meet it by key and order at once, so a key
+    that holds a third of the rows (a blank text's hash) is no single task's."""
+    at = [f"_o{i}" for i in range(len(order))]
+    rows = df.withColumns(dict(zip(at, order, strict=True)))
+    out = rows
+    for k in keys:
+        least = rows.groupBy(F.col(k).alias("_k")).agg(F.min(F.struct(*at)).alias("_f")).select("_k", *[F.col(f"_f.{c}").alias(f"_f{c}") for c in at])
+        same = F.col(k).eqNullSafe(F.col("_k"))
+        for c in at:
+            same = same & F.col(c).eqNullSafe(F.col(f"_f{c}"))
+        out = out.join(least, same, "left_semi")
+    return out.drop(*at).dropDuplicates(list(keys))
 
 
 def share_of_total(value: str, keys: Sequence[str]) -> Column:

@@ -49,13 +49,7 @@ def tfidf_similarity(spark: SparkSession, folder: str, k: int = 3) -> DataFrame:
 def embedding_topk(spark: SparkSession, folder: str, k: int = 3) -> DataFrame:
     """The three label centroids closest to each vector, and the gap between the first two."""
     rows = table(spark, folder, "embeddings")
-    cells = rows.select("label", F.posexplode("embedding").alias("i", "x"))
-    means = cells.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    centers = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c"))
-    centers = centers.select(F.col("label").alias("centroid"), F.transform("c", lambda x: x["m"]).alias("c"))
-    # a stated, small set of centroids against all rows
-    pairs = rows.crossJoin(K.small(centers, 10_000)).select("vec_id", "centroid", F.round(K.dot(F.col("embedding"), F.col("c")), 5).alias("score"))
-    top = K.top_scores(pairs, "vec_id", "centroid", "score", k)
+    top = K.nearest(rows, "vec_id", "embedding", K.centroids(rows, "label", "embedding"), k)
     return top.groupBy("vec_id").agg(
         F.max(F.when(F.col("candidate_rank") == 1, F.col("centroid"))).alias("first"),
         F.max(F.when(F.col("candidate_rank") == 2, F.col("centroid"))).alias("second"),
@@ -63,9 +57,11 @@ def embedding_topk(spark: SparkSession, folder: str, k: int = 3) -> DataFrame:
     )
 
 
-def assignments(spark: SparkSession, folder: str) -> DataFrame:
+def _assignment_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates, overlaps and priors of all posts."""
     p, c = _sides(spark, folder)
     candidates = K.top_scores(_bow(p, c), "mention_id", "cluster_id", "semantic", 10).select("mention_id", "cluster_id", "semantic")
+    candidates = K.filled_candidates(candidates, p, c, 10)
     longer = lambda df, key: df.select(key, F.explode("terms").alias("term")).where(F.length("term") > 2)
     names = _clusters(spark, folder).select("cluster_id", text.words(F.lower("cluster_name")).alias("terms"))
     overlap = K.overlaps(longer(p, "mention_id"), longer(names, "cluster_id"))
@@ -74,7 +70,23 @@ def assignments(spark: SparkSession, folder: str) -> DataFrame:
     related = brands.join(table(spark, folder, "brand_registry").select("brand_norm", "related_cluster_ids"), "brand_norm")
     related = related.select("mention_id", F.explode("related_cluster_ids").alias("cluster_id"), F.lit(0.1).alias("p"))
     prior = primary.unionByName(related).groupBy("mention_id", "cluster_id").agg(F.max("p").alias("brand_prior"))
-    return K.assigned(candidates, overlap, prior)
+    return candidates, overlap, prior
+
+
+def assignments(spark: SparkSession, folder: str) -> DataFrame:
+    return K.assigned(*_assignment_parts(spark, folder))
+
+
+def assignment_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Per post the number of candidates, the best one's name, and all of them as JSON."""
+    ranked = K.weighed(*_assignment_parts(spark, folder))
+    return K.candidates_json(ranked, _clusters(spark, folder).select("cluster_id", "cluster_name"))
+
+
+def similarity_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The similarity each of the three preferences ends in where there is no sentence model."""
+    rows = [(p, *K.similarity_by(p, {"embedding": False})) for p in ("embedding", "tfidf", "bow")]
+    return spark.createDataFrame(rows, "preferred string, similarity_method string, fallback_reason string")
 
 
 def assignment_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,7 +96,7 @@ def assignment_summary(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (bow_similarity, tfidf_similarity, embedding_topk, assignments, assignment_summary)}
+QUERIES = {f.__name__: f for f in (bow_similarity, tfidf_similarity, embedding_topk, assignments, assignment_summary, assignment_candidates, similarity_report)}
 
 _WORDS = "regexp_extract_all(lower({0}), '[a-z][a-z0-9''&+-]*')"
 _CLUSTERS = """cl AS (SELECT primary_cluster_id AS cluster_id, min(primary_cluster_name) AS cluster_name,
@@ -97,7 +109,10 @@ pu AS (SELECT mention_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY mention_i
 cu AS (SELECT cluster_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY cluster_id)) AS v FROM cc),
 bow AS (SELECT mention_id, cluster_id, round(sum(u * v), 9) AS semantic FROM pu JOIN cu USING (term) GROUP BY ALL)"""
 _ASSIGN = f"""WITH {_BOW},
-cand AS (SELECT * FROM bow QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY semantic DESC, cluster_id) <= 10),
+near AS (SELECT * FROM bow QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY semantic DESC, cluster_id) <= 10),
+cl20 AS (SELECT cluster_id FROM cl ORDER BY cluster_id LIMIT 20),
+cand AS (SELECT * FROM (SELECT * FROM near UNION ALL (SELECT mention_id, cluster_id, 0.0::DOUBLE FROM (SELECT mention_id, cluster_id FROM texts CROSS JOIN cl20) ANTI JOIN near USING (mention_id, cluster_id)))
+  QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY semantic DESC, cluster_id) <= 10),
 nt AS (SELECT cluster_id, unnest({_WORDS.format("cluster_name")}) AS term FROM cl),
 ov AS (SELECT mention_id, cluster_id, count(*) AS overlap FROM (SELECT DISTINCT * FROM pt WHERE length(term) > 2)
   JOIN (SELECT DISTINCT * FROM nt WHERE length(term) > 2) USING (term) GROUP BY ALL),
@@ -142,6 +157,10 @@ SQL = {
     SELECT vec_id, max(centroid) FILTER (WHERE k = 1) AS first, max(centroid) FILTER (WHERE k = 2) AS second,
       round(max(score) FILTER (WHERE k = 1) - max(score) FILTER (WHERE k = 2), 5) AS gap FROM r GROUP BY vec_id""",
     "assignments": f"{_ASSIGN} SELECT * FROM assignments",
+    "assignment_candidates": f"""{_ASSIGN}, e AS (SELECT mention_id, r, cluster_name, '{{"cluster_id":"' || cluster_id || '","cluster_name":' || to_json(cluster_name) || ',"semantic_score":' || semantic
+      || ',"keyword_overlap_score":' || keyword || ',"brand_prior_score":' || brand_prior || ',"confidence":' || confidence || '}}' AS v FROM rk JOIN cl USING (cluster_id))
+    SELECT mention_id, '[' || string_agg(v, ',' ORDER BY r) || ']' AS top_candidates_json, count(*) AS candidates, max(cluster_name) FILTER (WHERE r = 1) AS best_name FROM e GROUP BY 1""",
+    "similarity_report": """SELECT * FROM (VALUES ('embedding', 'tfidf', 'embedding unavailable'), ('tfidf', 'tfidf', ''), ('bow', 'bow', '')) v(preferred, similarity_method, fallback_reason)""",
     "assignment_summary": f"""{_ASSIGN} SELECT assignment_status, cluster_usage_tier, count(*) AS posts, count(DISTINCT final_cluster_id) AS clusters,
     round(avg(assignment_confidence), 6) AS confidence FROM assignments GROUP BY 1, 2""",
 }

@@ -24,11 +24,11 @@ def alias_hits(spark: SparkSession, folder: str) -> DataFrame:
     names = rows.select("brand_norm", F.explode(F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.col("brand_norm"))).alias("alias"))
     form = F.trim(F.regexp_replace(F.lower("alias"), "[^a-z0-9]+", " "))
     names = names.select(form.alias("alias_norm"), "brand_norm").where("alias_norm <> ''").distinct()
-    return E.alias_hits(_forms(spark, folder), names)
+    return E.alias_hits(_forms(spark, folder), names).drop("start", "end")
 
 
 def catalog_hits(spark: SparkSession, folder: str) -> DataFrame:
-    return E.greedy_hits(_forms(spark, folder), table(spark, folder, "brand_registry"))
+    return E.greedy_hits(_forms(spark, folder), table(spark, folder, "brand_registry")).drop("start", "end")
 
 
 def rule_hits(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,7 +46,7 @@ def name_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def extracted_entities(spark: SparkSession, folder: str) -> DataFrame:
-    """All entities of all posts by every rule."""
+    """All entities of all posts by every rule, with their 19 columns."""
     registry = table(spark, folder, "brand_registry")
     terms = E.cluster_terms(C.cluster_profiles(products(spark, folder)))
     return E.extracted(_forms(spark, folder), registry, C.alias_lookup(registry), terms)

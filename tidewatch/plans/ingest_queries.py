@@ -90,14 +90,15 @@ def quality_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def first_by_id_and_content(spark: SparkSession, folder: str) -> DataFrame:
-    order = [F.asc("published_at"), F.asc("mention_id"), F.asc("content_hash"), F.asc("url"), F.asc("text_raw")]
+    order = [F.col(c) for c in ("published_at", "mention_id", "content_hash", "url", "text_raw")]
     rows = table(spark, folder, "clean_reddit_posts")
     return keep_first_by_either(rows, ["mention_id", "content_hash"], order).select("mention_id", "content_hash", "subreddit")
 
 
 def cleaned_posts(spark: SparkSession, folder: str) -> DataFrame:
     """The whole cleaning stage over the raw batches."""
-    order = [F.desc_nulls_last(instant(F.col("collected_at"))), F.col("title_raw"), F.col("text_raw"), F.col("url")]
+    latest = F.coalesce(-F.unix_micros(instant(F.col("collected_at"))), F.lit(1 << 62))
+    order = [latest, F.col("title_raw"), F.col("text_raw"), F.col("url")]
     rows = P.clean_posts(table(spark, folder, "raw_reddit_posts"), order)
     return rows.select("mention_id", "title_clean", "text_clean", "subreddit", "score", "num_comments", "content_hash", "text_length")
 
