@@ -44,13 +44,6 @@ def test_grams(spark, n, expected):
     assert one(spark, text.grams(F.split("c", " "), n), c="a b c") == expected
 
 
-def test_stored_hashes_are_recomputed(spark):
-    from tidewatch.plans.text_queries import content_hashes
-
-    found = {r["same"]: r["rows"] for r in content_hashes(spark, "/root/testdata/sf0.001").collect()}
-    assert set(found) == {True}
-
-
 def test_times(spark):
     assert str(one(spark, week_start(instant(F.col("c"))), c="2026-07-06T12:00:00Z")) == "2026-06-30"
     assert str(one(spark, week_start(instant(F.col("c"))), c="2026-07-07T00:30:00+01:00")) == "2026-06-30"

@@ -7,11 +7,19 @@ from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-FEATURES = ["semantic", "keyword", "brand_prior", "same_parent", "candidate_rank", "inverse_rank", "cluster_products"]
+FEATURES = [
+    "semantic", "keyword", "brand_prior", "same_parent", "candidate_rank", "inverse_rank", "cluster_products", "leaf_overlap", "phrase_overlap", "primary_match",
+    "related_match",
+]
+
+
+def drawn(seed: int, *keys: str) -> Column:
+    """A number as good as random, the same for the same seed and keys in any engine that knows MD5."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *keys))
 
 
 def pairs(queries: DataFrame, clusters: DataFrame, similarity: DataFrame, hard: int = 5, parents: int = 3, others: int = 2, seed: int = 42) -> DataFrame:
@@ -20,14 +28,14 @@ def pairs(queries: DataFrame, clusters: DataFrame, similarity: DataFrame, hard:
     ``similarity``: query_id, cluster_id, semantic, candidate_rank over all clusters."""
     wrong = similarity.join(queries.select("query_id", "true_cluster_id"), "query_id").where("cluster_id <> true_cluster_id")
     nth = lambda *order: F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    draw = F.xxhash64(F.lit(seed), "query_id", "cluster_id")
+    draw = drawn(seed, "query_id", "cluster_id")
     positive = queries.select("query_id", F.col("true_cluster_id").alias("cluster_id"), F.lit("positive").alias("kind"), F.lit(0).alias("turn"))
     closest = wrong.withColumn("n", nth(F.desc("semantic"), F.col("cluster_id"))).where(F.col("n") <= hard)
     closest = closest.select("query_id", "cluster_id", F.lit("semantic_hard_negative").alias("kind"), F.lit(1).alias("turn"))
     family = wrong.join(queries.select("query_id", "parent"), "query_id").join(F.broadcast(clusters.select("cluster_id", "parent")) if clusters.count() <= 100_000 else clusters.select("cluster_id", "parent"), ["cluster_id", "parent"])
     family = family.withColumn("n", nth(draw)).where(F.col("n") <= parents)
     family = family.select("query_id", "cluster_id", F.lit("same_parent_negative").alias("kind"), F.lit(2).alias("turn"))
-    chance = wrong.withColumn("n", nth(F.xxhash64(F.lit(seed + 1), "query_id", "cluster_id"))).where(F.col("n") <= others)
+    chance = wrong.withColumn("n", nth(drawn(seed + 1, "query_id", "cluster_id"))).where(F.col("n") <= others)
     chance = chance.select("query_id", "cluster_id", F.lit("random_negative").alias("kind"), F.lit(3).alias("turn"))
     every = positive.unionByName(closest).unionByName(family).unionByName(chance)
     first = every.groupBy("query_id", "cluster_id").agg(F.min_by("kind", "turn").alias("negative_type"))
@@ -35,8 +43,9 @@ def pairs(queries: DataFrame, clusters: DataFrame, similarity: DataFrame, hard:
 
 
 def features(pairs: DataFrame, queries: DataFrame, clusters: DataFrame, similarity: DataFrame, overlap: DataFrame, prior: DataFrame) -> DataFrame:
-    """``queries``: also brand_norm; ``clusters``: also cluster_products; ``overlap``: query_id, cluster_id, overlap;
-    ``prior``: brand_norm, cluster_id, is_primary_cluster."""
+    """The eleven features of pairs. ``queries``: also brand_norm; ``clusters``: also cluster_products; ``overlap``: query_id,
+    cluster_id, overlap, leaf_overlap, phrase_overlap (terms shared with all terms of the cluster, its leaf keywords, its
+    phrases); ``prior``: brand_norm, cluster_id, is_primary_cluster."""
     out = pairs.join(queries.select("query_id", "brand_norm", F.col("parent").alias("qp")), "query_id")
     out = out.join(clusters.select("cluster_id", F.col("parent").alias("cp"), "cluster_products"), "cluster_id")
     out = out.join(similarity.select("query_id", "cluster_id", "semantic", "candidate_rank"), ["query_id", "cluster_id"], "left")
@@ -50,10 +59,12 @@ def features(pairs: DataFrame, queries: DataFrame, clusters: DataFrame, similari
         "same_parent": ((F.trim("qp") != "") & (F.lower(F.trim("qp")) == F.lower(F.trim("cp")))).cast("int"),
         "candidate_rank": rank,
         "inverse_rank": 1.0 / F.greatest(rank, F.lit(1)),
+        "leaf_overlap": F.coalesce("leaf_overlap", F.lit(0)),
+        "phrase_overlap": F.coalesce("phrase_overlap", F.lit(0)),
         "primary_match": (p >= 0.2).cast("int"),
         "related_match": ((p > 0) & (p < 0.2)).cast("int"),
     }
-    return out.withColumns(made).select("query_id", "cluster_id", "label", "negative_type", *FEATURES, "primary_match", "related_match")
+    return out.withColumns(made).select("query_id", "cluster_id", "label", "negative_type", *FEATURES)
 
 
 def split(df: DataFrame, share: float = 0.8, seed: int = 42) -> DataFrame:
@@ -92,3 +103,9 @@ def scored(model: GBTClassificationModel, df: DataFrame) -> DataFrame:
     data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(df)
     out = model.transform(data).withColumn("score", vector_to_array("probability")[1])
     return out.drop("features", "rawPrediction", "probability", "prediction")
+
+
+def importance(spark: SparkSession, model: GBTClassificationModel) -> DataFrame:
+    """feature and importance, which add up to 1."""
+    found = model.featureImportances.toArray()
+    return spark.createDataFrame([(f, float(x)) for f, x in zip(FEATURES, found, strict=True)], "feature string, importance double").orderBy(F.desc("importance"), "feature")

@@ -10,7 +10,7 @@ from tidewatch.operators import entities as E
 from tidewatch.operators import metrics as M
 from tidewatch.operators import scores as S
 from tidewatch.operators.language import sentiment
-from tidewatch.operators.rows import average_rank, with_previous_week
+from tidewatch.operators.rows import average_rank, distribution, first_values, top_counts, with_previous_week
 from tidewatch.plans.cluster_queries import ASSIGN_SQL, assignments
 from tidewatch.plans.entity_queries import _post_side
 from tidewatch.plans.text_queries import SENTIMENT_SQL, combined, posts
@@ -97,21 +97,24 @@ def high_precision_posts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cluster_quality(spark: SparkSession, folder: str) -> DataFrame:
-    """Per cluster its posts and nested lists: top subreddits, tier and status distributions, first titles."""
+    """Per cluster its posts and nested lists: top terms, brands, candidates and subreddits, tiers, statuses, first titles."""
     rows = pinned(M.tier_gate(post_base(spark, folder), weak=True), "quality")
-    from tidewatch.operators.rows import distribution, first_values, top_counts
-
+    entities = table(spark, folder, "entity_mentions").select("mention_id", "entity_norm", "entity_type", "brand_norm").join(rows.select("mention_id", "cluster_id"), "mention_id")
     keys = ["cluster_id"]
     out = rows.groupBy(*keys).agg(F.countDistinct("mention_id").alias("posts"), F.round(F.avg("assignment_confidence"), 9).alias("confidence"))
-    parts = (
-        top_counts(rows, keys, "subreddit", 10, "top_subreddits"),
-        distribution(rows, keys, "cluster_usage_tier", "tiers"),
-        distribution(rows, keys, "assignment_status", "statuses"),
-        first_values(rows, keys, "title_clean", [F.col("mention_id")], 10, "sample_titles"),
-    )
+    tops = {
+        "top_subreddits": (rows, "subreddit"), "top_terms": (entities, "entity_norm"), "top_brands": (entities.where("entity_type = 'brand'"), "brand_norm"),
+        "top_candidates": (entities.where("entity_type = 'unknown_candidate'"), "entity_norm"),
+    }
+    parts = [top_counts(df, keys, value, 10, name) for name, (df, value) in tops.items()]
+    parts += [distribution(rows, keys, c, name) for name, c in (("tiers", "cluster_usage_tier"), ("statuses", "assignment_status"))]
+    parts.append(first_values(rows, keys, "title_clean", [F.col("mention_id")], 10, "sample_titles"))
     for p in parts:
         out = out.join(p, keys, "left")
-    return out.withColumns({c: F.to_json(c) for c in ("top_subreddits", "tiers", "statuses", "sample_titles")})
+    pair = lambda a, b: F.concat(a, F.lit(":"), b.cast("string"))
+    flat = {c: F.array_join(F.transform(c, lambda x: pair(x["value"], x["count"])), "|") for c in tops}
+    flat |= {c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda x: pair(x["key"], x["value"]))), "|") for c in ("tiers", "statuses")}
+    return out.withColumns(flat | {"sample_titles": F.array_join("sample_titles", "|")})
 
 
 def weekly_cluster_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -231,7 +234,25 @@ def _listed(source: str, keys: list[str], modes: dict[str, str]) -> str:
     return f", {', '.join(ctes)} SELECT m.*, {', '.join(columns)}, top_subreddits, tiers, sample_post_ids FROM m {' '.join(joins)}"
 
 
+def _top_sql(source: str, value: str, where: str = "true", n: int = 10) -> str:
+    return f"""(SELECT cluster_id, string_agg(v || ':' || c, '|' ORDER BY r) AS l FROM (SELECT cluster_id, {value} AS v, count(*) AS c,
+      row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, {value}) AS r FROM {source} WHERE trim({value}) <> '' AND {where} GROUP BY 1, 2) WHERE r <= {n} GROUP BY 1)"""
+
+
+def _spread_sql(value: str) -> str:
+    return f"(SELECT cluster_id, string_agg(v || ':' || c, '|' ORDER BY v || ':' || c) AS l FROM (SELECT cluster_id, {value} AS v, count(*) AS c FROM gate GROUP BY 1, 2) GROUP BY 1)"
+
+
 SQL = {
+    "cluster_quality": BASE_SQL
+    + f""", en AS (SELECT entity_norm, entity_type, brand_norm, cluster_id FROM entity_mentions JOIN gate USING (mention_id)),
+    q AS (SELECT cluster_id, count(DISTINCT mention_id) AS posts, round(avg(assignment_confidence), 9) AS confidence FROM gate GROUP BY 1)
+    SELECT q.*, a.l AS top_subreddits, b.l AS top_terms, c.l AS top_brands, d.l AS top_candidates, e.l AS tiers, f.l AS statuses, g.l AS sample_titles FROM q
+    LEFT JOIN {_top_sql("gate", "subreddit")} a USING (cluster_id) LEFT JOIN {_top_sql("en", "entity_norm")} b USING (cluster_id)
+    LEFT JOIN {_top_sql("en", "brand_norm", "entity_type = 'brand'")} c USING (cluster_id) LEFT JOIN {_top_sql("en", "entity_norm", "entity_type = 'unknown_candidate'")} d USING (cluster_id)
+    LEFT JOIN {_spread_sql("cluster_usage_tier")} e USING (cluster_id) LEFT JOIN {_spread_sql("assignment_status")} f USING (cluster_id)
+    LEFT JOIN (SELECT cluster_id, string_agg(title_clean, '|' ORDER BY mention_id) AS l FROM (SELECT * FROM gate WHERE trim(title_clean) <> ''
+      QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY mention_id) <= 10) GROUP BY 1) g USING (cluster_id)""",
     "cluster_discussion_terms": _GATED
     + f", m AS (SELECT week_start, cluster_id, entity_type, entity_norm, {_MEASURES}, round(avg(assignment_confidence), 9) AS avg_assignment_confidence FROM j GROUP BY ALL)"
     + _listed("j", ["cluster_id", "entity_type", "entity_norm"], {"term": "entity_text", "entity_matched_cluster_id": "matched_cluster_id"}),

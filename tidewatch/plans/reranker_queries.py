@@ -31,7 +31,12 @@ def reranker_pairs(spark: SparkSession, folder: str) -> DataFrame:
     queries, clusters, similarity, prior = _inputs(spark, folder)
     made = R.pairs(queries, clusters, similarity)
     longer = lambda df, key: df.select(key, F.explode("terms").alias("term")).where(F.length("term") > 2)
-    overlap = K.overlaps(longer(queries.withColumnRenamed("query_id", "mention_id"), "mention_id"), longer(clusters, "cluster_id")).withColumnRenamed("mention_id", "query_id")
+    leaves = clusters.select("cluster_id", text.words(F.lower("cluster_id")).alias("terms"))
+    asked, overlap = longer(queries.withColumnRenamed("query_id", "mention_id"), "mention_id"), None
+    for name, terms in (("overlap", longer(clusters, "cluster_id").unionByName(longer(leaves, "cluster_id"))), ("leaf_overlap", longer(leaves, "cluster_id")), ("phrase_overlap", longer(clusters, "cluster_id"))):
+        part = K.overlaps(asked, terms).withColumnRenamed("overlap", name)
+        overlap = part if overlap is None else overlap.join(part, ["mention_id", "cluster_id"], "left")
+    overlap = overlap.withColumnRenamed("mention_id", "query_id")
     return R.features(made, queries, clusters, similarity, overlap, prior)
 
 
@@ -63,7 +68,38 @@ def sampled_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (reranker_pairs, reranker_pair_counts, reranker_model, similarity_ranking, sampled_parts)}
+_WORDS = "regexp_extract_all(lower({0}), '[a-z][a-z0-9''&+-]*')"
+_PAIRS = f"""WITH q AS (SELECT p_partkey AS query_id, p_type AS t, substr(p_type, 1, 1) AS parent, lower(p_brand) AS b, {_WORDS.format("p_name")} AS terms FROM part),
+c AS (SELECT t AS cluster_id, substr(t, 1, 1) AS parent, list_distinct(flatten(list(terms))) AS terms, count(*) AS cluster_products FROM q GROUP BY t),
+qt AS (SELECT query_id, term, count(*)::DOUBLE AS w FROM (SELECT query_id, unnest(terms) AS term FROM q) GROUP BY ALL), ct AS (SELECT cluster_id, unnest(terms) AS term FROM c),
+qu AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS u FROM qt), cu AS (SELECT *, 1 / sqrt(count(*) OVER (PARTITION BY cluster_id)) AS v FROM ct),
+s0 AS (SELECT query_id, cluster_id, round(sum(u * v), 9) AS semantic FROM qu JOIN cu USING (term) GROUP BY ALL),
+s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, cluster_id) AS candidate_rank FROM s0),
+w AS (SELECT s.*, q.parent AS qp, c.parent AS cp FROM s JOIN q USING (query_id) JOIN c USING (cluster_id) WHERE cluster_id <> t),
+h AS (SELECT query_id, cluster_id FROM w QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, cluster_id) <= 5),
+m AS (SELECT query_id, cluster_id FROM w WHERE qp = cp QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY md5('42|' || query_id || '|' || cluster_id)) <= 3),
+r AS (SELECT query_id, cluster_id FROM w QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY md5('43|' || query_id || '|' || cluster_id)) <= 2),
+e AS (SELECT query_id, t AS cluster_id, 'positive' AS k, 0 AS o FROM q UNION ALL SELECT *, 'semantic_hard_negative', 1 FROM h UNION ALL SELECT *, 'same_parent_negative', 2 FROM m
+  UNION ALL SELECT *, 'random_negative', 3 FROM r),
+f AS (SELECT query_id, cluster_id, arg_min(k, o) AS negative_type FROM e GROUP BY ALL),
+ql AS (SELECT DISTINCT query_id, term FROM qt WHERE length(term) > 2), lt AS (SELECT DISTINCT cluster_id, unnest({_WORDS.format("cluster_id")}) AS term FROM c),
+al AS (SELECT cluster_id, term FROM ct WHERE length(term) > 2 UNION SELECT cluster_id, term FROM lt WHERE length(term) > 2),
+o1 AS (SELECT query_id, cluster_id, count(*) AS a FROM ql JOIN al USING (term) GROUP BY ALL),
+o2 AS (SELECT query_id, cluster_id, count(*) AS l FROM ql JOIN (SELECT * FROM lt WHERE length(term) > 2) USING (term) GROUP BY ALL),
+o3 AS (SELECT query_id, cluster_id, count(*) AS p FROM ql JOIN (SELECT * FROM ct WHERE length(term) > 2) USING (term) GROUP BY ALL),
+pc AS (SELECT b, t AS cluster_id, row_number() OVER (PARTITION BY b ORDER BY count(*) DESC, t) AS rank FROM q GROUP BY b, t QUALIFY rank <= 5),
+z AS (SELECT f.*, q.b, q.parent AS qp, c.parent AS cp, c.cluster_products, coalesce(s.semantic, 0) AS semantic, coalesce(s.candidate_rank, (SELECT count(*) FROM c)) AS candidate_rank,
+  coalesce(a, 0) AS a, coalesce(l, 0) AS leaf_overlap, coalesce(o3.p, 0) AS phrase_overlap, CASE WHEN pc.rank = 1 THEN 0.2::DOUBLE WHEN pc.rank IS NOT NULL THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS brand_prior
+  FROM f JOIN q USING (query_id) JOIN c USING (cluster_id) LEFT JOIN s USING (query_id, cluster_id) LEFT JOIN o1 USING (query_id, cluster_id) LEFT JOIN o2 USING (query_id, cluster_id)
+  LEFT JOIN o3 USING (query_id, cluster_id) LEFT JOIN pc ON pc.b = q.b AND pc.cluster_id = f.cluster_id),
+pairs AS (SELECT query_id, cluster_id, CAST(negative_type = 'positive' AS INTEGER) AS label, negative_type, semantic, least(a / 8.0::DOUBLE, 1.0::DOUBLE) AS keyword, brand_prior,
+  CAST(qp = cp AS INTEGER) AS same_parent, candidate_rank, 1.0::DOUBLE / greatest(candidate_rank, 1) AS inverse_rank, cluster_products, leaf_overlap, phrase_overlap,
+  CAST(brand_prior >= 0.2 AS INTEGER) AS primary_match, CAST(brand_prior > 0 AND brand_prior < 0.2 AS INTEGER) AS related_match FROM z)"""
+
 SQL = {
+    "reranker_pairs": f"{_PAIRS} SELECT * FROM pairs",
+    "reranker_pair_counts": f"{_PAIRS} SELECT negative_type, count(*) AS pairs, count(DISTINCT query_id) AS queries FROM pairs GROUP BY 1",
+    "sampled_parts": "SELECT p_partkey, p_name FROM part ORDER BY md5('42|' || p_partkey), p_partkey LIMIT 100",
     "similarity_ranking": """WITH p AS (SELECT p_partkey AS query_id, lower(p_brand) AS b, p_type AS t FROM part), c AS (SELECT b, t AS cluster_id, count(*) AS n FROM p GROUP BY ALL),
     r AS (SELECT query_id, t = cluster_id AS hit, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, cluster_id) AS r FROM p JOIN c USING (b)),
     f AS (SELECT query_id, min(r) AS r FROM r WHERE hit GROUP BY 1)

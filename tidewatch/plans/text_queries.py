@@ -91,17 +91,15 @@ def part_keywords(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def readable_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Readable, token and match form of raw texts."""
-    rows = posts(spark, folder).select("mention_id", text.readable(F.col("text_raw")).alias("readable"))
-    return rows.withColumns({"token_form": text.token_form(F.col("readable")), "match_form": text.match_form(F.col("readable"))})
+    """Raw titles and texts without markup."""
+    rows = table(spark, folder, "clean_reddit_posts")
+    return rows.select("mention_id", text.readable(F.col("title_raw")).alias("title"), text.readable(F.col("text_raw")).alias("text")).distinct()
 
 
 def content_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows whose stored content hash is that of their texts, and those where it isn't."""
-    rows = table(spark, folder, "clean_reddit_posts").select(
-        (text.content_hash(F.col("title_clean"), F.col("text_clean")) == F.col("content_hash")).alias("same")
-    )
-    return rows.groupBy("same").agg(F.count(F.lit(1)).alias("rows"))
+    """The content hash of every post, made from its texts' token forms."""
+    rows = table(spark, folder, "clean_reddit_posts")
+    return rows.select("mention_id", text.content_hash(F.col("title_clean"), F.col("text_clean")).alias("content_hash")).distinct()
 
 
 QUERIES = {
@@ -144,6 +142,9 @@ sentiments AS (SELECT *, CASE WHEN sentiment_compound >= 0.05 THEN 'positive' WH
   ELSE 'neutral' END AS sentiment_label FROM scored)"""
 
 SQL = {
+    # the tables hold what the reference's own cleaning gives
+    "readable_texts": "SELECT DISTINCT mention_id, title_clean AS title, text_clean AS text FROM clean_reddit_posts",
+    "content_hashes": "SELECT DISTINCT mention_id, content_hash FROM clean_reddit_posts",
     "post_tokens": f"""WITH {TOKENS_SQL} SELECT mention_id, array_to_string(tokens, ' ') AS tokens, array_to_string(ns, ' ') AS tokens_no_stopwords,
     array_to_string(list_filter({_grams("tokens", 2)}, lambda g: length(g) > 3)[1:40], '|') AS noun_phrases,
     array_to_string(({_grams("ns", 2)})[1:120], '|') AS bigrams, array_to_string(({_grams("ns", 3)})[1:120], '|') AS trigrams FROM kept""",
