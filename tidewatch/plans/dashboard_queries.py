@@ -100,9 +100,14 @@ def _distribution(s: _Sources) -> DataFrame:
     return grid.join(counts, ["week_start", "position"], "left").select("week_start", "position", "band", F.coalesce("c", F.lit(0)).alias("count"))
 
 
+def _mean_of_hundredths(c: str):
+    """Mean to two digits of values that have two; sums of whole numbers, so that no order of adding tips a tie."""
+    return F.floor(F.sum(F.round(F.col(c) * 100).cast("long")) / F.count(c) + 0.5) / 100
+
+
 def _meta(s: _Sources) -> DataFrame:
     clusters = s.scores.groupBy("week_start").agg(
-        F.countDistinct("cluster_id").alias("cluster_count"), F.round(F.avg("trend_score"), 2).alias("avg_trend_score"), F.round(F.max("trend_score"), 2).alias("max_trend_score")
+        F.countDistinct("cluster_id").alias("cluster_count"), _mean_of_hundredths("trend_score").alias("avg_trend_score"), F.round(F.max("trend_score"), 2).alias("max_trend_score")
     )
     posts = M.posts(s.spark, s.folder).withColumn("week_start", F.date_format(M.week_start(F.col("published_at")), "yyyy-MM-dd"))
     key = F.coalesce(F.when(F.trim("mention_id") != "", F.col("mention_id")), F.when(F.trim("url") != "", F.col("url")))
@@ -214,7 +219,7 @@ SQL = {
       (6, '4-4.5', 4.0, 4.5), (7, '4.5-5', 4.5, 5.01)) x(position, band, lo, hi))
     SELECT w.week_start, position, band, count(fs.trend_score) AS count FROM wk w CROSS JOIN v LEFT JOIN fs ON fs.week_start = w.week_start AND trend_score > lo AND trend_score <= hi GROUP BY ALL""",
     "week_summary": f"""{_SC}, {_T}, {_B},
-    c AS (SELECT week_start, count(DISTINCT cluster_id) AS cluster_count, round(avg(trend_score), 2) AS avg_trend_score, round(max(trend_score), 2) AS max_trend_score FROM fs GROUP BY 1),
+    c AS (SELECT week_start, count(DISTINCT cluster_id) AS cluster_count, floor(CAST(sum(CAST(round(trend_score * 100) AS BIGINT)) AS DOUBLE) / count(*) + 0.5) / 100 AS avg_trend_score, round(max(trend_score), 2) AS max_trend_score FROM fs GROUP BY 1),
     p AS (SELECT strftime((published_at AT TIME ZONE 'UTC')::DATE - CAST((isodow(published_at AT TIME ZONE 'UTC') + 5) % 7 AS INTEGER), '%Y-%m-%d') AS week_start,
       count(DISTINCT coalesce(nullif(trim(mention_id), ''), nullif(trim(url), ''))) AS weekly_post_count FROM clean_reddit_posts GROUP BY 1),
     b AS (SELECT week_start, count(DISTINCT (cluster_id, norm)) AS weekly_brand_signal_count, count(DISTINCT norm) AS weekly_unique_brand_count FROM bm GROUP BY 1),
