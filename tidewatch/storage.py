@@ -100,6 +100,13 @@ def pinned(df: DataFrame, label: str, partition_by: Iterable[str] = ()) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it comes in fewer partitions than there are (a small table, or files that can't be split),
+    for work in Python that costs far more than moving the rows; unchanged where there are enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def try_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The table at ``path`` aligned to ``schema``, or an empty one of that schema if it is missing. A table that is there
     but can't be read is an error."""
