@@ -62,12 +62,6 @@ CANDIDATE_NOISE = [
 POSSESSIVE = r"^(my|your|his|her|their|our|its|the|a|an|this|that|these|those)\s+"
 
 
-def form_words(form: Column) -> Column:
-    """The words of a normalised text, without offsets."""
-    parts = F.filter(F.split(F.trim(form), " +"), lambda t: t != "")
-    return F.transform(parts, lambda t: F.struct(t.alias("w"), F.lit(-1).alias("s"), F.lit(-1).alias("e")))
-
-
 _TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -87,25 +81,25 @@ def located_words(posts: DataFrame) -> DataFrame:
     return posts.select("mention_id", "body").mapInArrow(run, "mention_id string, body string, words array<struct<w:string,s:int,e:int>>")
 
 
-def word_runs(df: DataFrame, keys: list[str], words: Column, longest: int) -> DataFrame:
-    """Every run of 1..longest words, with its first word's place, its length, and where it starts and ends in the text."""
-    tokens = df.select(*keys, words.alias("t"))
+def word_runs(posts: DataFrame, longest: int) -> DataFrame:
+    """Every run of 1..longest words of posts (mention_id and form, or words with offsets): mention_id, its first word's
+    place, its length, the run, and where it starts and ends in the text (-1 without offsets)."""
+    located = "words" in posts.columns
+    words = F.col("words") if located else F.filter(F.split(F.trim("form"), " +"), lambda t: t != "")
+    tokens = posts.select("mention_id", words.alias("t"))
 
     def of_length(n: int) -> Column:
         def at(i: Column) -> Column:
-            run = F.array_join(F.transform(F.slice("t", i, n), lambda x: x["w"]), " ")
-            first, last = F.get("t", i - 1), F.get("t", i + (n - 2))
-            return F.struct(i.alias("place"), F.lit(n).alias("n"), run.alias("run"), first["s"].alias("start"), last["e"].alias("end"))
+            part = F.slice("t", i, n)
+            run = F.array_join(F.transform(part, lambda x: x["w"]) if located else part, " ")
+            start, end = (F.get("t", i - 1)["s"], F.get("t", i + (n - 2))["e"]) if located else (F.lit(-1), F.lit(-1))
+            return F.struct(i.alias("place"), F.lit(n).alias("n"), run.alias("run"), start.alias("start"), end.alias("end"))
 
         none = F.array().cast("array<struct<place:int,n:int,run:string,start:int,end:int>>")
         return F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), at)).otherwise(none)
 
     runs = F.concat(*[of_length(n) for n in range(1, longest + 1)])
-    return tokens.select(*keys, F.explode(runs).alias("r")).select(*keys, "r.*")
-
-
-def _words_column(posts: DataFrame) -> Column:
-    return F.col("words") if "words" in posts.columns else form_words(F.col("form"))
+    return tokens.select("mention_id", F.explode(runs).alias("r")).select("mention_id", "r.*")
 
 
 def alias_hits(posts: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -114,7 +108,7 @@ def alias_hits(posts: DataFrame, aliases: DataFrame) -> DataFrame:
     the longest runs have as many words as the longest alias."""
     usable = aliases.where((F.length(F.replace("alias_norm", F.lit(" "))) >= 3) | F.col("alias_norm").isin(SHORT_ALIASES))
     longest = usable.agg(F.max(F.size(F.split("alias_norm", " +")))).first()[0] or 1
-    runs = word_runs(posts, ["mention_id"], _words_column(posts), longest)
+    runs = word_runs(posts, longest)
     hits = runs.join(usable, runs["run"] == usable["alias_norm"])
     first = F.min(F.struct("place", "start", "end")).alias("f")
     return hits.groupBy("mention_id", "alias_norm", "brand_norm").agg(first).select("mention_id", "alias_norm", "brand_norm", "f.*")
@@ -124,7 +118,7 @@ def greedy_hits(posts: DataFrame, catalog: DataFrame, longest: int = 3) -> DataF
     """Catalog names of a post, longest first and then from the left, none sharing a word with one taken before.
     ``posts``: mention_id and form, or words with offsets; ``catalog``: brand_norm. Names of fewer than three letters don't
     count."""
-    runs = word_runs(posts, ["mention_id"], _words_column(posts), longest).where(F.length("run") >= 3)
+    runs = word_runs(posts, longest).where(F.length("run") >= 3)
     found = runs.join(catalog.select(F.col("brand_norm").alias("run")).distinct(), "run")
     hit = F.struct((-F.col("n")).alias("m"), "place", "run", "start", "end")
     ordered = found.groupBy("mention_id").agg(F.array_sort(F.collect_list(hit)).alias("c"))

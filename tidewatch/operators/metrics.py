@@ -61,6 +61,11 @@ def with_lists(
     return out
 
 
+def confidence_floor(confidence: Column, tier: Column) -> Column:
+    """Whether a brand mention's assignment is sure enough: 0.30, or 0.25 where weak matches are let in."""
+    return confidence >= F.when(tier == "weak_match", 0.25).otherwise(0.30)
+
+
 def tier_gate(rows: DataFrame, weak: bool = False, least: float = 0.0) -> DataFrame:
     """Rows with a cluster of a usable tier (weak ones on demand) and at least some confidence."""
     tiers = ["strong_match", "usable_match"] + ["weak_match"] * weak

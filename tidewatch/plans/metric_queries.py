@@ -43,6 +43,13 @@ def weekly_cluster_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return M.weekly(rows, ["cluster_id"], ["cluster_id"], [], M.engagement())
 
 
+def weekly_cluster_metrics_all(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``weekly_cluster_metrics``, with the posts of no cluster under one name instead of left out."""
+    known = (F.trim("cluster_id") != "") & (F.col("assignment_status") != "unassigned")
+    rows = post_base(spark, folder).withColumn("cluster_id", F.when(known, F.col("cluster_id")).otherwise("UNASSIGNED"))
+    return M.weekly(rows, ["cluster_id"], ["cluster_id"], [], M.engagement())
+
+
 def weekly_trend_terms(spark: SparkSession, folder: str) -> DataFrame:
     terms = table(spark, folder, "entity_mentions").select("mention_id", "entity_text", "entity_norm", "entity_type", "matched_cluster_id")
     rows = terms.join(post_base(spark, folder).select("mention_id", "week_start", "sentiment_compound", "sentiment_label"), "mention_id", "left")
@@ -50,16 +57,16 @@ def weekly_trend_terms(spark: SparkSession, folder: str) -> DataFrame:
     return M.weekly(rows, keys, ["entity_norm", "entity_type"], ["entity_text", "matched_cluster_id"])
 
 
-def _joined(spark: SparkSession, folder: str) -> DataFrame:
+def _joined(spark: SparkSession, folder: str, weak: bool = True) -> DataFrame:
     entities = table(spark, folder, "entity_mentions").select(
         "mention_id", "entity_text", "entity_norm", "entity_type", "brand_signal_type", "brand_norm", "brand_display", "in_platform_brand", "matched_cluster_id"
     )
-    gated = M.tier_gate(post_base(spark, folder), weak=True)
+    gated = M.tier_gate(post_base(spark, folder), weak=weak)
     return pinned(entities.join(gated, "mention_id"), "gated-entities")
 
 
-def cluster_discussion_terms(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _joined(spark, folder)
+def cluster_discussion_terms(spark: SparkSession, folder: str, weak: bool = True) -> DataFrame:
+    rows = _joined(spark, folder, weak)
     keys = ["cluster_id", "entity_type", "entity_norm"]
     metrics = rows.groupBy("week_start", *keys).agg(*M.base_measures(), F.round(F.avg("assignment_confidence"), 9).alias("avg_assignment_confidence"))
     modes = {"term": "entity_text", "entity_matched_cluster_id": "matched_cluster_id"}
@@ -67,6 +74,11 @@ def cluster_discussion_terms(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(out)
 
 
+def strict_discussion_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``cluster_discussion_terms``, without posts of a weak match."""
+    return cluster_discussion_terms(spark, folder, weak=False)
+
+
 def _flat(df: DataFrame) -> DataFrame:
     """Nested columns as text."""
     pair = lambda a, b: F.concat(a, F.lit(":"), b.cast("string"))
@@ -80,7 +92,8 @@ def _flat(df: DataFrame) -> DataFrame:
 
 
 def cluster_brand_mentions(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _joined(spark, folder).where("entity_type in ('brand', 'unknown_candidate')")
+    sure = M.confidence_floor(F.col("assignment_confidence"), F.col("cluster_usage_tier"))
+    rows = _joined(spark, folder).where("entity_type in ('brand', 'unknown_candidate')").where(sure)
     known = F.col("brand_signal_type").isin("confirmed_whitelist_brand", "catalog_known_brand")
     rows = rows.withColumn("identity_key", F.when(known, F.col("brand_norm")).otherwise(F.col("entity_norm")))
     keys = ["cluster_id", "brand_signal_type", "identity_key"]
@@ -147,7 +160,7 @@ def weekly_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        weekly_brand_metrics, weekly_cluster_metrics, weekly_trend_terms, cluster_discussion_terms, cluster_brand_mentions, high_precision_posts,
+        weekly_brand_metrics, weekly_cluster_metrics, weekly_cluster_metrics_all, strict_discussion_terms, weekly_trend_terms, cluster_discussion_terms, cluster_brand_mentions, high_precision_posts,
         cluster_quality, weekly_cluster_scores, weekly_trend_score, weekly_percentiles,
     )
 }
@@ -259,7 +272,7 @@ SQL = {
     "cluster_brand_mentions": _GATED
     + """, b AS (SELECT *, brand_signal_type IN ('confirmed_whitelist_brand', 'catalog_known_brand') AS known,
       CASE WHEN brand_signal_type IN ('confirmed_whitelist_brand', 'catalog_known_brand') THEN brand_norm ELSE entity_norm END AS identity_key
-      FROM j WHERE entity_type IN ('brand', 'unknown_candidate')),"""
+      FROM j WHERE entity_type IN ('brand', 'unknown_candidate') AND assignment_confidence >= CASE WHEN cluster_usage_tier = 'weak_match' THEN 0.25::DOUBLE ELSE 0.30::DOUBLE END),"""
     + f" m AS (SELECT week_start, cluster_id, brand_signal_type, identity_key, {_MEASURES}, bool_or(in_platform_brand) AS in_platform_brand FROM b GROUP BY ALL)"
     + _listed("b", ["cluster_id", "brand_signal_type", "identity_key"], {"bn": "brand_norm", "ct": "entity_text"})
     .replace("SELECT m.*, bn, ct,", """SELECT m.*, CASE WHEN brand_signal_type IN ('confirmed_whitelist_brand', 'catalog_known_brand') THEN bn ELSE '' END AS brand_norm,
@@ -268,6 +281,13 @@ SQL = {
     "weekly_cluster_metrics": BASE_SQL
     + ", cm AS (SELECT * FROM base WHERE trim(cluster_id) <> '' AND assignment_status <> 'unassigned')"
     + _grown("cm", "cluster_id", "cluster_id", "", _ENGAGED),
+    "weekly_cluster_metrics_all": BASE_SQL
+    + """, cm AS (SELECT * REPLACE (CASE WHEN trim(cluster_id) <> '' AND assignment_status <> 'unassigned' THEN cluster_id ELSE 'UNASSIGNED' END AS cluster_id) FROM base)"""
+    + _grown("cm", "cluster_id", "cluster_id", "", _ENGAGED),
+    "strict_discussion_terms": _GATED
+    + f""", k AS (SELECT * FROM j WHERE cluster_usage_tier IN ('strong_match', 'usable_match')),
+    m AS (SELECT week_start, cluster_id, entity_type, entity_norm, {_MEASURES}, round(avg(assignment_confidence), 9) AS avg_assignment_confidence FROM k GROUP BY ALL)"""
+    + _listed("k", ["cluster_id", "entity_type", "entity_norm"], {"term": "entity_text", "entity_matched_cluster_id": "matched_cluster_id"}),
     "weekly_trend_terms": BASE_SQL
     + """, tt AS (SELECT e.mention_id, entity_text, entity_norm, entity_type, matched_cluster_id, week_start, sentiment_compound, sentiment_label
       FROM entity_mentions e LEFT JOIN base USING (mention_id))"""

@@ -143,10 +143,32 @@ def term_lists(spark: SparkSession, folder: str) -> DataFrame:
     return listed.select("week_start", "cluster_id", json_rows(objects).alias("terms"))
 
 
+def registry_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Brands of the registry: rows, distinct names, those in both sources and in one, missing and repeated display names."""
+    rows = table(spark, folder, "brand_registry")
+    shown = F.lower(F.trim("brand_display"))
+    repeated = rows.where(shown != "").groupBy(shown.alias("d")).count().where(F.col("count") > 1)
+    repeated = repeated.agg(F.count(F.lit(1)).alias("repeated_displays"), F.coalesce(F.max("count"), F.lit(0)).alias("most_repeated"))
+    both = F.col("is_whitelist_brand") & F.col("is_catalog_brand")
+    counts = rows.agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("brand_norm").alias("names"), F.count_if(both).alias("in_both"),
+        F.count_if(F.col("is_whitelist_brand") & ~F.col("is_catalog_brand")).alias("whitelist_only"), F.count_if(F.col("is_catalog_brand") & ~F.col("is_whitelist_brand")).alias("catalog_only"),
+        F.count_if(F.trim(F.coalesce("brand_display", F.lit(""))) == "").alias("without_display"),
+    )
+    return counts.join(F.broadcast(repeated))
+
+
+def merged_communities(spark: SparkSession, folder: str, n: int = 10) -> DataFrame:
+    """The communities with most merged posts, for the report of a merge."""
+    rows = P.merged(table(spark, folder, "raw_reddit_posts"), F.to_timestamp(F.lit(AS_OF))).where("trim(community) <> ''")
+    counts = rows.groupBy("community").agg(F.count(F.lit(1)).alias("posts"), F.countDistinct("author").alias("authors"))
+    return counts.orderBy(F.desc("posts"), "community").limit(n)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        json_lists, parsed_lists, numbered_parts, first_posts, run_windows, first_communities, brands_with_logos, built_records, new_arrivals, collection_audit,
+        registry_counts, merged_communities, json_lists, parsed_lists, numbered_parts, first_posts, run_windows, first_communities, brands_with_logos, built_records, new_arrivals, collection_audit,
         stream_audit, stream_rescan, written_and_read, term_lists,
     )
 }
@@ -161,6 +183,17 @@ b AS (SELECT * FROM raw WHERE ingestion_run_id >= 'run_20260501'), k AS (SELECT
 _DAY = "coalesce(strftime({0} AT TIME ZONE 'UTC', '%Y-%m-%d'), '')"
 
 SQL = {
+    "registry_counts": """WITH r AS (SELECT count(*) AS n FROM brand_registry WHERE trim(brand_display) <> '' GROUP BY lower(trim(brand_display)) HAVING count(*) > 1)
+    SELECT count(*) AS rows, count(DISTINCT brand_norm) AS names, count(*) FILTER (WHERE is_whitelist_brand AND is_catalog_brand) AS in_both,
+      count(*) FILTER (WHERE is_whitelist_brand AND NOT is_catalog_brand) AS whitelist_only, count(*) FILTER (WHERE is_catalog_brand AND NOT is_whitelist_brand) AS catalog_only,
+      count(*) FILTER (WHERE trim(coalesce(brand_display, '')) = '') AS without_display, (SELECT count(*) FROM r) AS repeated_displays,
+      (SELECT coalesce(max(n), 0) FROM r) AS most_repeated FROM brand_registry""",
+    "merged_communities": f"""WITH r AS (SELECT *, {_TS.format("published_at")} AS e, {_TS.format("collected_at")} AS a FROM raw_reddit_posts),
+    k AS (SELECT *, CASE WHEN mention_id IS NULL OR trim(mention_id) IN ('', 'nan', 'None') THEN 'hash_' || concat_ws('||', lower(trim(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g'))),
+      lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))), lower(trim(coalesce(community, ''))), lower(trim(coalesce(published_at, '')))) ELSE trim(mention_id) END AS key
+      FROM r WHERE e >= TIMESTAMPTZ '2026-05-20 00:00:00+00' - INTERVAL 42 DAY),
+    m AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY a DESC NULLS LAST, title DESC NULLS LAST, text DESC NULLS LAST, published_at DESC NULLS LAST) = 1)
+    SELECT community, count(*) AS posts, count(DISTINCT author) AS authors FROM m WHERE trim(community) <> '' GROUP BY 1 ORDER BY posts DESC, community LIMIT 10""",
     "json_lists": f"SELECT brand_norm, {_JSON.format('aliases', '')} AS aliases, {_JSON.format('related_cluster_ids', '[1:1]')} AS first_cluster FROM brand_registry",
     "parsed_lists": """WITH d AS (SELECT DISTINCT sample_post_ids, term, entity_type FROM weekly_cluster_discussion_terms)
     SELECT term, sample_post_ids, entity_type, array_to_string(coalesce(json_extract_string(sample_post_ids, '$[*]'), []), '+') AS ids,
