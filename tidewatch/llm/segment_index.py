@@ -197,20 +197,27 @@ class SegmentIndex:
         signed = pinned(signatures(distinct_texts(rows), False), "signatures")
         _hot_segments(signed).write.mode("overwrite").parquet(f"{home}/hot")
         index = cls(spark, home)
-        index._write("history", rows, signed)
+        index._write(F.lit("history"), rows, signed)
         return index
 
-    def append(self, name: str, batch: DataFrame, signed: DataFrame) -> None:
-        """Adds a batch: rows of ``posts_of`` with ``ord``, and their signatures. Adding a part of the same name again
-        replaces it."""
-        self._write(name, batch, signed)
+    def append(self, parts: dict[str, Column], rows: DataFrame, signed: DataFrame) -> None:
+        """Adds batches: rows of ``posts_of`` with ``ord``, and their signatures. ``parts``: name and condition on ``ord`` of each
+        batch. A part of a name that is there is replaced."""
+        name = F.lit(None).cast("string")
+        for part, condition in parts.items():
+            name = F.when(condition, F.lit(part)).otherwise(name)
+        self._write(name, rows, signed)
 
-    def _write(self, part: str, rows: DataFrame, signed: DataFrame) -> None:
+    def _write(self, part: Column, rows: DataFrame, signed: DataFrame) -> None:
         def put(df: DataFrame, table: str) -> None:
-            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.home}/{table}/part={part}")
+            out = df.withColumn("part", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            out.option("compression", "zstd").partitionBy("part").parquet(f"{self.home}/{table}")
 
-        put(rows.where(usable_id(F.col("mention_id"))).groupBy(F.col("mention_id").alias("v")).agg(F.min("ord").alias("ord")), "ids")
-        put(rows.where("content_hash is not null").groupBy(F.col("content_hash").alias("v")).agg(F.min("ord").alias("ord")), "hashes")
+        def first(condition: str, value: str) -> DataFrame:
+            return rows.where(condition).groupBy(part.alias("p"), F.col(value).alias("v")).agg(F.min("ord").alias("ord")).drop("p")
+
+        put(first("trim(mention_id) <> '' and lower(trim(mention_id)) <> 'nan'", "mention_id"), "ids")
+        put(first("content_hash is not null", "content_hash"), "hashes")
         put(distinct_texts(rows), "texts")
         put(self.keyed(signed, "segs", True), "segments")
 
@@ -263,7 +270,7 @@ class SegmentIndex:
 
     def texts_of(self, cids: DataFrame) -> DataFrame:
         """Texts of some classes, one row each."""
-        found = self.part("texts").join(small(cids, 1_000_000), "cid", "left_semi")
+        found = self.part("texts").join(cids, "cid", "left_semi")
         return found.groupBy("cid").agg(F.min("text").alias("text"))
 
     def near(self, signed: DataFrame, own: DataFrame) -> DataFrame:
@@ -272,7 +279,7 @@ class SegmentIndex:
         pairs = pinned(self.candidates(signed), "segment-pairs")
         best = pinned(pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")), "best-pairs")
         first = pinned(verified(best, own, self.texts_of(best.select(F.col("b").alias("cid")).distinct())).select("a"), "near-first")
-        rest = pairs.join(small(first, 1_000_000), "a", "left_anti").join(small(best, 1_000_000), ["a", "b"], "left_anti")
+        rest = pairs.join(first, "a", "left_anti").join(best, ["a", "b"], "left_anti")
         rest = pinned(rest.select("a", "b"), "other-pairs")
         later = verified(rest, own, self.texts_of(rest.select(F.col("b").alias("cid")).distinct())).select("a")
         return first.unionByName(later.distinct())
@@ -377,7 +384,7 @@ def usable_id(c: Column) -> Column:
     return c.isNotNull() & (F.trim(c) != "") & (F.lower(F.trim(c)) != "nan")
 
 
-def batches_of(rows: DataFrame) -> list[tuple[str, Column]]:
+def batches_of(rows: DataFrame) -> dict[str, Column]:
     """Name and condition on ``ord`` of each batch in order of arrival; batches whose arrival_ids overlap are taken as one."""
     spans = rows.groupBy("batch_no").agg(F.min("arrival_id").alias("low"), F.max("arrival_id").alias("high")).orderBy("low").collect()
     merged: list[list[int]] = []
@@ -386,24 +393,24 @@ def batches_of(rows: DataFrame) -> list[tuple[str, Column]]:
             merged[-1][1] = max(merged[-1][1], r["high"])
         else:
             merged.append([r["low"], r["high"]])
-    return [(f"batch{low}", F.col("ord").between(low, high)) for low, high in merged]
+    return {f"batch{low}": F.col("ord").between(low, high) for low, high in merged}
 
 
 def rejected(history: DataFrame, arrivals: DataFrame) -> DataFrame:
     """arrival_id and reason (``id``, ``hash`` or ``text``) of the arrivals that repeat the history or a smaller arrival. The
-    history is indexed once and each batch is added to the index in order. As an entry of the index counts for later
+    history is indexed once and each batch is added to the index as a part of its own. As an entry of the index counts for later
     arrivals only, batches that are all there already are looked up together, which gives what one after the other would."""
     index = SegmentIndex.create(history.sparkSession, history)
     rows, signed = prepared(arrivals)
-    for name, condition in batches_of(rows):
-        index.append(name, rows.where(condition), signed.where(condition))
+    if parts := batches_of(rows):
+        index.append(parts, rows, signed)
     return looked_up(index, rows, signed)
 
 
 def admitted(index: SegmentIndex, name: str, arrivals: DataFrame) -> DataFrame:
     """Adds a batch to the index and gives the arrivals of it to reject, with the reason."""
     rows, signed = prepared(arrivals)
-    index.append(name, rows, signed)
+    index.append({name: F.lit(True)}, rows, signed)
     return looked_up(index, rows, signed)
 
 
@@ -419,7 +426,7 @@ def looked_up(index: SegmentIndex, rows: DataFrame, signed: DataFrame) -> DataFr
     def known(column: str, part: str, key: str) -> DataFrame:
         """Arrivals whose value an earlier row of the index has."""
         ours = rows.select(F.col(column).alias(key), "arrival_id").where(f"{key} is not null")
-        first = index.part(part).join(small(ours.select(key).distinct(), 1_000_000), key, "left_semi").groupBy(key).agg(F.min("ord").alias("first"))
+        first = index.part(part).join(ours.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.min("ord").alias("first"))
         return ours.join(first, key).where("first < arrival_id").select("arrival_id")
 
     by_id = known("mention_id", "ids", "v").withColumn("reason", F.lit("id"))
@@ -427,7 +434,7 @@ def looked_up(index: SegmentIndex, rows: DataFrame, signed: DataFrame) -> DataFr
     by_text = known("cid", "texts", "cid").withColumn("reason", F.lit("text"))
     plainly = pinned(by_id.unionByName(by_hash).unionByName(by_text).groupBy("arrival_id").agg(F.min("reason").alias("reason")), "known")
     # what is left has one arrival for each text, the one that ``ord`` names
-    left = pinned(signed.join(small(plainly.select(F.col("arrival_id").alias("ord")), 1_000_000), "ord", "left_anti"), "unknown")
+    left = pinned(signed.join(plainly.select(F.col("arrival_id").alias("ord")), "ord", "left_anti"), "unknown")
     near = index.near(left, distinct_texts(rows).select("cid", "text"))
-    later = rows.select("cid", "arrival_id").join(near.withColumnRenamed("a", "cid"), "cid").join(small(plainly.select("arrival_id"), 1_000_000), "arrival_id", "left_anti")
+    later = rows.select("cid", "arrival_id").join(near.withColumnRenamed("a", "cid"), "cid").join(plainly.select("arrival_id"), "arrival_id", "left_anti")
     return pinned(plainly.unionByName(later.select("arrival_id", F.lit("text").alias("reason"))), "rejected")
