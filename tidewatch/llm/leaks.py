@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.lookalikes import plain
 from tidewatch.llm.segment_index import _mixed, _Numbers, _spans, small
-from tidewatch.storage import pinned
+from tidewatch.storage import pinned, spread
 
 SHINGLE = 3
 SIGNATURE, COLLISIONS, CONTAINMENT, FOUND = 32, 4, 0.6, 0.97
@@ -291,7 +291,7 @@ def document_keys(documents: DataFrame, keys: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "level", "block", "key"])
 
     kind = dict(documents.dtypes)["doc_id"]
-    return documents.where("trim(text) <> ''").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, level int, block int, key long")
+    return spread(documents.where("trim(text) <> ''").select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, level int, block int, key long")
 
 
 def candidates(documents: DataFrame, known: DataFrame, keys: DataFrame) -> DataFrame:
@@ -383,7 +383,7 @@ def found_in(documents: DataFrame, items: DataFrame) -> DataFrame:
                 found = [batch.column("doc_id").take(pa.array(doc, pa.int64())), pa.array([own.items[i] for i in item], item_type)]
                 yield pa.RecordBatch.from_arrays(found, ["doc_id", "item_id"])
 
-    return documents.where("trim(text) <> ''").select("doc_id", "text").mapInArrow(search, schema).distinct()
+    return spread(documents.where("trim(text) <> ''").select("doc_id", "text")).mapInArrow(search, schema).distinct()
 
 
 def _found_by_tables(documents: DataFrame, known: DataFrame, keys: DataFrame, schema: str) -> DataFrame:
