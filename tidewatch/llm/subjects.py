@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.lookalikes import plain
 from tidewatch.llm.samples import bounded_sample
+from tidewatch.storage import spread
 
 WORDS, PAIRS, LABELLED = 1 << 16, 1 << 17, 10_000
 #: What is added to a seen and an expected count, and how often sentences are shared out anew, in fitting and in use.
@@ -152,7 +153,7 @@ def background_counts(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         cell = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(sums[cell])], ["cell", "n"])
 
-    rows = documents.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = spread(documents.select("text")).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(WORDS + PAIRS)
     out[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
     return out[:WORDS], out[WORDS:]
@@ -260,4 +261,4 @@ def subject_shares(documents: DataFrame, model: Models) -> DataFrame:
                 )
 
     kind = dict(documents.dtypes)["doc_id"]
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, subject string, words long, total long")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, subject string, words long, total long")
