@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.storage import spread
+
 # Letters of other alphabets and the Latin letters they pass for, best first (Unicode confusables).
 CYRILLIC = {
     "а": "a", "в": "b", "е": "e", "ѕ": "s", "і": "i", "ї": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p",
@@ -282,6 +284,6 @@ def consistent(df: DataFrame, text: str, keys: list[str], scores: np.ndarray) ->
                 [*keys, "form", "kinds"],
             )
 
-    rows = df.select(*keys, F.col(text).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7F]"))
+    rows = spread(df.select(*keys, F.col(text).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7F]")))
     schema = ", ".join(f"`{k}` {t}" for k, t in rows.dtypes if k in keys) + ", form string, kinds int"
     return rows.mapInArrow(run, schema)
