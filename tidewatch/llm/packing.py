@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.storage import pinned
+from tidewatch.storage import pinned, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published pre-tokenization pattern of that vocabulary.
@@ -61,7 +61,7 @@ def sized(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
                 sizes.append(sum(len(tool.encode_ordinary(text[i : i + 100_000])) for i in range(0, len(text), 100_000)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["doc_id", "tokens"])
 
-    rows = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
+    rows = spread(documents.where(F.col("text").isNotNull()).select("doc_id", "text"))
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(count, f"doc_id {kind}, tokens long")
 
