@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.abuse_labels import ABUSIVE, HARMLESS, SLOTS
 from tidewatch.llm.lookalikes import plain
 from tidewatch.llm.samples import bounded_sample
-from tidewatch.storage import exists, shared_root
+from tidewatch.storage import exists, shared_root, spread
 
 BITS, ORDERS, WINDOW, BACKGROUND, COPIES, TAIL = 18, (2, 3, 4, 5, 6), 48, 3000, 24, 4.0
 
@@ -300,7 +300,7 @@ def scored(posts: DataFrame, keys: list[str], text: str, model: Model) -> DataFr
                 [*keys, "score", "flagged"],
             )
 
-    rows = posts.select(*keys, F.col(text).alias("t"))
+    rows = spread(posts.select(*keys, F.col(text).alias("t")))
     schema = ", ".join(f"`{k}` {t}" for k, t in rows.dtypes if k in keys)
     return rows.mapInArrow(run, schema + ", score double, flagged boolean")
 
