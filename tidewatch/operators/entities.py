@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import ids, text
-from tidewatch.operators.rows import keep_one
+from tidewatch.operators.rows import keep_one, resolve
 from tidewatch.storage import pinned
 
 # Rule vocabularies, short aliases that count, and words that show a purchase.
@@ -235,14 +235,17 @@ def extracted(posts: DataFrame, registry: DataFrame, aliases: DataFrame, terms:
     """All entities of posts (mention_id, body), 19 columns, the first emitted of each (post, norm, type, source): whitelist
     names, catalog names (single words only with a purchase word within 80 characters), phrases, rule words, candidates.
     ``terms``: term, cluster_id, cluster_name; a phrase that is one is a category keyword with that cluster. All word
-    pairs of a post are phrases. Null bodies have no entities; offsets are -1 where the text isn't found again."""
+    pairs of a post are phrases, and those that are no term have a null cluster. Null bodies have no entities; offsets are -1
+    where the text isn't found again. Of ``registry`` only brand_norm and is_whitelist_brand must be there."""
     # words and forms need Python and are read by several branches, so they are made once
     readable = pinned(located_words(posts).withColumn("token", text.token_form(F.col("body"))), "words")
     bodies = readable.select("mention_id", "body")
     empty = F.array().cast("array<string>")
+    related = F.coalesce("related_cluster_ids", empty) if "related_cluster_ids" in registry.columns else empty
     known = registry.select(
-        "brand_norm", F.col("brand_display").alias("_display"), F.coalesce("primary_cluster_id", F.lit("")).alias("matched_cluster_id"),
-        F.coalesce("primary_cluster_name", F.lit("")).alias("matched_cluster_name"), F.coalesce("related_cluster_ids", empty).alias("related_cluster_ids"),
+        "brand_norm", F.coalesce(resolve(registry, "brand_display"), F.lit("")).alias("_display"),
+        F.coalesce(resolve(registry, "primary_cluster_id"), F.lit("")).alias("matched_cluster_id"),
+        F.coalesce(resolve(registry, "primary_cluster_name"), F.lit("")).alias("matched_cluster_name"), related.alias("related_cluster_ids"),
     ).dropDuplicates(["brand_norm"])
 
     def located(hits: DataFrame) -> DataFrame:
@@ -264,7 +267,7 @@ def extracted(posts: DataFrame, registry: DataFrame, aliases: DataFrame, terms:
     is_term = F.col("cluster_id").isNotNull()
     phrase_rows = _emitted(
         phrases, 4, entity_text=F.col("entity_norm"), entity_type=F.when(is_term, "category_keyword").otherwise("product_phrase"), confidence=F.when(is_term, 0.65).otherwise(0.45),
-        source="tokens", matched_cluster_id=F.coalesce("cluster_id", F.lit("")), matched_cluster_name=F.coalesce("cluster_name", F.lit("")),
+        source="tokens", matched_cluster_id=F.col("cluster_id"), matched_cluster_name=F.col("cluster_name"),
     )
     rules = rule_hits(readable, F.col("token"))
     rule_rows = _emitted(rules, 5, entity_norm=F.col("entity_text"))
